@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from saccade.functions.geometry import box_area, box_width_height, near_crop_edge, uncrop_box
 from saccade.operators.components import clean_regions
-from saccade.operators.masks import mask_box, rle_area, rle_encode, stability, threshold_pixels, uncrop_masks
+from saccade.operators.masks import mask_box, rle_area, rle_encode, stability, uncrop_masks
 from saccade.operators.suppression import nms
 
 CANDIDATE_KEYS = ("image_id", "candidate_id")
@@ -113,8 +113,7 @@ def candidate_masks(candidates: DataFrame, options: QualityOptions) -> DataFrame
     """Filters, boxes and encodes candidates, de-duplicates inside each crop, and moves all into the image."""
     keys = list(CANDIDATE_KEYS)
     scored = quality_filter(candidates, options)
-    encoded = rle_encode(scored.withColumn(
-        "pixels", threshold_pixels(F.col("logits"), options.mask_threshold)).drop("logits"))
+    encoded = rle_encode(scored, "logits", lambda v: v.cast("double") > options.mask_threshold)
     inside = drop_edge_boxes(mask_box(encoded), options.edge_tolerance)
     kept = nms(inside, ["image_id", *CROP], options.box_nms, "predicted_iou", "candidate_id")
     full = uncrop_masks(kept.select(*keys, "h", "w", "counts", "crop_x0", "crop_y0", "image_h", "image_w"),

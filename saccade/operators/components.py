@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from saccade.operators.masks import (
-    MASK_KEYS, column_segments, complement, rle_encode, rle_from_spans, threshold_pixels,
+    MASK_KEYS, column_segments, complement, rle_encode, rle_from_spans,
 )
 from saccade.session import cut_lineage
 
@@ -22,9 +22,9 @@ def _touching(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of pieces in neighbouring columns that share a side or a corner: keys, a, b."""
     strips = F.sequence(F.floor(F.col("y0") / STRIP_ROWS), F.floor((F.col("y1") + 1) / STRIP_ROWS))
     left = segments.select(*keys, F.col("node").alias("a"), "x", F.col("y0").alias("a0"), F.col("y1").alias("a1"),
-                           F.explode(strips).alias("strip"))
+                           F.explode_outer(strips).alias("strip"))
     right = segments.select(*keys, F.col("node").alias("b"), (F.col("x") - 1).alias("x"), F.col("y0").alias("b0"),
-                            F.col("y1").alias("b1"), F.explode(strips).alias("strip"))
+                            F.col("y1").alias("b1"), F.explode_outer(strips).alias("strip"))
     near = (F.col("a0") <= F.col("b1") + 1) & (F.col("b0") <= F.col("a1") + 1)
     # Reported in the strip of the first common row only, so each pair comes once.
     first = F.floor(F.greatest("a0", "b0") / STRIP_ROWS) == F.col("strip")
@@ -68,7 +68,7 @@ def component_areas(labelled: DataFrame, keys: Sequence[str] = MASK_KEYS) -> Dat
 def component_pixels(labelled: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
     """One row per pixel: keys, x, y, component, area."""
     sized = labelled.join(component_areas(labelled, keys).select(*keys, "component", "area"), [*keys, "component"])
-    return sized.select(*keys, "x", F.explode(F.sequence("y0", "y1")).alias("y"), "component", "area")
+    return sized.select(*keys, "x", F.explode_outer(F.sequence("y0", "y1")).alias("y"), "component", "area")
 
 
 def _spans(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,7 +99,7 @@ def _paint(logits: DataFrame, segments: DataFrame, value: float, keys: list[str]
 
 def logits_to_masks(logits: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Score arrays to mask rows."""
-    return rle_encode(logits.withColumn("pixels", threshold_pixels(F.col("logits"), threshold)).drop("logits"))
+    return rle_encode(logits, "logits", lambda v: v.cast("double") > threshold)
 
 
 def fill_holes(logits: DataFrame, max_area: int, keys: Sequence[str] = MASK_KEYS) -> DataFrame:

@@ -56,7 +56,7 @@ def hit_test(points: DataFrame, masks: DataFrame, keys: Sequence[str] = ("partic
     index = (
         column_segments(masks, [*keys, "label_ord", "label"])
         .select(*keys, F.struct("label_ord", "label", "x", "y0", "y1").alias("segment"),
-                F.explode(F.sequence(F.floor((F.col("x") - radius) / band),
+                F.explode_outer(F.sequence(F.floor((F.col("x") - radius) / band),
                                      F.floor((F.col("x") + radius) / band))).alias("_band"))
         .groupBy(*keys, "_band").agg(F.sort_array(F.collect_list("segment")).alias("_segments"))
     )

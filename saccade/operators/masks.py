@@ -7,7 +7,7 @@ Everything that concerns one mask is computed inside its row, without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,19 +20,19 @@ MISSING_SCORE = -1024.0
 _BLOCK = 64
 
 
-def rle_encode(masks: DataFrame, pixels: str = "pixels") -> DataFrame:
-    """Replaces a row-major boolean array by ``counts``."""
+def rle_encode(masks: DataFrame, values: str, is_set: Callable[[Column], Column] = lambda v: v) -> DataFrame:
+    """Replaces a row-major array of pixel values by ``counts``; ``is_set`` tells which values are foreground."""
     n = F.col("h") * F.col("w")
     turned = masks.filter(n > 0).withColumn("_bits", F.transform(
         F.sequence(F.lit(0), n - 1),
-        lambda j: F.get(F.col(pixels), (j % F.col("h")) * F.col("w") + F.floor(j / F.col("h")).cast("int"))))
+        lambda j: is_set(F.get(values, (j % F.col("h")) * F.col("w") + F.floor(j / F.col("h")).cast("int")))))
     marked = turned.withColumn("_edges", F.concat(
         F.filter(F.sequence(F.lit(0), n - 1),
                  lambda j: (j == 0) | (F.get("_bits", j) != F.get("_bits", j - 1))), F.array(n)))
     lengths = F.transform(F.slice("_edges", F.lit(2), F.size("_edges") - 1),
                           lambda edge, i: edge - F.get("_edges", i))
     lead = F.when(F.get("_bits", F.lit(0)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    return marked.withColumn("counts", F.concat(lead, lengths)).drop("_bits", "_edges", pixels)
+    return marked.withColumn("counts", F.concat(lead, lengths)).drop("_bits", "_edges", values)
 
 
 def rle_from_pixels(masks: DataFrame, pixels: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
@@ -91,9 +91,18 @@ def with_runs(masks: DataFrame, out: str = "runs") -> DataFrame:
     return ends.withColumn(out, F.filter(runs, lambda r: r["run_end"] > r["run_start"])).drop("_sums", "_heads", "_ends")
 
 
+def _each_run(masks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per foreground stretch.
+
+    The outer form keeps the optimizer from copying the whole run expression into a filter under the explode.
+    """
+    rows = with_runs(masks).select(*keys, "h", F.explode_outer("runs").alias("run"))
+    return rows.filter(F.col("run").isNotNull())
+
+
 def mask_runs(masks: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
     """One row per foreground stretch, with offsets and the pixels of both ends."""
-    cell = with_runs(masks).select(*keys, "h", F.explode("runs").alias("run"))
+    cell = _each_run(masks, keys)
     last = F.col("run.run_end") - 1
     return cell.select(
         *keys, "run.run_start", "run.run_end",
@@ -105,8 +114,7 @@ def mask_runs(masks: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
 
 def column_segments(masks: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
     """Foreground stretches cut at column borders: keys, h, x, y0, y1 (inclusive)."""
-    run = with_runs(masks).select(*keys, "h", F.explode("runs").alias("run"))
-    cut = run.select(*keys, "h", "run", F.explode(F.sequence(
+    cut = _each_run(masks, keys).select(*keys, "h", "run", F.explode_outer(F.sequence(
         F.floor(F.col("run.run_start") / F.col("h")).cast("int"),
         F.floor((F.col("run.run_end") - 1) / F.col("h")).cast("int"))).alias("x"))
     base = F.col("x") * F.col("h")
@@ -119,7 +127,7 @@ def column_segments(masks: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFr
 def rle_decode(masks: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
     """One row per set pixel: keys, x, y."""
     return column_segments(masks, keys).select(
-        *keys, "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+        *keys, "x", F.explode_outer(F.sequence("y0", "y1")).alias("y"))
 
 
 def rle_area(counts: Column) -> Column:
@@ -175,7 +183,7 @@ def stability(logits: Column, threshold: float = 0.0, offset: float = 1.0, guard
 
 def logit_pixels(logits: DataFrame, keys: Sequence[str] = MASK_KEYS, column: str = "logits") -> DataFrame:
     """One row per pixel of a row-major score array: keys, x, y, logit."""
-    place = logits.select(*keys, "w", F.posexplode(column).alias("place", "logit"))
+    place = logits.select(*keys, "w", F.posexplode_outer(column).alias("place", "logit"))
     return place.select(*keys, (F.col("place") % F.col("w")).alias("x"),
                         F.floor(F.col("place") / F.col("w")).cast("int").alias("y"), "logit")
 

@@ -70,7 +70,7 @@ def nms(boxes: DataFrame, group: Sequence[str], threshold: float, score: str = "
         .withColumn("n_cells", F.size("cells")))
     kept = [slim.filter(~_has_area()).select(*key)]
     while not open_boxes.isEmpty():
-        spread = open_boxes.select(*key, *BOX, "rank", "n_cells", F.explode("cells").alias("cell")).select(
+        spread = open_boxes.select(*key, *BOX, "rank", "n_cells", F.explode_outer("cells").alias("cell")).select(
             *key, *BOX, "rank", "n_cells", "cell.*")
         leaders = spread.groupBy(*group, *CELL).agg(
             F.min_by(F.struct(F.col(box_id).alias("id"), *BOX, "n_cells"), "rank").alias("best"))
@@ -103,7 +103,7 @@ def box_overlaps(boxes: DataFrame, group: Sequence[str], threshold: float) -> Da
     """
     group = list(group)
     folded = boxes.filter(_has_area()).groupBy(*group, *BOX).agg(F.count(F.lit(1)).alias("copies"))
-    spread = folded.select(*group, *BOX, "copies", F.explode(_cells(threshold)).alias("cell")).select(
+    spread = folded.select(*group, *BOX, "copies", F.explode_outer(_cells(threshold)).alias("cell")).select(
         *group, *BOX, "copies", "cell.*")
     names = [*BOX, "copies"]
     a = spread.select(*group, *CELL, *[F.col(n).alias(f"a_{n}") for n in names])

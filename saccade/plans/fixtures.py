@@ -135,7 +135,7 @@ v4 AS (
   FROM embeddings),
 spots AS (SELECT *, unnest(range(64)) AS i FROM v4),
 px AS (
-  SELECT participant_id, frame, label_ord, label, vec_id, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y,
+  SELECT participant_id, frame, label_ord, label, vec_id, embedding, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y,
          (i % 8) * 8 + i // 8 AS off, embedding[i + 1] AS logit
   FROM spots)"""
 
