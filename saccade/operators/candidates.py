@@ -15,6 +15,7 @@ from saccade.functions.geometry import box_area, box_width_height, near_crop_edg
 from saccade.operators.components import clean_regions
 from saccade.operators.masks import mask_box, rle_area, rle_encode, stability, uncrop_masks
 from saccade.operators.suppression import nms
+from saccade.session import cut_lineage
 
 CANDIDATE_KEYS = ("image_id", "candidate_id")
 CROP = ("crop_x0", "crop_y0", "crop_x1", "crop_y1")
@@ -42,7 +43,8 @@ def quality_filter(candidates: DataFrame, options: QualityOptions) -> DataFrame:
     scored = kept.withColumn("stability_score", stability(
         F.col("logits"), options.mask_threshold, options.stability_offset))
     if options.stability > 0:
-        scored = scored.filter(F.col("stability_score") >= options.stability)
+        # Spark sorts NaN above all numbers; an empty mask has no score and must not pass.
+        scored = scored.filter(~F.isnan("stability_score") & (F.col("stability_score") >= options.stability))
     return scored
 
 
@@ -97,9 +99,9 @@ def clean_candidates(records: DataFrame, min_area: int, threshold: float) -> Dat
     """
     keys = list(CANDIDATE_KEYS)
     base = records.select(*keys, "h", "w", "counts")
-    cleaned = mask_box(clean_regions(base, min_area, keys)).select(
+    cleaned = cut_lineage(mask_box(clean_regions(base, min_area, keys)).select(
         *keys, "x0", "y0", "x1", "y1", F.when(F.col("changed"), 0.0).otherwise(1.0).alias("score"),
-        F.col("counts").alias("_counts"))
+        F.col("counts").alias("_counts")))
     kept = nms(cleaned, ["image_id"], threshold, "score", "candidate_id")
     renamed = kept.select(*keys, "score", "_counts", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
     joined = records.join(renamed, keys)
@@ -114,7 +116,8 @@ def candidate_masks(candidates: DataFrame, options: QualityOptions) -> DataFrame
     keys = list(CANDIDATE_KEYS)
     scored = quality_filter(candidates, options)
     encoded = rle_encode(scored, "logits", lambda v: v.cast("double") > options.mask_threshold)
-    inside = drop_edge_boxes(mask_box(encoded), options.edge_tolerance)
+    # Kept in compressed form before its columns are filtered on: scores are encoded once, not per use.
+    inside = drop_edge_boxes(cut_lineage(mask_box(encoded)), options.edge_tolerance)
     kept = nms(inside, ["image_id", *CROP], options.box_nms, "predicted_iou", "candidate_id")
     full = uncrop_masks(kept.select(*keys, "h", "w", "counts", "crop_x0", "crop_y0", "image_h", "image_w"),
                         ("crop_x0", "crop_y0"), F.col("image_h"), F.col("image_w"), keys)
@@ -128,7 +131,7 @@ def candidate_masks(candidates: DataFrame, options: QualityOptions) -> DataFrame
 
 def mask_quality(candidates: DataFrame, options: QualityOptions = QualityOptions()) -> DataFrame:
     """The whole candidate flow, from scores to nested records."""
-    records = crop_dedupe(candidate_masks(candidates, options), options.crop_nms)
+    records = crop_dedupe(cut_lineage(candidate_masks(candidates, options)), options.crop_nms)
     if options.min_region_area > 0:
         records = clean_candidates(records, options.min_region_area, max(options.box_nms, options.crop_nms))
     return candidate_records(records)

@@ -35,8 +35,9 @@ def components(masks: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
     """Labels the 8-connected foreground regions of each mask.
 
     Out: keys, h, x, y0, y1, node, component; the component is the smallest column-major offset in it.
-    Labels move along touching column pieces and then jump to the label of their label, so the number of
-    rounds grows with the logarithm of a region's length. It stops when no label changes.
+    A smaller label next door is offered to the piece and to the piece its label names, and labels then jump
+    to the label of their label, so rounds grow with the logarithm of a region's length. It stops when no
+    label changes.
     """
     keys = list(keys)
     segments = cut_lineage(column_segments(masks, keys).withColumn("node", F.col("x") * F.col("h") + F.col("y0")))
@@ -44,9 +45,12 @@ def components(masks: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
     edges = cut_lineage(pairs.unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = segments.select(*keys, "node", F.col("node").alias("component"))
     while True:
+        near = labels.select(*keys, F.col("node").alias("b"), F.col("component").alias("near"))
+        mine = labels.select(*keys, F.col("node").alias("a"), F.col("component").alias("mine"))
         offered = (
-            edges.join(labels.select(*keys, F.col("node").alias("b"), F.col("component").alias("near")), [*keys, "b"])
-            .groupBy(*keys, F.col("a").alias("node")).agg(F.min("near").alias("near"))
+            edges.join(near, [*keys, "b"]).join(mine, [*keys, "a"]).filter(F.col("near") < F.col("mine"))
+            .select(*keys, F.explode(F.array("a", "mine")).alias("node"), "near")
+            .groupBy(*keys, "node").agg(F.min("near").alias("near"))
         )
         hooked = labels.join(offered, [*keys, "node"], "left").select(
             *keys, "node", F.col("component").alias("before"), F.least("component", F.coalesce("near", "component")).alias("low"))

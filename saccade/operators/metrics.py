@@ -6,6 +6,8 @@ not depend on the order in which partitions are added up.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from saccade.functions.numeric import check_fps, frames_to_ms, safe_div
@@ -188,15 +190,19 @@ def temporal_dynamics(events: DataFrame, num_phases: int = 3, bounds: str = "glo
 
 
 def summary_scores(events: DataFrame, fps: float, num_phases: int = 3, wide: bool = True,
-                   bounds: str = "global", end_inclusive: bool = True, seq: str | None = None) -> DataFrame:
-    """All metrics per participant and label; ``wide`` adds one probability column per target label."""
+                   bounds: str = "global", end_inclusive: bool = True, seq: str | None = None,
+                   labels: Sequence[str] | None = None) -> DataFrame:
+    """All metrics per participant and label; ``wide`` adds one probability column per target label.
+
+    With ``labels`` given (all that can occur) the extra pass that looks up the vocabulary is saved.
+    """
     check_fps(fps)
     bounded, phases = phase_frames(events, num_phases, bounds, end_inclusive)
     scores = _share_total(aoi_frames(bounded, *phases)).select(
         "participant_id", "aoi_name", *_summary_columns(fps), *_phase_shares(num_phases))
     if not wide:
         return scores
-    names = aoi_names(events)
+    names = sorted(labels) if labels is not None else aoi_names(events)
     counts = transition_counts(events, seq).groupBy("participant_id", "source_aoi")
     grid = counts.pivot("target_aoi", names).agg(F.first("n"))
     cells = {name: F.coalesce(F.col(f"`{name}`"), F.lit(0)).cast("double") for name in names}

@@ -23,15 +23,15 @@ def prompt_json(prompts: DataFrame, labels: Sequence[str], clicks_per_document:
     place = F.lit(None).cast("int")
     for label, at in order.items():
         place = F.when(F.col("label") == label, at).otherwise(place)
-    listed = prompts.withColumn("_place", place).filter(F.col("_place").isNotNull())
+    listed = prompts.withColumn("_label_place", place).filter(F.col("_label_place").isNotNull())
     numbered = ranked(listed, ["participant_id"], ["seq"], frame_chunk(F.col("seq"), _SEQ_CHUNK), "_rank")
     click = F.struct("x", "y", "positive", "label", "frame")
     return (
         numbered.withColumn("part", F.floor((F.col("_rank") - 1) / F.lit(clicks_per_document)))
-        .groupBy("participant_id", "part", "_place", "label")
+        .groupBy("participant_id", "part", "_label_place", "label")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", click.alias("click")))), lambda c: c["click"]).alias("clicks"))
         .groupBy("participant_id", "part")
-        .agg(F.sort_array(F.collect_list(F.struct("_place", "label", "clicks"))).alias("entries"))
+        .agg(F.sort_array(F.collect_list(F.struct("_label_place", "label", "clicks"))).alias("entries"))
         .select("participant_id", "part", F.to_json(F.map_from_entries(
             F.transform("entries", lambda e: F.struct(e["label"], e["clicks"])))).alias("json"))
     )

@@ -2,7 +2,7 @@
 
 Boxes that overlap by more than a threshold t have widths, and heights, within a factor 1/t of each other.
 Each box is put on grids whose cells fit its own size class and the next larger one; two boxes that can
-exceed t then share a cell of a common grid. No step pairs the boxes of a group or a cell with each other.
+exceed t then share a cell of a common grid. Suppression pairs boxes only with settled leaders of their cells.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from saccade.functions.geometry import box_iou
 from saccade.session import cut_lineage
 
 BOX = ("x0", "y0", "x1", "y1")
+OPEN, DROPPED, KEPT = 0, 1, 2
+
+SMALL_GROUP = 64
+
 CELL = ("level_w", "level_h", "cell_x", "cell_y")
 
 
@@ -35,64 +39,93 @@ def _cells(threshold: float) -> Column:
         size = F.pow(F.lit(ratio), level + 1)
         return F.sequence(F.floor(low / size), F.floor(high / size))
 
+    def grid(level_w: Column, level_h: Column) -> Column:
+        rows = strip(F.col("y0"), F.col("y1"), level_h)
+        return F.flatten(F.transform(strip(F.col("x0"), F.col("x1"), level_w), lambda cx: F.transform(
+            rows, lambda cy: F.struct(level_w.alias("level_w"), level_h.alias("level_h"),
+                                      cx.alias("cell_x"), cy.alias("cell_y")))))
+
     wide, high = size_class(F.col("x1") - F.col("x0")), size_class(F.col("y1") - F.col("y0"))
-    grids = []
-    for step_w in (0, 1):
-        for step_h in (0, 1):
-            level_w, level_h = wide + step_w, high + step_h
-            columns = strip(F.col("x0"), F.col("x1"), level_w)
-            rows = strip(F.col("y0"), F.col("y1"), level_h)
-            grids.append(F.flatten(F.transform(columns, lambda cx, lw=level_w, lh=level_h, ys=rows: F.transform(
-                ys, lambda cy: F.struct(lw.alias("level_w"), lh.alias("level_h"),
-                                        cx.alias("cell_x"), cy.alias("cell_y"))))))
-    return F.concat(*grids)
+    return F.concat(*[grid(wide + i, high + j) for i in (0, 1) for j in (0, 1)])
 
 
 def _has_area() -> Column:
     return (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
 
 
-def nms(boxes: DataFrame, group: Sequence[str], threshold: float, score: str = "score", box_id: str = "id") -> DataFrame:
+def nms(boxes: DataFrame, group: Sequence[str], threshold: float, score: str = "score", box_id: str = "id",
+        small_group: int = SMALL_GROUP) -> DataFrame:
     """Greedy suppression: best score first (lowest id on ties), dropping boxes with a larger overlap.
 
-    In rounds: a box that leads every cell it lies in has no better rival left, so it is kept, and boxes of
-    its cells that overlap it too much are dropped. The best open box of a group always leads, so each round
-    decides at least one box per group, and the result is that of the sequential procedure. Work per round is
-    linear in the open boxes: one leader per cell by a combining aggregate, one match per box and cell.
-    Boxes without area overlap nothing and are kept.
+    Groups of at most ``small_group`` boxes, known by a count, are settled in one pass over a short array.
+    Larger groups go in rounds: a box that leads every cell it lies in has no better rival left, so it is
+    kept, and boxes of its cells that overlap it too much are dropped. The best open box of a group always
+    leads, so each round decides at least one box per group, and the result is that of the sequential
+    procedure. Work per round is linear in the open boxes: one leader per cell by a combining aggregate, one
+    match per box and cell. Boxes without area overlap nothing and are kept.
     """
     group = list(group)
     key = [*group, box_id]
-    order = F.struct(-F.col(score), F.col(box_id))
-    slim = boxes.select(*key, *BOX, F.col(score))
-    open_boxes = cut_lineage(
-        slim.filter(_has_area()).select(*key, *BOX, order.alias("rank"), _cells(threshold).alias("cells"))
-        .withColumn("n_cells", F.size("cells")))
-    kept = [slim.filter(~_has_area()).select(*key)]
-    while not open_boxes.isEmpty():
-        spread = open_boxes.select(*key, *BOX, "rank", "n_cells", F.explode_outer("cells").alias("cell")).select(
-            *key, *BOX, "rank", "n_cells", "cell.*")
-        leaders = spread.groupBy(*group, *CELL).agg(
-            F.min_by(F.struct(F.col(box_id).alias("id"), *BOX, "n_cells"), "rank").alias("best"))
-        winners = leaders.groupBy(*group, F.col("best.id").alias("winner")).agg(
-            F.count(F.lit(1)).alias("led"), F.first("best.n_cells").alias("n_cells")).filter("led = n_cells")
-        winning = cut_lineage(
-            leaders.select(*group, *CELL, F.col("best.id").alias("winner"),
-                           *[F.col(f"best.{side}").alias(f"w_{side}") for side in BOX])
-            .join(winners.select(*group, "winner"), [*group, "winner"], "left_semi"))
-        decided = winning.select(*group, F.col("winner").alias(box_id)).distinct()
-        kept.append(decided)
-        mine, theirs = [F.col(side) for side in BOX], [F.col(f"w_{side}") for side in BOX]
-        beaten = (
-            spread.join(winning, [*group, *CELL])
-            .filter((F.col(box_id) == F.col("winner")) | (box_iou(mine, theirs) > threshold))
-            .select(*key).distinct()
-        )
-        open_boxes = cut_lineage(open_boxes.join(beaten, key, "left_anti"))
-    survivors = kept[0]
-    for part in kept[1:]:
-        survivors = survivors.unionByName(part)
-    return boxes.join(survivors, key, "left_semi")
+    sizes = boxes.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct((-F.col(score)).alias("behind"), F.col(box_id).alias("id"))
+    slim = cut_lineage(boxes.select(*key, *BOX, rank.alias("rank")).join(sizes, group).withColumn(
+        "small", F.col("n") <= small_group).drop("n"))
+    kept = _settle_small(slim.filter("small"), group, box_id, threshold)
+    large = slim.filter(~F.col("small")).drop("small")
+    if not large.isEmpty():
+        kept = kept.unionByName(_settle_large(large, group, box_id, threshold))
+    return boxes.join(kept, key, "left_semi")
+
+
+def _settle_small(boxes: DataFrame, group: list[str], box_id: str, threshold: float) -> DataFrame:
+    """Kept keys of groups with few boxes, by a fold over the boxes of a group, best first."""
+    queue = F.sort_array(F.collect_list(F.struct("rank", *BOX)))
+    entry = boxes.groupBy(*group).agg(queue.alias("queue"))
+
+    def sides(box: Column) -> list[Column]:
+        return [box[side] for side in BOX]
+
+    def take(chosen: Column, box: Column) -> Column:
+        rival = F.exists(chosen, lambda other: F.coalesce(box_iou(sides(other), sides(box)) > threshold, F.lit(False)))
+        return F.when(rival, chosen).otherwise(F.concat(chosen, F.array(box)))
+
+    chosen = F.aggregate("queue", F.slice("queue", F.lit(1), F.lit(0)), take)
+    return entry.select(*group, F.explode_outer(chosen).alias("box")).select(
+        *group, F.col("box.rank.id").alias(box_id))
+
+
+def _settle_large(boxes: DataFrame, group: list[str], box_id: str, threshold: float) -> DataFrame:
+    """Kept keys of groups of any size, in rounds."""
+    key = [*group, box_id]
+    kept = boxes.filter(~_has_area()).select(*key)
+    state = boxes.filter(_has_area()).select(*key, *BOX, "rank", _cells(threshold).alias("cells"), F.lit(OPEN).alias("state"))
+    while True:
+        state = cut_lineage(_round(state, group, box_id, threshold))
+        kept = kept.unionByName(state.filter(F.col("state") == KEPT).select(*key))
+        state = state.filter(F.col("state") == OPEN)
+        if state.isEmpty():
+            return kept
+
+
+def _round(boxes: DataFrame, group: list[str], box_id: str, threshold: float) -> DataFrame:
+    """Settles the leaders of all their cells and the boxes these beat."""
+    key = [*group, box_id]
+    spread = boxes.select(*key, *BOX, "rank", F.size("cells").alias("n_cells"), F.explode_outer("cells").alias("cell")).select(
+        *key, *BOX, "rank", "n_cells", "cell.*")
+    leaders = spread.groupBy(*group, *CELL).agg(
+        F.min_by(F.struct(F.col(box_id).alias("id"), *BOX, "n_cells"), "rank").alias("best"))
+    leaders = leaders.select(*group, *CELL, F.col("best.id").alias("winner"), F.col("best.n_cells").alias("n_cells"),
+                             *[F.col(f"best.{side}").alias(f"w_{side}") for side in BOX])
+    winners = leaders.groupBy(*group, "winner").agg(
+        F.count(F.lit(1)).alias("led"), F.first("n_cells").alias("n_cells")).filter("led = n_cells")
+    winning = leaders.drop("n_cells").join(winners.select(*group, "winner"), [*group, "winner"], "left_semi")
+    mine, theirs = [F.col(side) for side in BOX], [F.col(f"w_{side}") for side in BOX]
+    verdict = F.when(F.col(box_id) == F.col("winner"), KEPT).when(box_iou(mine, theirs) > threshold, DROPPED)
+    settled = (
+        spread.join(winning, [*group, *CELL]).withColumn("verdict", verdict).filter(F.col("verdict").isNotNull())
+        .groupBy(*key).agg(F.max("verdict").alias("verdict"))
+    )
+    return boxes.join(settled, key, "left").withColumn("state", F.coalesce("verdict", "state")).drop("verdict")
 
 
 def box_overlaps(boxes: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:

@@ -1,6 +1,6 @@
 """Jobs, fixture views and registered queries."""
 
-from saccade.plans import q_mapping, q_masks, q_metrics, q_scalar  # noqa: F401
+from saccade.plans import q_boxes, q_mapping, q_masks, q_metrics, q_prompts, q_scalar, q_sync  # noqa: F401
 from saccade.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -206,7 +206,7 @@ def frame_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 V6 = """
-sel AS (SELECT c_custkey AS id, lpad(CAST(c_custkey AS VARCHAR), greatest(3, length(CAST(c_custkey AS VARCHAR))), '0') AS participant_id
+sel AS (SELECT c_custkey AS id, lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(3, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') AS participant_id
         FROM customer),
 meta AS (
   SELECT o_custkey AS id, CAST(arg_min(o_orderkey % 1000, o_orderkey) AS INTEGER) AS start_frame,

@@ -113,7 +113,7 @@ def p15(spark, sf_dir):
 
 
 @query("p16_label_list", f"""WITH v AS (SELECT event_id, event_type || ' , ,  ' || user_id || ',' || CASE WHEN event_id % 2 = 0 THEN '' ELSE ' x y ' END AS t FROM events)
-SELECT event_id, list_filter(list_transform(string_split(t, ','), p -> trim(p)), p -> p <> '') AS labels FROM v""")
+SELECT event_id, list_filter(list_transform(string_split(t, ','), lambda p: trim(p)), lambda p: p <> '') AS labels FROM v""")
 def p16(spark, sf_dir):
     text = F.concat("event_type", F.lit(" , ,  "), F.col("user_id").cast("string"), F.lit(","),
                     F.when(F.col("event_id") % 2 == 0, "").otherwise(" x y "))

@@ -8,8 +8,10 @@ from saccade.schemas import RUN_FILE_COLUMNS
 
 
 def _writer(df: DataFrame, partitioned: bool):
-    writer = df.write.mode("errorifexists")
-    return writer.partitionBy("participant_id") if partitioned else writer
+    """``rebalance`` brings a participant's rows together and splits those of a very large one."""
+    if not partitioned:
+        return df.write.mode("errorifexists")
+    return df.hint("rebalance", "participant_id").write.mode("errorifexists").partitionBy("participant_id")
 
 
 def run_file_rows(runs: DataFrame) -> DataFrame:
@@ -19,14 +21,12 @@ def run_file_rows(runs: DataFrame) -> DataFrame:
 
 
 def write_runs(runs: DataFrame, path: str) -> None:
-    """One folder per participant, rows in time order inside each file."""
-    rows = run_file_rows(runs).sortWithinPartitions("participant_id", "start frame")
-    _writer(rows, True).option("header", True).csv(path)
+    """One folder per participant."""
+    _writer(run_file_rows(runs), True).option("header", True).csv(path)
 
 
 def write_codes(codes: DataFrame, path: str) -> None:
-    rows = codes.select("participant_id", "framenum", "code").sortWithinPartitions("participant_id", "framenum")
-    _writer(rows, True).option("header", True).csv(path)
+    _writer(codes.select("participant_id", "framenum", "code"), True).option("header", True).csv(path)
 
 
 def write_scores_csv(scores: DataFrame, path: str, partitioned: bool = False) -> None:
