@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from saccade.functions.numeric import check_fps, frames_to_ms, safe_div
 from saccade.operators.ordered import FRAMES_PER_CHUNK, frame_chunk, with_next
+from saccade.session import cut_lineage
 
 # One output column per label; a table with more distinct labels is not a labelled recording.
 MAX_LABELS = 5000
@@ -191,12 +192,16 @@ def temporal_dynamics(events: DataFrame, num_phases: int = 3, bounds: str = "glo
 
 def summary_scores(events: DataFrame, fps: float, num_phases: int = 3, wide: bool = True,
                    bounds: str = "global", end_inclusive: bool = True, seq: str | None = None,
-                   labels: Sequence[str] | None = None) -> DataFrame:
+                   labels: Sequence[str] | None = None, materialize: bool = True) -> DataFrame:
     """All metrics per participant and label; ``wide`` adds one probability column per target label.
 
-    With ``labels`` given (all that can occur) the extra pass that looks up the vocabulary is saved.
+    Events are read several times (bounds, sums, transitions), so they are written once to the shared folder
+    first, unless ``materialize`` is off, as it may be for events that come straight from files. With
+    ``labels`` given (all that can occur) the pass that looks up the vocabulary is saved.
     """
     check_fps(fps)
+    if materialize:
+        events = cut_lineage(events)
     bounded, phases = phase_frames(events, num_phases, bounds, end_inclusive)
     scores = _share_total(aoi_frames(bounded, *phases)).select(
         "participant_id", "aoi_name", *_summary_columns(fps), *_phase_shares(num_phases))

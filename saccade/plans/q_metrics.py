@@ -225,14 +225,19 @@ def a13(spark, sf_dir):
     return M.summary_scores(events(spark, sf_dir), FPS, wide=False)
 
 
-SCORES = f"""WITH {WIDE}{MATRIX[len(RUNS):]},
-target_columns AS (
-  SELECT participant_id, source_aoi AS aoi_name, {", ".join(
-    f"max(CASE WHEN target_aoi = '{n}' THEN probability END) AS transition_probability_to_{n}" for n in NAMES)}
-  FROM matrix GROUP BY ALL)
+SCORES_HEAD = f"WITH {WIDE}{MATRIX[len(RUNS):]}"
+
+
+def targets_sql(names):
+    columns = ", ".join(f"max(CASE WHEN target_aoi = '{n}' THEN probability END) AS transition_probability_to_{n}" for n in names)
+    return f""",
+target_columns AS (SELECT participant_id, source_aoi AS aoi_name, {columns} FROM matrix GROUP BY ALL)
 SELECT * FROM summary JOIN target_columns USING (participant_id, aoi_name) JOIN phase_columns USING (participant_id, aoi_name)"""
 
 
+SCORES = SCORES_HEAD + targets_sql(NAMES)
+
+
 @query("a14_wide_scores", SCORES)
 def a14(spark, sf_dir):
     return M.summary_scores(events(spark, sf_dir), FPS)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 ARCHIVE_MASKS = "participant_id string, frame int, label_ord int, label string, h int, w int, counts array<int>"
 
@@ -62,7 +62,7 @@ def mask_archives(masks: DataFrame) -> DataFrame:
         "participant_id", "frame").applyInPandas(_pack, "participant_id string, frame int, content binary")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _mean_gray(data: pd.Series, channels: pd.Series) -> pd.Series:
     def mean(content: bytes, n: int) -> float:
         values = np.frombuffer(content, dtype=np.uint8).reshape(-1, n).astype(np.int64)
