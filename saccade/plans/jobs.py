@@ -26,15 +26,19 @@ def fixation_metrics(runs: DataFrame, fps: float, num_phases: int = 3, **options
 
 
 def run_fixation_metrics(spark: SparkSession, source: str, target: str, fps: float = 30.0, num_phases: int = 3,
-                         participant_id: str | None = None, partitioned_source: bool = False) -> DataFrame:
-    """Run files to scores, kept as CSV and JSON with one folder per participant. Returns the written scores."""
-    if partitioned_source:
-        events = readers.read_partitioned_runs(spark, source, fps)
+                         participant_id: str | None = None, cohort_source: bool = False,
+                         partitioned: bool = True) -> DataFrame:
+    """Run files to scores, kept as CSV and JSON. Returns the written scores.
+
+    ``partitioned`` writes one folder per participant; a large cohort is better kept as one table.
+    """
+    if cohort_source:
+        events = readers.read_cohort_runs(spark, source, fps)
     else:
         events = readers.read_runs(spark, source, fps, participant_id)
     scores = cut_lineage(fixation_metrics(events, fps, num_phases))
-    writers.write_scores_csv(scores, f"{target.rstrip('/')}/csv", partitioned=True)
-    writers.write_scores_json(scores, f"{target.rstrip('/')}/json", partitioned=True)
+    writers.write_scores_csv(scores, f"{target.rstrip('/')}/csv", partitioned)
+    writers.write_scores_json(scores, f"{target.rstrip('/')}/json", partitioned)
     return scores
 
 

@@ -22,9 +22,9 @@ from saccade.session import scratch_path
 from saccade.sources import binary, readers, writers
 
 
-def run_file(spark, sf_dir):
+def run_file(spark, sf_dir, partitioned=True):
     path = scratch_path(spark, "runs")
-    writers.write_runs(collapse_runs(gaze_codes(spark, sf_dir), MAP_FPS, end_mode="half_open"), path)
+    writers.write_runs(collapse_runs(gaze_codes(spark, sf_dir), MAP_FPS, end_mode="half_open"), path, partitioned)
     return path
 
 
@@ -35,7 +35,7 @@ half AS (SELECT participant_id, aoi_name, duration_frames, start_frame, end_fram
 @query("s01_run_scan", f"""WITH {HALF_OPEN}
 SELECT participant_id, aoi_name, duration_frames * {MS} AS duration_ms, duration_frames, start_frame * {MS} AS timestamp_ms, start_frame, end_frame FROM half""")
 def s01(spark, sf_dir):
-    return readers.read_partitioned_runs(spark, run_file(spark, sf_dir), FPS)
+    return readers.read_cohort_runs(spark, run_file(spark, sf_dir), FPS)
 
 
 @query("s09_run_sink", f"""WITH {HALF_OPEN}
@@ -178,4 +178,5 @@ def _half(sql):
 
 @query("e01_fixation_metrics", _half(E01))
 def e01(spark, sf_dir):
-    return jobs.run_fixation_metrics(spark, run_file(spark, sf_dir), scratch_path(spark, "metrics"), FPS, partitioned_source=True)
+    return jobs.run_fixation_metrics(spark, run_file(spark, sf_dir, partitioned=False), scratch_path(spark, "metrics"), FPS,
+                                     cohort_source=True, partitioned=False)

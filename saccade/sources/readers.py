@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from saccade.functions.numeric import check_fps
 from saccade.operators.ordered import ranked
@@ -29,9 +30,9 @@ def read_runs(spark: SparkSession, path: str, fps: float = 30.0, participant_id:
     return fixation_events(runs, fps)
 
 
-def read_partitioned_runs(spark: SparkSession, path: str, fps: float = 30.0) -> DataFrame:
-    """Fixation events from run files kept in one participant_id=... folder per participant."""
-    raw = spark.read.schema(RUN_FILE.add("participant_id", "string")).option("header", True).option(
+def read_cohort_runs(spark: SparkSession, path: str, fps: float = 30.0) -> DataFrame:
+    """Fixation events of many participants; participant_id is a folder name or the last column."""
+    raw = spark.read.schema(StructType([*RUN_FILE.fields, StructField("participant_id", StringType())])).option("header", True).option(
         "mode", "FAILFAST").csv(path)
     runs = raw.select(
         "participant_id", F.trim("name").alias("aoi_name"), F.col("frame duration").alias("duration_frames"),

@@ -20,9 +20,10 @@ def run_file_rows(runs: DataFrame) -> DataFrame:
     return runs.select("participant_id", *[F.col(f).alias(c) for f, c in zip(fields, RUN_FILE_COLUMNS)])
 
 
-def write_runs(runs: DataFrame, path: str) -> None:
-    """One folder per participant."""
-    _writer(run_file_rows(runs), True).option("header", True).csv(path)
+def write_runs(runs: DataFrame, path: str, partitioned: bool = True) -> None:
+    """One folder per participant, or one table for the cohort with participant_id as its last column."""
+    rows = run_file_rows(runs).select(*[f"`{c}`" for c in RUN_FILE_COLUMNS], "participant_id")
+    _writer(rows, partitioned).option("header", True).csv(path)
 
 
 def write_codes(codes: DataFrame, path: str) -> None:
