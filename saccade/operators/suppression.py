@@ -19,6 +19,9 @@ OPEN, DROPPED, KEPT = 0, 1, 2
 
 SMALL_GROUP = 64
 
+# Marks the one cell of a small group.
+WHOLE_GROUP = -(2 ** 31)
+
 CELL = ("level_w", "level_h", "cell_x", "cell_y")
 
 
@@ -128,16 +131,21 @@ def _round(boxes: DataFrame, group: list[str], box_id: str, threshold: float) ->
     return boxes.join(settled, key, "left").withColumn("state", F.coalesce("verdict", "state")).drop("verdict")
 
 
-def box_overlaps(boxes: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:
+def box_overlaps(boxes: DataFrame, group: Sequence[str], threshold: float,
+                 small_group: int = SMALL_GROUP) -> DataFrame:
     """Pairs of different boxes of a group that overlap by more than ``threshold``.
 
     Equal boxes are first folded into one row with its number of copies, so copies do not multiply pairs.
+    Groups of at most ``small_group`` different boxes use one cell, larger ones the grids.
     Out: group, a_x0.., b_x0.., a_copies, b_copies, iou, with a before b in coordinate order.
     """
     group = list(group)
     folded = boxes.filter(_has_area()).groupBy(*group, *BOX).agg(F.count(F.lit(1)).alias("copies"))
-    spread = folded.select(*group, *BOX, "copies", F.explode_outer(_cells(threshold)).alias("cell")).select(
-        *group, *BOX, "copies", "cell.*")
+    sizes = folded.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    whole = F.array(F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in zip(CELL, ("int", "int", "long", "long"))]))
+    cells = F.when(F.col("n") <= small_group, whole).otherwise(_cells(threshold))
+    spread = folded.join(sizes, group).select(*group, *BOX, "copies", F.explode_outer(cells).alias("cell")).select(
+        *group, *BOX, "copies", *[F.coalesce(f"cell.{name}", F.lit(WHOLE_GROUP)).alias(name) for name in CELL])
     names = [*BOX, "copies"]
     a = spread.select(*group, *CELL, *[F.col(n).alias(f"a_{n}") for n in names])
     b = spread.select(*group, *CELL, *[F.col(n).alias(f"b_{n}") for n in names])
@@ -152,7 +160,7 @@ def box_overlaps(boxes: DataFrame, group: Sequence[str], threshold: float) -> Da
         return F.floor(F.log(longest) / F.log(F.lit(ratio))) == F.col(level)
 
     # Reported once: on the grid of the larger box, in the cell of the overlap's first corner.
-    once = (
+    once = (F.col("level_w") == WHOLE_GROUP) | (
         finest(left[2] - left[0], right[2] - right[0], "level_w") & finest(left[3] - left[1], right[3] - right[1], "level_h")
         & (corner(0, "level_w") == F.col("cell_x")) & (corner(1, "level_h") == F.col("cell_y"))
     )
