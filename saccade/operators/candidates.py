@@ -98,8 +98,9 @@ def clean_candidates(records: DataFrame, min_area: int, threshold: float) -> Dat
     Repaired candidates get their new mask and box.
     """
     keys = list(CANDIDATE_KEYS)
+    records = cut_lineage(records)
     base = records.select(*keys, "h", "w", "counts")
-    cleaned = cut_lineage(mask_box(clean_regions(base, min_area, keys)).select(
+    cleaned = cut_lineage(mask_box(cut_lineage(clean_regions(base, min_area, keys))).select(
         *keys, "x0", "y0", "x1", "y1", F.when(F.col("changed"), 0.0).otherwise(1.0).alias("score"),
         F.col("counts").alias("_counts")))
     kept = nms(cleaned, ["image_id"], threshold, "score", "candidate_id")
