@@ -33,7 +33,7 @@ def label_array(events: DataFrame, column: str = "aoi_name") -> Column:
     names = F.sort_array(F.collect_list(column))
     checked = F.when(F.size(names) <= MAX_LABELS, names).otherwise(
         F.raise_error(F.lit(f"more than {MAX_LABELS} distinct labels")))
-    return events.select(column).distinct().agg(checked.alias("names")).scalar()
+    return events.select(column).distinct().limit(MAX_LABELS + 1).agg(checked.alias("names")).scalar()
 
 
 def _share_total(df: DataFrame) -> DataFrame:
