@@ -102,3 +102,12 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: later reads neither replay its plan nor need the executors that made it."""
+    from saccade.session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccade.llm import exact, merges, packing, simhash, streams
+from saccade.llm import exact, lines, merges, mixture, packing, simhash, sketches, streams, substrings, toxicity
 from saccade.llm.common import read_table
 from saccade.session import scratch_path
 
@@ -57,3 +57,41 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = merges.encode(read_table(spark, sf_dir, "documents"), ranks)
     return merges.decode(encoded, ranks).drop("decoded")
+
+
+@query("op2_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.document_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_toxicity")
+def document_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.document_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op9_language_mixture")
+def language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.identify(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_line_quality")
+def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.document_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op1_suffix_dedup", """
+    WITH t AS (SELECT doc_id, hex(encode(coalesce("text", ''))) AS h FROM documents),
+    w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS m
+          FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS p FROM t)),
+    r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1),
+    g AS (SELECT doc_id, p, p > 400 + coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) AS opens FROM r),
+    s AS (SELECT doc_id, sum(opens::int) OVER (PARTITION BY doc_id ORDER BY p) AS k, p FROM g),
+    c AS (SELECT doc_id, k, min(p) AS a, max(p) + 400 AS b FROM s GROUP BY ALL),
+    e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f FROM c),
+    o AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS z,
+                 string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS kept FROM e JOIN t USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept || substr(h, 2 * z + 1), h))) AS kept_sha256
+    FROM t LEFT JOIN o USING (doc_id)""")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(read_table(spark, sf_dir, "documents")).drop("spans")
