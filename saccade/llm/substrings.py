@@ -200,7 +200,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ki
 def merged(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
     """The byte ranges that strings starting in ``spans`` cover, joined where they meet or overlap."""
     out: list[list[int]] = []
-    for s in sorted(spans or [], key=lambda s: (s["a"], s["b"])):
+    for s in sorted([] if spans is None else list(spans), key=lambda s: (s["a"], s["b"])):
         a, b = s["a"], s["b"] + length - 1
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
