@@ -142,7 +142,7 @@ def encode(docs: DataFrame, rank_file: str) -> DataFrame:
     """doc_id and ids (unsigned 32-bit, little endian) of every whole text; a null or empty text has none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, coder = _coder(rank_file)
-        for batch in bounded(batches):
+        for batch in bounded(batches, limit=2 << 20):
             ids, upto = coder.encode(batch.column("text").to_pylist())
             raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "ids"])
@@ -154,7 +154,7 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     """``encoded`` (doc_id, ids) with n_tokens, ids_sha256 and the decoded bytes' decoded_sha256, and the bytes as ``decoded``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, _ = _coder(rank_file)
-        for batch in bounded(batches, "ids"):
+        for batch in bounded(batches, "ids", 2 << 20):
             raw = [v or b"" for v in batch.column("ids").to_pylist()]
             ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
             upto = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int64)

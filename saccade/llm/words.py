@@ -44,7 +44,7 @@ class WordCoder:
 
     Words stay known until they hold ``limit`` characters in all; then the memory starts afresh, which changes no result."""
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 8_000_000):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 3_000_000):
         self.encode_words, self.limit = encode_words, limit
         self._forget()
 
