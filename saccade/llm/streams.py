@@ -1,7 +1,7 @@
 """Token streams in Arrow stream files of equal-length sequences.
 
 A part of the corpus (a range of ids) is one file of record batches. A row is a sequence: ``ids``, a fixed-size list of
-unsigned 16- or 32-bit ids, and ``mask``, a fixed-size list that is 1 for ids and 0 for the fill of the last row. As all
+unsigned 16- or 32-bit ids, and ``mask``, a fixed-size list of bits, set for ids and not for the fill of the last row. As all
 rows have one width, any sequence is a slice of the mapped file without a copy. A second file of the part lists its
 documents: doc_id, start (ids of the part before it) and n_tokens. A manifest table names the files of finished tasks;
 files of lost attempts are in no manifest.
@@ -39,7 +39,7 @@ class SequenceWriter:
 
     def __init__(self, sink, width: int, kind: np.dtype):
         self.width, self.kind, self.rest, self.rows = width, kind, np.zeros(0, kind), 0
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), width)), ("mask", pa.list_(pa.uint8(), width))],
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), width)), ("mask", pa.list_(pa.bool_(), width))],
                                 metadata={"sequence": str(width)})
         self.file = pa.ipc.new_stream(sink, self.schema)
 
@@ -52,7 +52,7 @@ class SequenceWriter:
         self.rest = self.rest[upto:]
 
     def _rows(self, ids: np.ndarray, used: int) -> None:
-        mask = (np.arange(len(ids)) < used).astype(np.uint8)
+        mask = np.arange(len(ids)) < used
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.width) for x in (ids, mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.rows += len(ids) // self.width
@@ -113,7 +113,8 @@ def read_sequences(folder: str, ids_file: str, first: int = 0) -> Iterator[tuple
         seen = 0
         for batch in batches:
             if seen + batch.num_rows > first:
-                ids, mask = (np.asarray(batch.column(k).values).reshape(batch.num_rows, -1) for k in range(2))
+                ids = batch.column(0).values.to_numpy().reshape(batch.num_rows, -1)
+                mask = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 yield ids[max(0, first - seen):], mask[max(0, first - seen):]
             seen += batch.num_rows
 
@@ -153,7 +154,7 @@ class _Reader:
         while count:
             if self.at == len(self.held):
                 ids, mask = next(self.batches)
-                self.held, self.at = ids[mask == 1].astype("<u4"), 0
+                self.held, self.at = ids[mask].astype("<u4"), 0
             taken = self.held[self.at:self.at + count]
             found = zlib.crc32(taken.tobytes(), found)
             self.at, count = self.at + len(taken), count - len(taken)
