@@ -68,46 +68,44 @@ def as_text(a: Column) -> Column:
 
 
 def next_ids(rows: DataFrame) -> DataFrame:
-    """For every distinct (doc_id, mark) of ``rows`` the next one in descending order, null ids last; after the last the first.
+    """Every distinct row of ``rows`` (doc_id, mark and what they decide) with the ``next`` key in descending order, null ids
+    last; after the last the first.
 
     Keys are cut into ranges; within a range the next key is the next row, and between ranges only the ends of each range
     meet, which are as few as the partitions."""
     n = parallelism(rows.sparkSession)
-    keys = rows.select("doc_id", "mark").distinct()
     order = [F.desc_nulls_last("doc_id"), F.col("mark")]
-    ranged = cut_lineage(keys.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()))
+    ranged = cut_lineage(rows.distinct().repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()))
     inside = Window.partitionBy("range").orderBy(*order)
     first = F.row_number().over(inside) == 1
-    ahead = ranged.select("*", F.lead(F.struct("doc_id", "mark")).over(inside).alias("next"), first.alias("is_first"))
+    ahead = ranged.select("*", F.lead(F.struct("doc_id", "mark")).over(inside).alias("following"), first.alias("is_first"))
     heads = ahead.where("is_first").select("range", F.struct("doc_id", "mark").alias("head"))
     ends = Window.orderBy("range")
     everything = ends.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = heads.select("range", F.coalesce(F.lead("head").over(ends), F.first("head").over(everything)).alias("after"))
-    return ahead.join(F.broadcast(after), "range").select("doc_id", "mark", F.coalesce("next", "after").alias("next"))
+    return ahead.join(F.broadcast(after), "range").select(*rows.columns, F.coalesce("following", "after").alias("next"))
 
 
-def with_edited(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_chars, the edited text and the key (next_id, next_mark) of the next document.
+def with_next(docs: DataFrame, k: int = K) -> DataFrame:
+    """doc_id, text, the edited text and the sketch ``other`` of the next document.
 
     An edited text is the text with its last third (rounded down, in code points) replaced by as many code points from
     the start of the next document in descending order of id. Rows equal in id and text share a next document; a lone
-    document is its own. Only the part of a text that is put in travels to the text it is put into."""
-    texts = id_and_text(docs).withColumn("mark", F.xxhash64("text"))
-    sized = texts.withColumn("n_chars", F.length("text").cast("long"))
-    asked = next_ids(texts.select("doc_id", "mark"))
-    need = sized.select("doc_id", "mark", F.floor(F.col("n_chars") / 3).cast("int").alias("need")).distinct()
-    asked = asked.join(need.alias("n"), F.col("n.doc_id").eqNullSafe(asked["doc_id"]) & (F.col("n.mark") == asked["mark"])).select(
-        asked["doc_id"].alias("for_id"), asked["mark"].alias("for_mark"), "next", "need")
-    given = sized.alias("t").join(asked, F.col("t.doc_id").eqNullSafe(F.col("next.doc_id")) & (F.col("t.mark") == F.col("next.mark"))).select(
-        "for_id", "for_mark", F.col("next.doc_id").alias("next_id"), F.col("next.mark").alias("next_mark"),
-        F.expr("substring(t.text, 1, need)").alias("put"))
+    document is its own. Only a sketch and the part of a text that is put in travel to the text they are for, and both
+    joins read one shuffle of the texts."""
+    # Keys without nulls: a plain equality lets the grouping below and the join after it share one shuffle.
+    texts = id_and_text(docs).withColumn("mark", F.xxhash64("text")).withColumn("id_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    third = F.floor(F.length("text") / 3).cast("int")
+    asked = next_ids(texts.select("doc_id", "mark", third.alias("need"))).select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("for_id"), F.col("mark").alias("for_mark"),
+        F.coalesce(F.col("next.doc_id").cast("string"), F.lit("")).alias("next_id"), F.col("next.mark").alias("next_mark"), "need")
+    given = texts.join(asked, (F.col("id_key") == F.col("next_id")) & (F.col("mark") == F.col("next_mark"))).select(
+        "for_id", "for_mark", F.expr("substring(text, 1, need)").alias("put"), sketch(F.col("text"), k).alias("other"))
     # A next document that is repeated gives its part several times.
-    given = given.groupBy("for_id", "for_mark").agg(*[F.first(c).alias(c) for c in ("next_id", "next_mark", "put")])
-    third = F.floor(F.col("n_chars") / 3).cast("int")
-    return sized.join(given, F.col("doc_id").eqNullSafe(F.col("for_id")) & (F.col("mark") == F.col("for_mark"))).select(
-        "doc_id", "mark", "text", "n_chars", "next_id", "next_mark",
-        F.concat(F.expr("left(text, cast(n_chars as int) - cast(floor(n_chars / 3) as int))"),
-                 F.when(third > 0, F.col("put")).otherwise("")).alias("edited"))
+    given = given.groupBy("for_id", "for_mark").agg(F.first("put").alias("put"), F.first("other").alias("other"))
+    rows = texts.join(given, (F.col("id_key") == F.col("for_id")) & (F.col("mark") == F.col("for_mark")))
+    kept = F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))")
+    return rows.select("doc_id", "text", F.concat(kept, F.col("put")).alias("edited"), "other")
 
 
 def document_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
@@ -115,12 +113,9 @@ def document_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
 
     A null text is empty: its sketch is empty, which is wholly like another empty one and not at all like others. Repeated
     rows are repeated in the result. An empty table gives no rows."""
-    edited = with_edited(docs)
-    marked = cut_lineage(edited.select(
-        "doc_id", "mark", "n_chars", "next_id", "next_mark", F.sha2("edited", 256).alias("edited_sha256"),
-        sketch(F.col("text"), k).alias("own"), sketch(F.col("edited"), k).alias("changed")))
-    others = marked.groupBy(F.col("doc_id").alias("o_id"), F.col("mark").alias("o_mark")).agg(F.first("own").alias("other"))
-    met = marked.join(others, F.col("next_id").eqNullSafe(F.col("o_id")) & (F.col("next_mark") == F.col("o_mark")))
+    met = with_next(docs, k).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        sketch(F.col("text"), k).alias("own"), sketch(F.col("edited"), k).alias("changed"), "other")
     return met.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("changed")).alias("edited_fingerprint"),
