@@ -193,7 +193,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ki
     bodies = written(_bodies(docs, live.where("kinds > 1").withColumn("hot", F.col("kinds") > kinds), length), "bodies")
     apart = _sort_shards(bodies.where("not hot"), length).unionByName(_count_strings(bodies.where("hot"), length))
     marks = whole.unionByName(apart).groupBy("anchor", "digest", "strings").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    placed = found.join(marks, ["anchor", "digest", "strings"]).select("doc_id", "text_key", "start", F.explode("spans").alias("s"))
+    # Written first: a join of two plain tables lets adaptive execution split the rows of an anchor that is very common.
+    placed = found.join(written(marks, "marks"), ["anchor", "digest", "strings"]).select("doc_id", "text_key", "start", F.explode("spans").alias("s"))
     return placed.select("doc_id", "text_key", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
 
 
