@@ -79,6 +79,18 @@ def label_sample(rows: DataFrame, per_label: int, characters: int = 40_000_000)
     return list(zip(taken["text"].tolist(), taken["label"].astype(int).tolist(), strict=True))
 
 
+def joined(sample: list[tuple[str, int]], limit: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The bytes, ends and labels of the sample's texts, about ``limit`` bytes or one text at a time."""
+    raw: list[bytes] = []
+    labels: list[int] = []
+    for k, (text, label) in enumerate(sample):
+        raw.append(text.encode())
+        labels.append(label)
+        if sum(map(len, raw)) >= limit or k == len(sample) - 1:
+            yield np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64), np.array(labels)
+            raw, labels = [], []
+
+
 def platt(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
     """Slope (at least slightly positive) and offset of the logistic curve that fits 0/1 ``y`` over ``x``."""
     if len(x) == 0 or y.min() == y.max():

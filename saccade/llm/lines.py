@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import bounded, fold, id_and_text, label_sample, labelled, logistic, platt, utf8
+from saccade.llm.common import bounded, fold, id_and_text, joined, label_sample, labelled, logistic, platt, utf8
 
 #: Labelled rows of either label, and their characters in all, that the model is fitted on at most (expected figures).
-SAMPLE, SAMPLE_CHARACTERS = 2500, 16_000_000
+SAMPLE, SAMPLE_CHARACTERS = 2500, 12_000_000
 
 # Byte classes: upper, lower (with all bytes of other scripts), digit, blank, sentence marks, bars, other signs.
 _CLASS = np.full(256, 6, np.int64)
@@ -184,12 +184,15 @@ def fit(sample: list[tuple[str, int]]) -> QualityModel:
     labels = np.array([y for _, y in sample], np.int64)
     if not len(labels) or labels.min() == labels.max():
         return QualityModel(Chain(np.zeros(3 * WIDTH), np.zeros((2, 2))), 0.0, float(np.log(3) * (2 * labels.mean() - 1)) if len(labels) else 0.0)
-    raw = [t.encode() for t, _ in sample]
-    data, ends = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    x, _, first = line_features(data, ends)
-    chain = Chain.fit(with_neighbours(x, first), first, np.repeat(labels, np.diff(first)))
+    parts, sizes = [], []
+    for data, ends, _ in joined(sample):
+        x, _, first = line_features(data, ends)
+        parts.append(with_neighbours(x, first))
+        sizes.append(np.diff(first))
+    lengths = np.concatenate(sizes)
+    chain = Chain.fit(np.concatenate(parts), np.concatenate([[0], np.cumsum(lengths)]), np.repeat(labels, lengths))
     model = QualityModel(chain, 1.0, 0.0)
-    model.slope, model.offset = platt(model.good_share(data, ends), labels)
+    model.slope, model.offset = platt(np.concatenate([model.good_share(data, ends) for data, ends, _ in joined(sample)]), labels)
     return model
 
 

@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import bounded, fold, id_and_text, label_sample, labelled, logistic, platt, utf8
+from saccade.llm.common import bounded, fold, id_and_text, joined, label_sample, labelled, logistic, platt, utf8
 
 #: Labelled rows of either label, and their characters in all, that the model is fitted on at most (expected figures).
-SAMPLE, SAMPLE_CHARACTERS = 2500, 16_000_000
+SAMPLE, SAMPLE_CHARACTERS = 2500, 12_000_000
 LANDMARKS = 200
+#: Turns of training, and the best and the random windows of clean sentences that each turn adds.
+TURNS, HARD, RANDOM = 7, 6000, 3000
 #: Start places of subsequences in a window, and the gaps of a subsequence: next letter, and the one after.
 WINDOW = 7
 GAPS = [(1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1)]
@@ -127,18 +129,28 @@ def _windows(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, REACH)[at]
 
 
-def _telling(data: np.ndarray, of: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """How much oftener toxic than other documents have the four letters that start at each byte (log of the ratio)."""
+_TELLING = 1 << 22
+
+
+def _fours(data: np.ndarray) -> np.ndarray:
+    """A class for the four letters that start at each byte."""
     letter = np.concatenate([_LETTER[data], np.zeros(3, np.int64)])
     n = len(data)
     code = ((letter[:n] * _SIGNS + letter[1:n + 1]) * _SIGNS + letter[2:n + 2]) * _SIGNS + letter[3:n + 3]
-    pairs = np.unique(code * len(labels) + of)
-    kind, where = np.unique(pairs // len(labels), return_inverse=True)
-    toxic = labels[pairs % len(labels)]
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    one, nil = np.bincount(where, toxic), np.bincount(where, 1 - toxic)
-    ratio = np.log((one + 0.2) / (n1 + 1)) - np.log((nil + 0.2) / (n0 + 1))
-    return np.where(one >= 2, ratio, -1.0)[np.searchsorted(kind, code)]
+    return code * 2654435761 % 4294967296 >> 10
+
+
+def _telling(chunks: list[tuple], labels: np.ndarray) -> np.ndarray:
+    """By class of four letters, how much oftener toxic than other documents have them (log of the ratio)."""
+    counts = np.zeros((2, _TELLING), np.float32)
+    for data, ends, known in chunks:
+        of = np.repeat(np.arange(len(known)), np.diff(ends))
+        pairs = np.unique(_fours(data) * len(known) + of)
+        for label in (0, 1):
+            counts[label] += np.bincount(pairs[known[pairs % len(known)] == label] // len(known), minlength=_TELLING)
+    n1 = labels.sum()
+    ratio = np.log((counts[1] + 0.2) / (n1 + 1)) - np.log((counts[0] + 0.2) / (len(labels) - n1 + 1))
+    return np.where(counts[1] >= 2, ratio, np.float32(-1))
 
 
 def _train(k: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -168,32 +180,34 @@ def fit(sample: list[tuple[str, int]]) -> ToxicModel:
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return ToxicModel(np.zeros(_SIGNS**3), 0.0, 2.0 * (share > 0.5) - 1.0, 0.25)
-    raw = [t.encode() for t, _ in sample]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    data, ends = spaced(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
-    of = np.repeat(np.arange(len(labels)), np.diff(ends))
-    first = sentences(data, ends)
-    owner = of[np.minimum(first, len(data) - 1)]
-    telling = _telling(data, of, labels)
-    value = np.convolve(telling, np.ones(WINDOW - 3), "full")[WINDOW - 4:][:len(data)].copy()
-    value = _within(value, ends)
+    chunks = [(*spaced(data, ends), known) for data, ends, known in joined(sample)]
+    telling = _telling(chunks, labels)
     rng = np.random.default_rng(7)
-    table, bias, negatives = None, 0.0, None
-    for turn in range(7):
-        best = _argmax(value, ends)
-        positive = best[labels == 1]
-        by_sentence = _argmax(value, np.append(first, len(data)))[labels[owner] == 0]
-        hard = by_sentence[np.argsort(-value[by_sentence], kind="stable")[:6000]]
-        some = np.flatnonzero(labels[of] == 0)
-        some = some[rng.integers(0, len(some), min(len(some), 3000))]
-        new = np.unique(_windows(data, np.concatenate([hard, some])), axis=0)
-        negatives = new if negatives is None else np.unique(np.concatenate([negatives, new]), axis=0)
-        windows = _windows(data, positive)
+    table, negatives = None, None
+    for _ in range(TURNS):
+        windows, hard, worth, some = [], [], [], []
+        for data, ends, known in chunks:
+            if table is None:
+                value = np.convolve(telling[_fours(data)], np.ones(WINDOW - 3), "full")[WINDOW - 4:][:len(data)].copy()
+                value = _within(value, ends)
+            else:
+                value = window_scores(data, ends, table)
+            windows.append(_windows(data, _argmax(value, ends)[known == 1]))
+            first = sentences(data, ends)
+            clean = known[np.searchsorted(ends, first, side="right") - 1] == 0
+            best = _argmax(value, np.append(first, len(data)))[clean]
+            hard.append(_windows(data, best))
+            worth.append(value[best])
+            if (known == 0).any():
+                drawn = rng.integers(0, len(data), max(1, RANDOM // len(chunks)))
+                some.append(_windows(data, drawn[known[np.searchsorted(ends, drawn, side="right") - 1] == 0]))
+        windows, hard, worth = np.concatenate(windows), np.concatenate(hard), np.concatenate(worth)
+        new = np.concatenate([hard[np.argsort(-worth, kind="stable")[:HARD]], *some])
+        negatives = np.unique(new if negatives is None else np.concatenate([negatives, new]), axis=0)
         kinds, times = np.unique(windows, axis=0, return_counts=True)
         kinds = kinds[np.argsort(-times, kind="stable")]
         marks = np.concatenate([kinds[:LANDMARKS * 3 // 4], negatives[rng.permutation(len(negatives))[:LANDMARKS // 4]]])
-        gram = kernel(marks, marks)
-        size, axes = np.linalg.eigh(gram)
+        size, axes = np.linalg.eigh(kernel(marks, marks))
         use = size > 1e-6 * size.max()
         into = axes[:, use] / np.sqrt(size[use])
         x = np.concatenate([windows, negatives])
@@ -205,12 +219,10 @@ def fit(sample: list[tuple[str, int]]) -> ToxicModel:
         table = np.zeros(_SIGNS**3)
         codes, weights = explicit(marks)
         np.add.at(table, codes, weights * beta[:, None])
-        bias = w[-1]
-        value = window_scores(data, ends, table) + bias
-    best = np.maximum.reduceat(value, ends[:-1]) - bias
+    best = np.concatenate([np.maximum.reduceat(window_scores(data, ends, table), ends[:-1]) for data, ends, _ in chunks])
     slope, offset = platt(best, labels)
     empty = float(logistic(np.array([slope * best[labels == 0].min() + offset]))[0])
-    return ToxicModel(table.astype(np.float64), slope, offset, min(empty, 0.25))
+    return ToxicModel(table, slope, offset, min(empty, 0.25))
 
 
 def _argmax(value: np.ndarray, ends: np.ndarray) -> np.ndarray:
