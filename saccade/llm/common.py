@@ -57,24 +57,25 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
             row = upto
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
-    """Text and label of the rows to learn from. Of several labels of one document the larger holds."""
-    known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    return id_and_text(docs).where(learn).join(known, "doc_id").select("doc_id", "text", "label")
-
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_label: int,
+                 characters: int) -> list[tuple[str, int]]:
+    """About ``per_label`` rows of each label, and ``characters`` in all, of the rows to learn from, drawn by a hash of the id.
 
-def label_sample(rows: DataFrame, per_label: int, characters: int = 40_000_000) -> list[tuple[str, int]]:
-    """About ``per_label`` rows of each label, and ``characters`` in all, taken by a hash of the id.
-
-    This is the bounded sample a classifier is fitted on: its expected size does not grow with the input."""
+    This is the bounded sample a classifier is fitted on: its expected size does not grow with the input. Of several labels
+    of one document the larger holds. Only ids and sizes are joined with the labels; the drawn ids, as few as the sample,
+    are then broadcast to fetch their texts."""
+    known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    texts = id_and_text(docs).where(learn)
+    rows = texts.select("doc_id", F.length("text").alias("size")).join(known, "doc_id")
     counts = {r["label"]: (r["n"], r["size"]) for r in
-              rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()}
+              rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
     share = {k: min(1.0, per_label / n, characters / max(1, len(counts) * (size or 0))) for k, (n, size) in counts.items()}
     draw = (F.xxhash64(F.col("doc_id"), F.lit("sample")).bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32))
     rate = F.lit(0.0)
-    for label, part in share.items():
-        rate = F.when(F.col("label") == label, F.lit(part)).otherwise(rate)
-    taken = rows.where(draw < rate).select("doc_id", "text", "label").toPandas()
+    for value, part in share.items():
+        rate = F.when(F.col("label") == value, F.lit(part)).otherwise(rate)
+    drawn = rows.where(draw < rate).select("doc_id", "label").distinct()
+    taken = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").toPandas()
     taken = taken.sort_values(["doc_id", "text"], kind="stable")
     return list(zip(taken["text"].tolist(), taken["label"].astype(int).tolist(), strict=True))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import bounded, fold, id_and_text, joined, label_sample, labelled, logistic, platt, utf8
+from saccade.llm.common import bounded, fold, id_and_text, joined, label_sample, logistic, platt, utf8
 
 #: Labelled rows of either label, and their characters in all, that the model is fitted on at most (expected figures).
 SAMPLE, SAMPLE_CHARACTERS = 2500, 12_000_000
@@ -246,7 +246,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Fits on the rows whose fold of five is not 0."""
-    return fit(label_sample(labelled(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0), SAMPLE, SAMPLE_CHARACTERS))
+    return fit(label_sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, SAMPLE, SAMPLE_CHARACTERS))
 
 
 def document_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
