@@ -97,15 +97,17 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
     texts = id_and_text(docs).withColumn("mark", F.xxhash64("text")).withColumn("id_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     third = F.floor(F.length("text") / 3).cast("int")
     asked = next_ids(texts.select("doc_id", "mark", third.alias("need"))).select(
+        F.col("doc_id").alias("own_id"),
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("for_id"), F.col("mark").alias("for_mark"),
         F.coalesce(F.col("next.doc_id").cast("string"), F.lit("")).alias("next_id"), F.col("next.mark").alias("next_mark"), "need")
     given = texts.join(asked, (F.col("id_key") == F.col("next_id")) & (F.col("mark") == F.col("next_mark"))).select(
-        "for_id", "for_mark", F.expr("substring(text, 1, need)").alias("put"), sketch(F.col("text"), k).alias("other"))
+        "own_id", "for_id", "for_mark", F.expr("substring(text, 1, need)").alias("put"), sketch(F.col("text"), k).alias("other"))
     # A next document that is repeated gives its part several times.
-    given = given.groupBy("for_id", "for_mark").agg(F.first("put").alias("put"), F.first("other").alias("other"))
+    given = given.groupBy("for_id", "for_mark").agg(
+        F.first("own_id").alias("own_id"), F.first("put").alias("put"), F.first("other").alias("other"))
     rows = texts.join(given, (F.col("id_key") == F.col("for_id")) & (F.col("mark") == F.col("for_mark")))
     kept = F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))")
-    return rows.select("doc_id", "text", F.concat(kept, F.col("put")).alias("edited"), "other")
+    return rows.select(F.col("own_id").alias("doc_id"), "text", F.concat(kept, F.col("put")).alias("edited"), "other")
 
 
 def document_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
