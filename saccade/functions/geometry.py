@@ -93,8 +93,8 @@ def box_iou(a: list[Column], b: list[Column]) -> Column:
 def prompt_error(points: Column, labels: Column, box: Column, clear_old_points: Column) -> Column:
     """Reason why a prompt is not usable, or null."""
     return (
-        F.when(points.isNull() != labels.isNull(), "points and labels must be provided together")
-        .when(points.isNull() & box.isNull(), "at least one of points or box must be provided")
+        F.when(points.isNull() != labels.isNull(), "points need as many labels, and labels need points")
+        .when(points.isNull() & box.isNull(), "the prompt has neither points nor a box")
         .when(box.isNotNull() & ~clear_old_points, "a box replaces earlier points")
     )
 

@@ -63,12 +63,19 @@ def with_frame_counts(cohort: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def readiness(cohort: DataFrame, metadata: DataFrame, prompt_files: DataFrame, catalogue: DataFrame,
               videos: DataFrame, template: str, extraction_enabled: bool = True, video_pattern: str = "",
-              seq: str = "seq") -> DataFrame:
-    """State of each participant: metadata first, then the prompt, then the frames."""
+              seq: str = "seq", folders: DataFrame | None = None) -> DataFrame:
+    """State of each participant: metadata first, then the prompt, then the frames.
+
+    ``folders`` lists the ids that have a frame folder, be it empty; without it those with frame files are taken to.
+    """
     listed = with_prompt_flag(with_frame_ranges(cohort, metadata, seq), prompt_files, template)
     counted = with_frame_counts(listed, catalogue)
     filmed = counted.join(videos.select("id").distinct().withColumn("_video", F.lit(True)), "id", "left")
-    frames = frames_available(F.col("n_files") > 0, F.col("n_files") > 0, extraction_enabled, video_pattern,
+    has_folder = F.col("n_files") > 0
+    if folders is not None:
+        filmed = filmed.join(folders.select("id").distinct().withColumn("_folder", F.lit(True)), "id", "left")
+        has_folder = has_folder | F.col("_folder").isNotNull()
+    frames = frames_available(F.col("n_files") > 0, has_folder, extraction_enabled, video_pattern,
                               F.col("_video").isNotNull())
     reason = (
         F.when(F.col("start_frame").isNull(), REASON_NOT_LISTED)

@@ -14,8 +14,9 @@ from saccade.functions.numeric import check_fps, frames_to_ms, safe_div
 from saccade.operators.ordered import FRAMES_PER_CHUNK, frame_chunk, with_next
 from saccade.session import cut_lineage
 
-# One output column per label; a table with more distinct labels is not a labelled recording.
+# One output column per label of the wide form; the long forms have no such limit.
 MAX_LABELS = 5000
+GRID_SALTS = 32
 
 NEVER_FIXATED = -1.0
 
@@ -28,12 +29,26 @@ def aoi_names(events: DataFrame, column: str = "aoi_name") -> list[str]:
     return sorted(names)
 
 
-def label_array(events: DataFrame, column: str = "aoi_name") -> Column:
-    """The label vocabulary as one array value, checked against :data:`MAX_LABELS`."""
-    names = F.sort_array(F.collect_list(column))
-    checked = F.when(F.size(names) <= MAX_LABELS, names).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_LABELS} distinct labels")))
-    return events.select(column).distinct().limit(MAX_LABELS + 1).agg(checked.alias("names")).scalar()
+def _with_every_label(rows: DataFrame, events: DataFrame, name: str) -> DataFrame:
+    """``rows`` once for each label of ``events``, by an equality join on salts, so that neither side is held whole."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(GRID_SALTS - 1)))
+    labels = events.select(F.col("aoi_name").alias(name)).distinct().filter(F.col(name).isNotNull()).select(name, salts.alias("_salt"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(GRID_SALTS)).cast("int"))
+    return salted.join(labels, "_salt").drop("_salt")
+
+
+def probability_columns(names: Sequence[str]) -> list[str]:
+    """The wide column of each label. Column names are compared without case, so a label that differs from an earlier one
+    only in case gets the first free number behind its name, from 2."""
+    taken, columns = set(), []
+    for name in names:
+        column, number = f"transition_probability_to_{name}", 1
+        while column.lower() in taken:
+            number += 1
+            column = f"transition_probability_to_{name}_{number}"
+        taken.add(column.lower())
+        columns.append(column)
+    return columns
 
 
 def _share_total(df: DataFrame) -> DataFrame:
@@ -74,12 +89,10 @@ def aoi_summary(events: DataFrame, fps: float) -> DataFrame:
 
 def latency_grid(events: DataFrame, fps: float, relative_to_onset: bool = False) -> DataFrame:
     """Latency for every participant and every label, -1.0 where the label was never fixated."""
-    names = label_array(events)
     first = events.groupBy("participant_id", "aoi_name").agg(F.min("start_frame").alias("first_frame"))
     onset = F.min("first_frame").over(Window.partitionBy("participant_id")) if relative_to_onset else F.lit(0)
     known = first.withColumn("latency", frames_to_ms(F.col("first_frame") - onset, fps))
-    everyone = events.select("participant_id").distinct().select(
-        "participant_id", F.explode(names).alias("aoi_name"))
+    everyone = _with_every_label(events.select("participant_id").distinct(), events, "aoi_name")
     return everyone.join(known, ["participant_id", "aoi_name"], "left").select(
         "participant_id", "aoi_name",
         F.coalesce("latency", F.lit(NEVER_FIXATED)).alias("latency_to_first_fixation"))
@@ -105,12 +118,10 @@ def transition_counts(events: DataFrame, seq: str | None = None,
 
 def transition_matrix(events: DataFrame, seq: str | None = None) -> DataFrame:
     """Counts and probabilities from each observed label to every label of the whole input."""
-    names = label_array(events)
     counts = transition_counts(events, seq)
     left = Window.partitionBy("participant_id", "source_aoi")
     dense = (
-        events.select("participant_id", F.col("aoi_name").alias("source_aoi")).distinct()
-        .select("*", F.explode(names).alias("target_aoi"))
+        _with_every_label(events.select("participant_id", F.col("aoi_name").alias("source_aoi")).distinct(), events, "target_aoi")
         .join(counts, ["participant_id", "source_aoi", "target_aoi"], "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("n_from", F.sum("n").over(left))
@@ -208,17 +219,20 @@ def summary_scores(events: DataFrame, fps: float, num_phases: int = 3, wide: boo
     if not wide:
         return scores
     names = sorted(labels) if labels is not None else aoi_names(events)
-    counts = transition_counts(events, seq).groupBy("participant_id", "source_aoi")
-    grid = counts.pivot("target_aoi", names).agg(F.first("n"))
-    cells = {name: F.coalesce(F.col(f"`{name}`"), F.lit(0)).cast("double") for name in names}
-    total = sum(cells.values(), F.lit(0.0))
-    grid = grid.select(
-        "participant_id", F.col("source_aoi").alias("aoi_name"),
-        *[safe_div(cell, total).alias(f"transition_probability_to_{name}") for name, cell in cells.items()])
-    targets = [f"transition_probability_to_{name}" for name in names]
+    if not names:
+        return scores
+    # Shares are made in long form and columns numbered, so neither names nor their number matter until the end.
+    places = events.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, names))).alias("_place", "target_aoi"))
+    counts = transition_counts(events, seq).join(F.broadcast(places), "target_aoi")
+    total = F.sum("n").over(Window.partitionBy("participant_id", "source_aoi"))
+    shares = counts.select("participant_id", F.col("source_aoi").alias("aoi_name"), "_place",
+                           safe_div(F.col("n").cast("double"), total.cast("double")).alias("share"))
+    cells = [f"_share{i}" for i in range(len(names))]
+    grid = shares.groupBy("participant_id", "aoi_name").pivot("_place", list(range(len(names)))).agg(F.first("share")).toDF(
+        "participant_id", "aoi_name", *cells)
     first = [c for c in scores.columns if not c.startswith("temporal_dynamics_phase")]
     last = [c for c in scores.columns if c.startswith("temporal_dynamics_phase")]
     return (
         scores.join(grid, ["participant_id", "aoi_name"], "left")
-        .select(*first, *[F.coalesce(F.col(f"`{t}`"), F.lit(0.0)).alias(t) for t in targets], *last)
+        .select(*first, *[F.coalesce(c, F.lit(0.0)).alias(name) for c, name in zip(cells, probability_columns(names))], *last)
     )

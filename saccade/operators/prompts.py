@@ -12,13 +12,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from saccade.operators.ordered import frame_chunk, ranked, running_sum
 from saccade.schemas import PROMPT_DOCUMENT
 
-# Clicks of one document; a participant with more gets several documents, read back in order.
+# Clicks of one document; a participant with more gets several documents (column part).
 CLICKS_PER_DOCUMENT = 10000
 _SEQ_CHUNK = 65536
 
 
 def prompt_json(prompts: DataFrame, labels: Sequence[str], clicks_per_document: int = CLICKS_PER_DOCUMENT) -> DataFrame:
-    """Prompt documents: participant_id, part, json. Labels come in list order, unlisted and empty ones not."""
+    """Prompt documents: participant_id, part, json. Labels come in list order, unlisted and empty ones not.
+
+    Each part lists all labels of its participant, those it has no clicks of with an empty list, so a label has the
+    same place, and thus the same object number, in every part.
+    """
     order = {label: place for place, label in reversed(list(enumerate(labels)))}
     place = F.lit(None).cast("int")
     for label, at in order.items():
@@ -26,20 +30,25 @@ def prompt_json(prompts: DataFrame, labels: Sequence[str], clicks_per_document:
     listed = prompts.withColumn("_label_place", place).filter(F.col("_label_place").isNotNull())
     numbered = ranked(listed, ["participant_id"], ["seq"], frame_chunk(F.col("seq"), _SEQ_CHUNK), "_rank")
     click = F.struct("x", "y", "positive", "label", "frame")
-    return (
+    parts = (
         numbered.withColumn("part", F.floor((F.col("_rank") - 1) / F.lit(clicks_per_document)))
-        .groupBy("participant_id", "part", "_label_place", "label")
+        .groupBy("participant_id", "part", "label")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", click.alias("click")))), lambda c: c["click"]).alias("clicks"))
-        .groupBy("participant_id", "part")
-        .agg(F.sort_array(F.collect_list(F.struct("_label_place", "label", "clicks"))).alias("entries"))
-        .select("participant_id", "part", F.to_json(F.map_from_entries(
-            F.transform("entries", lambda e: F.struct(e["label"], e["clicks"])))).alias("json"))
+        .groupBy("participant_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("label", "clicks"))).alias("_clicks"))
     )
+    none = F.array().cast(parts.schema["_clicks"].dataType.valueType)
+    present = listed.groupBy("participant_id").agg(
+        F.sort_array(F.collect_set(F.struct("_label_place", "label"))).alias("_present"))
+    return parts.join(present, "participant_id").select("participant_id", "part", F.to_json(F.map_from_entries(F.transform(
+        "_present", lambda e: F.struct(e["label"], F.coalesce(F.try_element_at("_clicks", e["label"]), none))))).alias("json"))
 
 
 def parse_prompt_json(documents: DataFrame, column: str = "json") -> DataFrame:
-    """Rows of prompt documents: other columns, label_ord (order of labels in the document), click_ord, click."""
-    parsed = documents.withColumn("_labels", F.map_entries(F.from_json(column, PROMPT_DOCUMENT))).drop(column)
+    """Rows of prompt documents: other columns, label_ord (order of labels in the document), click_ord, click.
+
+    A document that can't be parsed is an error.
+    """
+    parsed = documents.withColumn("_labels", F.map_entries(F.from_json(column, PROMPT_DOCUMENT, {"mode": "FAILFAST"}))).drop(column)
     entries = parsed.select("*", F.posexplode("_labels").alias("label_ord", "_entry")).drop("_labels")
     clicks = entries.select("*", F.posexplode("_entry.value").alias("click_ord", "_click"))
     return clicks.select(
@@ -49,7 +58,7 @@ def parse_prompt_json(documents: DataFrame, column: str = "json") -> DataFrame:
 
 def label_ids(documents: DataFrame, column: str = "json") -> DataFrame:
     """Object numbers of the labels of a document, in document order."""
-    keys = F.map_keys(F.from_json(column, PROMPT_DOCUMENT))
+    keys = F.map_keys(F.from_json(column, PROMPT_DOCUMENT, {"mode": "FAILFAST"}))
     return documents.select(
         *[c for c in documents.columns if c != column], F.posexplode(keys).alias("object_id", "label"))
 

@@ -26,8 +26,8 @@ CELL = ("level_w", "level_h", "cell_x", "cell_y")
 
 
 def _ratio(threshold: float) -> float:
-    if not 0 < threshold < 1:
-        raise ValueError("threshold must be between 0 and 1")
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
     return max(2.0, (1.0 + 1e-6) / threshold)
 
 
@@ -67,6 +67,9 @@ def nms(boxes: DataFrame, group: Sequence[str], threshold: float, score: str = "
     procedure. Work per round is linear in the open boxes: one leader per cell by a combining aggregate, one
     match per box and cell. Boxes without area overlap nothing and are kept.
     """
+    _ratio(threshold)
+    if threshold == 1:  # no overlap is larger
+        return boxes
     group = list(group)
     key = [*group, box_id]
     sizes = boxes.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))

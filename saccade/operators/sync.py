@@ -32,23 +32,27 @@ def is_dark(brightness: Column, threshold: float = DARK_BELOW) -> Column:
     return brightness < threshold
 
 
-def scan_window(fps: float, start_sec: float = 0.0, end_sec: float | None = None) -> Column:
+def scan_window(fps: float | Column, start_sec: float = 0.0, end_sec: float | None = None) -> Column:
     """Frames inside the search window; the end is compared with the position after the frame."""
-    window = F.col("frame") >= int(start_sec * fps)
+    def position(seconds: float) -> Column:
+        return F.floor(F.lit(seconds) * fps) if isinstance(fps, Column) else F.lit(int(seconds * fps))
+
+    window = F.col("frame") >= position(start_sec)
     if end_sec is not None:
-        window = window & (F.col("frame") + 1 <= int(end_sec * fps))
+        window = window & (F.col("frame") + 1 <= position(end_sec))
     return window
 
 
-def lights_on(brightness: DataFrame, fps: float, start_sec: float = 0.0, end_sec: float | None = None,
+def lights_on(brightness: DataFrame, fps: float | Column, start_sec: float = 0.0, end_sec: float | None = None,
               threshold: float = DARK_BELOW) -> DataFrame:
     """First bright frame after the first dark one: recording_id, lights_on_frame, lights_on_sec.
 
     Two combining aggregates, so only one row per recording and map task is shuffled. The frame number
     counts from 1, as the position after reading the frame. Recordings without the event are left out.
+    ``fps`` may be a column of ``brightness`` where recordings have their own rates.
     """
-    seen = brightness.select("recording_id", "frame", "ts_sec", is_dark(F.col("brightness"), threshold).alias("dark")).filter(
-        scan_window(fps, start_sec, end_sec))
+    seen = brightness.filter(scan_window(fps, start_sec, end_sec)).select(
+        "recording_id", "frame", "ts_sec", is_dark(F.col("brightness"), threshold).alias("dark"))
     first_dark = seen.filter("dark").groupBy("recording_id").agg(F.min("frame").alias("first_dark"))
     return (
         seen.filter(~F.col("dark")).join(first_dark, "recording_id").filter(F.col("frame") > F.col("first_dark"))

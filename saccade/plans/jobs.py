@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from saccade.operators import cohort as C
 from saccade.operators import mapping as G
@@ -55,9 +55,9 @@ def end_to_end(sessions: DataFrame, gaze: DataFrame, masks: DataFrame, width: in
     return summary_scores(events, fps, num_phases, labels=labels)
 
 
-def sync_recordings(pairs: DataFrame, brightness: DataFrame, fps: float, start_sec: float = S.SEARCH_FROM_SECONDS,
+def sync_recordings(pairs: DataFrame, brightness: DataFrame, fps: float | Column, start_sec: float = S.SEARCH_FROM_SECONDS,
                     end_sec: float | None = None, threshold: float = S.DARK_BELOW) -> DataFrame:
-    """Offset of each recording pair from the brightness of its frames."""
+    """Offset of each recording pair from the brightness of its frames; ``fps`` as in :func:`~saccade.operators.sync.lights_on`."""
     anchors = S.lights_on(brightness, fps, start_sec, end_sec, threshold)
     return S.sync_offsets(pairs, anchors, brightness.select("recording_id"))
 

@@ -37,9 +37,18 @@ def j11(spark, sf_dir):
     return P.label_ids(documents(spark, sf_dir))
 
 
-@query("e05_prompt_objects", f"""WITH {V8}, {CLICKS}
+@query("j11b_label_ids_of_parts", f"WITH {V8}, {CLICKS} SELECT participant_id, label, label_ord AS object_id FROM present")
+def j11b(spark, sf_dir):
+    """Every part of a participant's documents gives the same numbers."""
+    return P.label_ids(P.prompt_json(prompts(spark, sf_dir), LABELS, 3)).drop("part").distinct()
+
+
+PROMPT_OBJECTS = f"""WITH {V8}, {CLICKS}
 SELECT participant_id, label, frame, arg_max(x, seq) AS x, arg_max(y, seq) AS y, arg_max(positive, seq) AS positive, any_value(label_ord) AS object_id
-FROM clicks GROUP BY participant_id, label, frame""")
+FROM clicks GROUP BY participant_id, label, frame"""
+
+
+@query("e05_prompt_objects", PROMPT_OBJECTS)
 def e05(spark, sf_dir):
     return jobs.prompt_objects(documents(spark, sf_dir))
 

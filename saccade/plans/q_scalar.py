@@ -191,8 +191,8 @@ def p23(spark, sf_dir):
 
 @query("p26_prompt_error", f"""WITH {V8}
 SELECT seq, CASE
-  WHEN (seq % 5 = 0) <> (seq % 7 = 0) THEN 'points and labels must be provided together'
-  WHEN seq % 5 = 0 AND seq % 2 = 0 THEN 'at least one of points or box must be provided'
+  WHEN (seq % 5 = 0) <> (seq % 7 = 0) THEN 'points need as many labels, and labels need points'
+  WHEN seq % 5 = 0 AND seq % 2 = 0 THEN 'the prompt has neither points nor a box'
   WHEN seq % 2 <> 0 AND seq % 3 = 0 THEN 'a box replaces earlier points' END AS error FROM v8""")
 def p26(spark, sf_dir):
     seq = F.col("seq")

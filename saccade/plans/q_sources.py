@@ -14,7 +14,7 @@ from saccade.plans.fixtures import (
 )
 from saccade.plans.q_masks import FG, KEY
 from saccade.plans.q_metrics import MS, OPEN_RUNS, SCORES, WIDE, events, seconds
-from saccade.plans.q_prompts import CLICKS
+from saccade.plans.q_prompts import CLICKS, PROMPT_OBJECTS
 from saccade.plans.q_sync import GRAYS, OFFSETS, offsets
 from saccade.plans.registry import query
 from saccade.schemas import SYNC_RESULTS
@@ -77,8 +77,19 @@ def s04(spark, sf_dir):
 def s05(spark, sf_dir):
     path = scratch_path(spark, "prompts")
     writers.write_prompt_documents(prompt_json(prompts(spark, sf_dir), LABELS), path)
-    texts = spark.read.schema("value string, participant_id string").text(path)
-    return parse_prompt_json(texts.withColumnRenamed("value", "json"))
+    return parse_prompt_json(_written_prompts(spark, path)).drop("part")
+
+
+def _written_prompts(spark, path):
+    return spark.read.schema("value string, participant_id string, part long").text(path).withColumnRenamed("value", "json")
+
+
+@query("e05b_prompt_parts", PROMPT_OBJECTS)
+def e05b(spark, sf_dir):
+    """Objects from documents of thirty clicks each, after writing and reading."""
+    path = scratch_path(spark, "prompts")
+    writers.write_prompt_documents(prompt_json(prompts(spark, sf_dir), LABELS, 30), path)
+    return jobs.prompt_objects(_written_prompts(spark, path))
 
 
 @query("s06_mask_archives", f"WITH {FG} SELECT {KEY}, 'obj' || label_ord AS label, 8 AS h, 8 AS w, counts FROM rle")

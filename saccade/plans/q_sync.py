@@ -30,11 +30,21 @@ def w04(spark, sf_dir):
     return anchors(spark, sf_dir)
 
 
+@query("w04b_lights_on_own_rates", "WITH " + ANCHORS.replace(
+    "frame BETWEEN 5 AND 60", "frame >= 5 * (1 + CAST(recording_id AS BIGINT) % 3) AND frame < 61 * (1 + CAST(recording_id AS BIGINT) % 3)")
+    + " SELECT * FROM anchors")
+def w04b(spark, sf_dir):
+    """Recordings of one, two and three frames a second."""
+    rated = brightness(spark, sf_dir).withColumn("fps", (F.col("recording_id").cast("long") % 3 + 1).cast("double"))
+    return S.lights_on(rated, F.col("fps"), 5.0, 61.0, 8.0)
+
+
 def four(column):
     return f"round({column}, 4)"
 
 
-OFFSETS = ANCHORS + f""", {PAIRS},
+# The whole recordings, from the default start of the search.
+OFFSETS = ANCHORS.replace("frame BETWEEN 5 AND 60", "frame >= 2") + f""", {PAIRS},
 opened AS (SELECT DISTINCT recording_id, true AS o FROM v3),
 matched AS (
   SELECT participant_id, reference_video, target_video, a.lights_on_sec AS r, b.lights_on_sec AS t, oa.o AS ro, ob.o AS tgt_o
@@ -49,7 +59,7 @@ offsets AS (
 
 
 def offsets(spark, sf_dir):
-    return jobs.sync_recordings(recording_pairs(spark, sf_dir), brightness(spark, sf_dir), 1.0, 5.0, 61.0, 8.0)
+    return jobs.sync_recordings(recording_pairs(spark, sf_dir), brightness(spark, sf_dir), 1.0, threshold=8.0)
 
 
 @query("j09_sync_offsets", f"WITH {OFFSETS} SELECT * FROM offsets")

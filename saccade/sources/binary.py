@@ -64,7 +64,9 @@ def mask_archives(masks: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def _mean_gray(data: pd.Series, channels: pd.Series) -> pd.Series:
-    def mean(content: bytes, n: int) -> float:
+    def mean(content: bytes, n: int) -> float | None:
+        if not content or n < 1:
+            return None
         values = np.frombuffer(content, dtype=np.uint8).reshape(-1, n).astype(np.int64)
         if n == 1:
             return float(values.mean())
@@ -80,6 +82,6 @@ def frame_brightness(data: Column, channels: Column) -> Column:
 
 
 def read_frame_brightness(spark: SparkSession, path: str) -> DataFrame:
-    """origin and brightness of each image file."""
-    image = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
+    """origin and brightness of each image file; an image that can't be read has a null brightness."""
+    image = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
     return image.select("image.origin", frame_brightness(F.col("image.data"), F.col("image.nChannels")).alias("brightness"))

@@ -9,35 +9,49 @@ from saccade.functions.numeric import check_fps
 from saccade.operators.ordered import ranked
 from saccade.operators.prompts import parse_prompt_json
 from saccade.operators.runs import fixation_events
-from saccade.schemas import RECORDING_PAIRS, RUN_FILE
+from saccade.schemas import RECORDING_PAIRS
 
 # File endings taken as frames.
 FRAME_ENDINGS = ("jpg", "jpeg", "png", "bmp")
 
+# Columns of a run file that are read.
+RUN_COLUMNS_READ = ["name", "frame duration", "start frame", "end frame"]
+
 
 def file_stem(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"\.[^.]*$", "")
 
 
+def _by_header(spark: SparkSession, path: str, needed: list[str]) -> DataFrame:
+    """All columns of files with a header, as text, under their own names in whatever order they stand.
+
+    An error if a needed column is missing or the header of one file differs from another's. Folder columns stay text.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [name for name in needed if name not in header]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    schema = StructType([StructField(name, StringType()) for name in header])
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+
+
+def _run_columns() -> list[Column]:
+    return [F.trim("name").alias("aoi_name"), F.col("frame duration").cast("int").alias("duration_frames"),
+            F.col("start frame").cast("int").alias("start_frame"), F.col("end frame").cast("int").alias("end_frame")]
+
+
 def read_runs(spark: SparkSession, path: str, fps: float = 30.0, participant_id: str | None = None) -> DataFrame:
     """Fixation events from run files; the participant is the file name's stem unless given."""
     check_fps(fps)
-    raw = spark.read.schema(RUN_FILE).option("header", True).option("mode", "FAILFAST").csv(path)
+    raw = _by_header(spark, path, RUN_COLUMNS_READ)
     who = F.lit(participant_id) if participant_id is not None else file_stem(F.col("_metadata.file_name"))
-    runs = raw.select(
-        who.alias("participant_id"), F.trim("name").alias("aoi_name"), F.col("frame duration").alias("duration_frames"),
-        F.col("start frame").alias("start_frame"), F.col("end frame").alias("end_frame"))
-    return fixation_events(runs, fps)
+    return fixation_events(raw.select(who.alias("participant_id"), *_run_columns()), fps)
 
 
 def read_cohort_runs(spark: SparkSession, path: str, fps: float = 30.0) -> DataFrame:
-    """Fixation events of many participants; participant_id is a folder name or the last column."""
-    raw = spark.read.schema(StructType([*RUN_FILE.fields, StructField("participant_id", StringType())])).option("header", True).option(
-        "mode", "FAILFAST").csv(path)
-    runs = raw.select(
-        "participant_id", F.trim("name").alias("aoi_name"), F.col("frame duration").alias("duration_frames"),
-        F.col("start frame").alias("start_frame"), F.col("end frame").alias("end_frame"))
-    return fixation_events(runs, fps)
+    """Fixation events of many participants; participant_id is a folder name or a column."""
+    raw = _by_header(spark, path, [*RUN_COLUMNS_READ, "participant_id"])
+    return fixation_events(raw.select("participant_id", *_run_columns()), fps)
 
 
 def read_gaze(spark: SparkSession, path: str, columns: dict[str, str] | None = None,
@@ -62,7 +76,8 @@ def read_gaze(spark: SparkSession, path: str, columns: dict[str, str] | None = N
 
 
 def read_recording_pairs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORDING_PAIRS).option("header", True).option("mode", "FAILFAST").csv(path)
+    raw = _by_header(spark, path, RECORDING_PAIRS.names)
+    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in RECORDING_PAIRS])
 
 
 def read_frame_ranges(spark: SparkSession, path: str) -> DataFrame:

@@ -44,7 +44,9 @@ def write_offsets(offsets: DataFrame, path: str) -> None:
 
 
 def write_prompt_documents(documents: DataFrame, path: str) -> None:
-    _writer(documents.select("participant_id", F.col("json").alias("value")), True).text(path)
+    """One folder per participant and part."""
+    rows = documents.select("participant_id", "part", F.col("json").alias("value")).hint("rebalance", "participant_id")
+    rows.write.mode("errorifexists").partitionBy("participant_id", "part").text(path)
 
 
 def write_masks(masks: DataFrame, path: str) -> None:

@@ -72,3 +72,21 @@ def test_entry(spark):
 def test_queries_match_their_sql(spark, name):
     good, text, _ = compare(spark, connect(SMALL), SMALL, name, entry_points.queries()[name], entry_points.oracle_sql()[name])
     assert good, text
+
+
+def test_run_files_by_header(spark, tmp_path):
+    (tmp_path / "8.csv").write_text("name,start frame,end frame,frame duration\na,10,12,2\n")
+    row = readers.read_runs(spark, str(tmp_path / "8.csv"), 10.0).first()
+    assert (row.duration_frames, row.start_frame, row.end_frame) == (2, 10, 12)
+    (tmp_path / "9.csv").write_text("name,start frame,end frame\na,10,12\n")
+    with pytest.raises(ValueError, match="frame duration"):
+        readers.read_runs(spark, str(tmp_path / "9.csv"))
+
+
+def test_unreadable_images_and_documents(spark, tmp_path):
+    (tmp_path / "f.bmp").write_bytes(b"no image")
+    assert [r.brightness for r in binary.read_frame_brightness(spark, str(tmp_path)).collect()] == [None]
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "12_coordinates.json").write_text("{broken")
+    with pytest.raises(Exception):
+        readers.read_prompts(spark, str(tmp_path / "docs")).collect()
