@@ -72,10 +72,18 @@ def drop_edge_boxes(boxed: DataFrame, tolerance: float) -> DataFrame:
     return boxed.filter(~near_crop_edge(box, _crop_columns(), image, tolerance))
 
 
-def crop_dedupe(records: DataFrame, threshold: float) -> DataFrame:
-    """Drops near copies from overlapping crops and prefers the smaller crop."""
-    scored = records.withColumn("_score", F.lit(1.0) / box_area(*_crop_columns()))
-    return nms(scored, ["image_id"], threshold, "_score", "candidate_id").drop("_score")
+def crop_dedupe(records: DataFrame, threshold: float, crops: DataFrame | None = None) -> DataFrame:
+    """Drops near copies from overlapping crops and prefers the smaller crop.
+
+    Images with one crop stay as they are. ``crops`` (image_id and the crop's bounds, by default the records themselves)
+    tells which crops an image was cut into, also those of which no record is left.
+    """
+    crop = F.struct(*CROP)
+    several = (records if crops is None else crops).groupBy("image_id").agg(
+        F.min(crop).alias("_least"), F.max(crop).alias("_most")).filter("_least <> _most").select("image_id")
+    scored = records.join(several, "image_id", "left_semi").withColumn("_score", F.lit(1.0) / box_area(*_crop_columns()))
+    kept = nms(scored, ["image_id"], threshold, "_score", "candidate_id").drop("_score")
+    return records.join(several, "image_id", "left_anti").unionByName(kept)
 
 
 def candidate_records(boxed: DataFrame) -> DataFrame:
@@ -132,7 +140,7 @@ def candidate_masks(candidates: DataFrame, options: QualityOptions) -> DataFrame
 
 def mask_quality(candidates: DataFrame, options: QualityOptions = QualityOptions()) -> DataFrame:
     """The whole candidate flow, from scores to nested records."""
-    records = crop_dedupe(cut_lineage(candidate_masks(candidates, options)), options.crop_nms)
+    records = crop_dedupe(cut_lineage(candidate_masks(candidates, options)), options.crop_nms, candidates)
     if options.min_region_area > 0:
         records = clean_candidates(records, options.min_region_area, max(options.box_nms, options.crop_nms))
     return candidate_records(records)

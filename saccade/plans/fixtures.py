@@ -144,13 +144,22 @@ def mask_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logits_to_masks(mask_logits(spark, sf_dir)).drop("vec_id")
 
 
+def mask_wearer(spark: SparkSession, sf_dir: str, participant: F.Column) -> F.Column:
+    """The mask participant whose masks a participant of the events wears; all of them are worn."""
+    last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).scalar()
+    return (participant.cast("long") % (F.floor(last / 100) + 1)).cast("string")
+
+
+WEARER = "CAST(CAST(participant_id AS BIGINT) % (SELECT max(vec_id) // 100 + 1 FROM embeddings) AS VARCHAR)"
+
+
 def worn_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The masks of one of the mask participants for every frame of every session."""
     numbered = sessions(spark, sf_dir).select(
         F.col("participant_id").alias("who"),
         F.explode(F.sequence(F.col("start_frame"), F.col("end_frame") - 1)).alias("session_frame"))
     keyed = numbered.select(
-        "*", (F.col("who").cast("long") % 5).cast("string").alias("participant_id"), (F.col("session_frame") % 25).alias("frame"))
+        "*", mask_wearer(spark, sf_dir, F.col("who")).alias("participant_id"), (F.col("session_frame") % 25).alias("frame"))
     return keyed.join(mask_rows(spark, sf_dir), ["participant_id", "frame"]).select(
         F.col("who").alias("participant_id"), F.col("session_frame").alias("frame"), "label_ord", "label", "h", "w", "counts")
 

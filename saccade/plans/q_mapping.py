@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from saccade.operators import mapping as G
 from saccade.operators.ordered import frame_chunk, ranked
-from saccade.plans.fixtures import SESSIONS, V1, V2, V4, gaze_codes, gaze_samples, mask_rows, sessions
+from saccade.plans.fixtures import SESSIONS, V1, V2, V4, WEARER, gaze_codes, gaze_samples, mask_rows, mask_wearer, sessions
 from saccade.plans.registry import query
 
 
@@ -20,7 +20,7 @@ def keyed_masks(spark, sf_dir):
 
 
 def keyed_points(spark, sf_dir):
-    return seen(spark, sf_dir).withColumn("mask_participant", (F.col("participant_id").cast("long") % 5).cast("string")).withColumn(
+    return seen(spark, sf_dir).withColumn("mask_participant", mask_wearer(spark, sf_dir, F.col("participant_id"))).withColumn(
         "mask_frame", F.col("frame") % 25)
 
 
@@ -35,9 +35,10 @@ def hits_sql(radius):
     near = f"(m.x - v.px) * (m.x - v.px) + (m.y - v.py) * (m.y - v.py) <= {radius * radius}"
     return f"""WITH {V2}, {SESSIONS}, {V4},
 fg AS (SELECT * FROM px WHERE logit > 0),
+wearing AS (SELECT *, {WEARER} AS wearer FROM valid),
 hits AS (
   SELECT v.participant_id, v.frame, arg_min(m.label, m.label_ord) AS label
-  FROM valid v JOIN fg m ON m.participant_id = CAST(CAST(v.participant_id AS INTEGER) % 5 AS VARCHAR)
+  FROM wearing v JOIN fg m ON m.participant_id = v.wearer
     AND m.frame = v.frame % 25 AND v.is_valid AND {near}
   GROUP BY ALL)
 SELECT v.participant_id, v.frame, COALESCE(h.label, 'none') AS code
@@ -57,9 +58,10 @@ query("j03b_wide_gaze_disc", hits_sql(3))(hits(3))
 
 
 @query("j04_first_label", f"""WITH {V2}, {SESSIONS}, {V4},
-fg AS (SELECT * FROM px WHERE logit > 0)
+fg AS (SELECT * FROM px WHERE logit > 0),
+wearing AS (SELECT *, {WEARER} AS wearer FROM valid)
 SELECT v.participant_id, v.frame, min(m.label_ord) AS label_ord, count(*) AS candidates
-FROM valid v JOIN fg m ON m.participant_id = CAST(CAST(v.participant_id AS INTEGER) % 5 AS VARCHAR)
+FROM wearing v JOIN fg m ON m.participant_id = v.wearer
   AND m.frame = v.frame % 25 AND v.is_valid AND m.x = v.px AND m.y = v.py
 GROUP BY ALL""")
 def j04(spark, sf_dir):

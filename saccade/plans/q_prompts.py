@@ -195,10 +195,10 @@ def w10(spark, sf_dir):
 
 
 @query("u01_concatenate", f"""WITH {V5}
-SELECT g, id, x0, score FROM v5 WHERE x0 < 10 UNION ALL SELECT g, id, x0, score FROM v5 WHERE y0 < 10""")
+SELECT g, id, x0, score FROM v5 WHERE x0 < 10 UNION ALL SELECT g, id, x0, score FROM v5 WHERE x0 >= 10""")
 def u01(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    return b.filter("x0 < 10").select("g", "id", "x0", "score").unionByName(b.filter("y0 < 10").select("score", "x0", "id", "g"))
+    return b.filter("x0 < 10").select("g", "id", "x0", "score").unionByName(b.filter("x0 >= 10").select("score", "x0", "id", "g"))
 
 
 @query("t05_keep_by_index", f"""WITH {V5}, kept AS (SELECT g, max(id) AS id FROM v5 GROUP BY g)

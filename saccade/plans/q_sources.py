@@ -51,10 +51,10 @@ def _partitioned_csv(spark, path, schema):
     return spark.read.schema(f"{schema}, participant_id string").option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-@query("s02_gaze_scan", f"WITH {V2} SELECT * FROM v2b")
+@query("s02_gaze_scan", f"WITH {V2} SELECT * FROM v2")
 def s02(spark, sf_dir):
     path = scratch_path(spark, "gaze")
-    gaze_samples(spark, sf_dir).select("sample_seq", "participant_id", "world_index", "norm_x", "norm_y").write.option("header", True).csv(path)
+    gaze_samples(spark, sf_dir, gaps=False).select("sample_seq", "participant_id", "world_index", "norm_x", "norm_y").write.option("header", True).csv(path)
     return readers.read_gaze(spark, path, participant_id=F.col("participant_id"), sample_seq="sample_seq")
 
 

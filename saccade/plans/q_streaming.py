@@ -13,12 +13,21 @@ from saccade.streaming import live
 def event_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return raw.select(
+    return raw.unionByName(end_of_session(spark, sf_dir, schema)).select(
         F.col("user_id").cast("string").alias("participant_id"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"), "value",
         F.when(F.col("event_type") == "error", "none").otherwise(F.col("event_type")).alias("code"))
 
 
+def end_of_session(spark, sf_dir, schema):
+    """One row of no participant, a day after all others: the watermark then passes every slice that holds events."""
+    path = scratch_path(spark, "end-of-session")
+    end = (F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")
+    last = table(spark, sf_dir, "events").agg(end)
+    last.select(*[F.col(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
+
+
 def drain(stream, name):
     spark = stream.sparkSession
     target = scratch_path(spark, name)
@@ -30,25 +39,19 @@ def drain(stream, name):
     return spark.read.schema(stream.schema).parquet(target)
 
 
-LATEST = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)"
-SLICED = V1 + f""",
-sliced AS (SELECT *, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS slice FROM v1),
-closed AS (SELECT * FROM sliced WHERE make_timestamp((slice + 1) * 3600000000) < {LATEST})"""
-
-
-@query("x01_live_runs", f"""WITH {SLICED},
-m AS (SELECT *, row_number() OVER w - 1 AS f, CASE WHEN lag(code) OVER w = code THEN 0 ELSE 1 END AS s FROM closed WINDOW w AS (PARTITION BY participant_id ORDER BY ts, event_id)),
+@query("x01_live_runs", f"""WITH {V1},
+m AS (SELECT *, row_number() OVER w - 1 AS f, CASE WHEN lag(code) OVER w = code THEN 0 ELSE 1 END AS s FROM v1 WINDOW w AS (PARTITION BY participant_id ORDER BY ts, event_id)),
 n AS (SELECT *, sum(s) OVER (PARTITION BY participant_id ORDER BY f) AS run FROM m)
 SELECT participant_id, min(code) AS code, min(f) AS start_frame, max(f) AS end_frame, count(*) AS n_frames FROM n GROUP BY participant_id, run""")
 def x01(spark, sf_dir):
     codes = event_stream(spark, sf_dir).select("participant_id", "ts", "seq", "code")
-    return live.stitch_runs(live.closed_slices(drain(live.live_runs(codes), "live-runs")))
+    return live.stitch_runs(drain(live.live_runs(codes), "live-runs"))
 
 
-@query("x02_live_lights", f"""WITH {SLICED},
-d AS (SELECT participant_id, min(ts) AS t FROM closed WHERE value < 8.0 GROUP BY 1)
+@query("x02_live_lights", f"""WITH {V1},
+d AS (SELECT participant_id, min(ts) AS t FROM v1 WHERE value < 8.0 GROUP BY 1)
 SELECT participant_id AS recording_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS lights_on
-FROM closed JOIN d USING (participant_id) WHERE value >= 8.0 AND ts > d.t GROUP BY 1""")
+FROM v1 JOIN d USING (participant_id) WHERE value >= 8.0 AND ts > d.t GROUP BY 1""")
 def x02(spark, sf_dir):
     levels = event_stream(spark, sf_dir).select(F.col("participant_id").alias("recording_id"), "ts", F.col("value").alias("brightness"))
     found = live.first_light(drain(live.live_lights(levels, 8.0), "live-lights"))
@@ -58,7 +61,7 @@ def x02(spark, sf_dir):
 @query("x03_rolling_dwell", f"""WITH {V1},
 w AS (SELECT participant_id, code, time_bucket(INTERVAL 10 MINUTE, ts) AS b FROM v1)
 SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS window_start, participant_id, code, count(*) AS n_frames FROM w
-WHERE b + INTERVAL 10 MINUTE <= {LATEST} GROUP BY ALL""")
+GROUP BY ALL""")
 def x03(spark, sf_dir):
     codes = event_stream(spark, sf_dir).select("participant_id", "ts", "code")
     dwell = drain(live.rolling_dwell(codes), "live-dwell")

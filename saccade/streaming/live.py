@@ -1,97 +1,65 @@
 """Live versions of run collapse, light detection and dwell.
 
-State is kept per key and time slice (an hour by default), not per key: a slice closes and its state goes
-once the watermark has passed its end, and one very busy participant is spread over many states. The slices
-are put together by the ordinary batch functions at the end of this module.
+State is kept per key and time slice (five minutes by default), not per key: rows wait in their slice, in whatever order they
+come, until the watermark has passed its end; then the slice is sent and its state goes. One very busy participant is spread
+over many states. Rows without a time belong to no slice. Rows later than the delay are left out and counted by
+:func:`late_rows`. The slices are put together by the ordinary batch functions at the end of this module.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+SLICE_SECONDS = 300
 
-SLICE_SECONDS = 3600
 
-PIECES = "participant_id string, slice long, piece int, code string, n_frames long, last_piece boolean"
-LIGHTS = "recording_id string, slice long, first_dark timestamp, first_bright timestamp, first_after_dark timestamp"
+def _slices(key: str, seconds: int) -> list[Column]:
+    return [F.col(key), F.window("ts", f"{seconds} seconds").alias("window")]
 
 
-def _sliced(stream: DataFrame, delay: str, seconds: int) -> DataFrame:
-    return stream.withWatermark("ts", delay).withColumn(
-        "slice", F.floor(F.unix_micros("ts") / F.lit(seconds * 1_000_000)).cast("long"))
+def _slice_number(seconds: int) -> Column:
+    return F.floor(F.unix_micros("window.start") / F.lit(seconds * 1_000_000)).cast("long").alias("slice")
 
 
 def live_runs(codes: DataFrame, delay: str = "10 minutes", seconds: int = SLICE_SECONDS) -> DataFrame:
     """Pieces of runs per participant and time slice, from rows (participant_id, ts, seq, code).
 
-    A piece is sent when its label changes, the last one of a slice when the watermark passes the slice.
-    Rows that come in order after newer ones of their slice, or after the slice has closed, are left out.
+    Out: participant_id, slice, piece, code, n_frames, last_piece, sent when the watermark passes the slice. Rows of a
+    slice are put in the order of ts and seq first, so the order in which they come does not matter.
     """
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        who, part = key[0], int(key[1])
-        out = []
-        if state.hasTimedOut:
-            code, count, piece, _, _ = state.get
-            state.remove()
-            out.append((who, part, piece, code, count, True))
-        else:
-            code, count, piece, last_us, last_seq = state.get if state.exists else (None, 0, 0, -1, -1)
-            rows = pd.concat(list(batches)).sort_values(["us", "seq"])
-            for us, seq, label in zip(rows["us"], rows["seq"], rows["code"]):
-                if (us, seq) <= (last_us, last_seq):
-                    continue
-                if count and label != code:
-                    out.append((who, part, piece, code, count, False))
-                    piece, count = piece + 1, 0
-                code, count, last_us, last_seq = label, count + 1, int(us), int(seq)
-            state.update((code, int(count), int(piece), last_us, last_seq))
-            state.setTimeoutTimestamp((part + 1) * seconds * 1000)
-        yield pd.DataFrame(out, columns=["participant_id", "slice", "piece", "code", "n_frames", "last_piece"])
-
-    rows = _sliced(codes, delay, seconds).withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy("participant_id", "slice").applyInPandasWithState(
-        step, PIECES, "code string, n_frames long, piece int, last_us long, last_seq long", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    kept = codes.withWatermark("ts", delay).groupBy(*_slices("participant_id", seconds)).agg(
+        F.sort_array(F.collect_list(F.struct("ts", "seq", "code"))).alias("rows"))
+
+    def code(place: Column | int) -> Column:
+        return F.get(F.col("rows"), place)["code"]
+
+    starts = F.filter(F.sequence(F.lit(0), F.size("rows") - 1), lambda i: (i == 0) | ~code(i).eqNullSafe(code(i - 1)))
+    cut = kept.select("participant_id", _slice_number(seconds), "rows", starts.alias("starts"))
+    pieces = cut.select("participant_id", "slice", "rows", "starts", F.posexplode("starts").alias("piece", "start"))
+    following = F.coalesce(F.get(F.col("starts"), F.col("piece") + 1), F.size("rows"))
+    return pieces.select(
+        "participant_id", "slice", "piece", code(F.col("start")).alias("code"),
+        (following - F.col("start")).cast("long").alias("n_frames"), (F.col("piece") == F.size("starts") - 1).alias("last_piece"))
 
 
 def live_lights(brightness: DataFrame, threshold: float = 50.0, delay: str = "10 minutes",
                 seconds: int = SLICE_SECONDS) -> DataFrame:
     """Light changes per recording and time slice, from rows (recording_id, ts, brightness).
 
-    The first change from dark to bright inside a slice is sent at once, the slice's summary when it closes.
+    Out: recording_id, slice, first_dark, first_bright, first_after_dark, sent when the watermark passes the slice.
+    Rows without a brightness are neither dark nor bright.
     """
-    columns = ["recording_id", "slice", "first_dark", "first_bright", "first_after_dark"]
-
-    def stamp(us: int):
-        return pd.Timestamp(us, unit="us") if us >= 0 else pd.NaT
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        who, part = key[0], int(key[1])
-        dark, bright, after = state.get if state.exists else (-1, -1, -1)
-        out = []
-        if state.hasTimedOut:
-            state.remove()
-            out.append((who, part, stamp(dark), stamp(bright), stamp(after)))
-        else:
-            rows = pd.concat(list(batches)).sort_values("us")
-            for us, level in zip(rows["us"].astype(int), rows["brightness"]):
-                if level < threshold:
-                    dark = us if dark < 0 else min(dark, us)
-                else:
-                    bright = us if bright < 0 else min(bright, us)
-                    if 0 <= dark < us and after < 0:
-                        after = us
-                        out.append((who, part, stamp(dark), stamp(bright), stamp(after)))
-            state.update((int(dark), int(bright), int(after)))
-            state.setTimeoutTimestamp((part + 1) * seconds * 1000)
-        yield pd.DataFrame(out, columns=columns)
-
-    rows = _sliced(brightness, delay, seconds).withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy("recording_id", "slice").applyInPandasWithState(
-        step, LIGHTS, "dark long, bright long, after long", "append", GroupStateTimeout.EventTimeTimeout)
+    dark, bright = F.when(F.col("brightness") < threshold, F.col("ts")), F.when(F.col("brightness") >= threshold, F.col("ts"))
+    kept = brightness.withWatermark("ts", delay).groupBy(*_slices("recording_id", seconds)).agg(
+        F.min(dark).alias("first_dark"), F.min(bright).alias("first_bright"), F.collect_list(bright).alias("bright"))
+    after = F.array_min(F.filter("bright", lambda ts: ts > F.col("first_dark")))
+    return kept.select("recording_id", _slice_number(seconds), "first_dark", "first_bright", after.alias("first_after_dark"))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came later than the delay, over the progress reports that the query still holds."""
+    return sum(state["numRowsDroppedByWatermark"] for report in query.recentProgress for state in report["stateOperators"])
 
 
 def rolling_dwell(codes: DataFrame, delay: str = "10 minutes", window: str = "10 minutes") -> DataFrame:
@@ -103,12 +71,6 @@ def rolling_dwell(codes: DataFrame, delay: str = "10 minutes", window: str = "10
     )
 
 
-def closed_slices(pieces: DataFrame) -> DataFrame:
-    """Pieces of the slices that are complete."""
-    closed = pieces.filter("last_piece").select("participant_id", "slice")
-    return pieces.join(closed, ["participant_id", "slice"], "left_semi")
-
-
 def stitch_runs(pieces: DataFrame) -> DataFrame:
     """Runs from the pieces of complete slices: participant_id, code, start_frame, end_frame, n_frames.
 
@@ -131,7 +93,7 @@ def stitch_runs(pieces: DataFrame) -> DataFrame:
     along = Window.partitionBy("participant_id").orderBy("start_frame")
     edges = (
         placed.filter(F.col("opens") | F.col("last_piece"))
-        .withColumn("continues", F.col("opens") & F.coalesce(F.col("code") == F.lag("code").over(along), F.lit(False)))
+        .withColumn("continues", F.col("opens") & F.lag(F.lit(True)).over(along).isNotNull() & F.col("code").eqNullSafe(F.lag("code").over(along)))
         .withColumn("run", F.sum(F.when(F.col("continues"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("participant_id", "run")
         .agg(F.min("code").alias("code"), F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"),
