@@ -96,30 +96,101 @@ g AS (SELECT e.*, 1.0::DOUBLE / 64 AS s FROM e SEMI JOIN one USING (image_id, cx
 final AS (SELECT g.* FROM g SEMI JOIN two USING (image_id, id))"""
 
 
-@query("m13_candidate_flow", f"""WITH {SCORED}
-SELECT image_id, id AS candidate_id, area, [x0, y0, x1 - x0, y1 - y0] AS bbox, predicted_iou, stability_score,
-       [cx, cy, 8, 8] AS crop_box, [[CAST(id + cx AS BIGINT), frame % 8 + cy]] AS point_coords FROM final""")
+PLACES = "[cx, cy, 8, 8] AS crop_box, [[CAST(id + cx AS BIGINT), frame % 8 + cy]] AS point_coords"
+
+
+def lit_sql(source):
+    """Pixels of the candidates of ``source`` in their image of 12 rows and 14 columns: all as places, the set ones as lit."""
+    return f"""
+places AS (SELECT image_id, id, o, CAST(o // 12 AS INTEGER) AS x, CAST(o % 12 AS INTEGER) AS y FROM (SELECT image_id, id, unnest(range(168)) AS o FROM {source})),
+lit AS (
+  SELECT s.image_id, s.id, px.x + s.cx AS x, px.y + s.cy AS y
+  FROM {source} s JOIN px ON s.image_id = px.participant_id || '/' || px.frame AND s.id = px.label_ord WHERE CAST(px.logit AS DOUBLE) > 0.25)"""
+
+
+def counts_sql(pixels):
+    """Run lengths, column by column, of the given pixels, as view coded."""
+    return f"""
+told AS (SELECT p.image_id, p.id, p.o, k.x IS NOT NULL AS fg FROM places p LEFT JOIN {pixels} k USING (image_id, id, x, y)),
+turns AS (SELECT *, CASE WHEN lag(fg) OVER (PARTITION BY image_id, id ORDER BY o) = fg THEN 0 ELSE 1 END AS turn FROM told),
+runs12 AS (SELECT *, sum(turn) OVER (PARTITION BY image_id, id ORDER BY o) AS run FROM turns),
+lengths AS (SELECT image_id, id, run, bool_and(fg) AS fg, CAST(count(*) AS INTEGER) AS n FROM runs12 GROUP BY image_id, id, run),
+coded AS (
+  SELECT image_id, id, CASE WHEN arg_min(fg, run) THEN [0] ELSE [] END || list(n ORDER BY run) AS counts,
+         CAST(sum(n) FILTER (WHERE fg) AS BIGINT) AS set_pixels FROM lengths GROUP BY image_id, id)"""
+
+
+def small_sql(name, pixels):
+    """Pixels whose region has fewer than 4 pixels: three steps from them reach fewer than 4. With the area and the first pixel."""
+    same = "a.image_id = b.image_id AND a.id = b.id"
+    step = f"""SELECT DISTINCT a.image_id, a.id, a.rx, a.ry, b.x, b.y FROM {name}_%d a JOIN {name}_1 b ON {same} AND a.x = b.rx AND a.y = b.ry"""
+    return f"""
+{name}_1 AS (SELECT a.image_id, a.id, a.x AS rx, a.y AS ry, b.x, b.y FROM {pixels} a JOIN {pixels} b ON {same} AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+{name}_2 AS ({step % 1}),
+{name}_3 AS ({step % 2}),
+{name}_sizes AS (SELECT image_id, id, rx, ry, count(*) AS area, min(y * 14 + x) AS first FROM {name}_3 GROUP BY image_id, id, rx, ry),
+{name} AS (SELECT image_id, id, rx AS x, ry AS y, area, first FROM {name}_sizes WHERE area < 4)"""
+
+
+def cleaned_sql(source, threshold):
+    """Repaired candidates of ``source`` after suppression, as view clean, and their run lengths."""
+    return f"""{lit_sql(source)},
+dark AS (SELECT image_id, id, x, y FROM places ANTI JOIN lit USING (image_id, id, x, y)),
+{small_sql('hole', 'dark')},
+filled AS (SELECT image_id, id, x, y FROM lit UNION ALL SELECT image_id, id, x, y FROM hole),
+{small_sql('isle', 'filled')},
+judged AS (SELECT f.*, i.area, i.first FROM filled f LEFT JOIN isle i USING (image_id, id, x, y)),
+verdict AS (
+  SELECT image_id, id, bool_or(area IS NOT NULL) AS broken, bool_and(area IS NOT NULL) AS all_small, arg_max(first, area * 1000 - first) AS largest
+  FROM judged GROUP BY image_id, id),
+stays AS (SELECT j.image_id, j.id, j.x, j.y FROM judged j JOIN verdict USING (image_id, id) WHERE area IS NULL OR (all_small AND first = largest)),
+mended AS (
+  SELECT v.image_id, v.id, CASE WHEN broken OR h.id IS NOT NULL THEN 0.0 ELSE 1.0 END AS s
+  FROM verdict v LEFT JOIN (SELECT DISTINCT image_id, id FROM hole) h USING (image_id, id)),
+boxed AS (
+  SELECT image_id, id, any_value(s) AS s, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1
+  FROM stays JOIN mended USING (image_id, id) GROUP BY image_id, id),
+{nms_sql('boxed', ['image_id'], 's DESC', threshold, 'three')},
+{counts_sql('stays')},
+clean AS (SELECT boxed.*, coded.counts, coded.set_pixels FROM boxed SEMI JOIN three USING (image_id, id) JOIN coded USING (image_id, id))"""
+
+
+def flat(records):
+    return records.select("segmentation.size", "segmentation.counts", *[c for c in records.columns if c != "segmentation"])
+
+
+@query("m13_candidate_flow", f"""WITH {SCORED},
+{lit_sql('final')}, {counts_sql('lit')}
+SELECT image_id, id AS candidate_id, [12, 14] AS size, counts, area, [x0, y0, x1 - x0, y1 - y0] AS bbox, predicted_iou, stability_score,
+       {PLACES} FROM final JOIN coded USING (image_id, id)""")
 def m13(spark, sf_dir):
-    return K.mask_quality(candidates(spark, sf_dir), OPTIONS).drop("segmentation")
+    return flat(K.mask_quality(candidates(spark, sf_dir), OPTIONS))
 
 
-@query("m15_records", f"""WITH {SCORED}
-SELECT image_id, id AS candidate_id, [12, 14] AS size, area FROM e""")
+@query("m15_records", f"""WITH {SCORED},
+{lit_sql('e')}, {counts_sql('lit')}
+SELECT image_id, id AS candidate_id, [12, 14] AS size, counts, area, [x0, y0, x1 - x0, y1 - y0] AS bbox, predicted_iou, stability_score,
+       {PLACES} FROM e JOIN coded USING (image_id, id)""")
 def m15(spark, sf_dir):
     options = K.QualityOptions(pred_iou=0.02, stability=0.3, stability_offset=0.05, mask_threshold=0.25, box_nms=0.999999,
                                crop_nms=0.999999, edge_tolerance=0.5)
-    records = K.candidate_records(K.candidate_masks(candidates(spark, sf_dir), options))
-    return records.select("image_id", "candidate_id", "segmentation.size", "area")
+    return flat(K.candidate_records(K.candidate_masks(candidates(spark, sf_dir), options)))
 
 
-@query("m12_clean_candidates")
+@query("m12_clean_candidates", f"""WITH {SCORED},
+{cleaned_sql('g', 0.4)}
+SELECT image_id, id AS candidate_id, counts, x0, y0, x1, y1 FROM clean""")
 def m12(spark, sf_dir):
     records = K.candidate_masks(candidates(spark, sf_dir), OPTIONS)
     return K.clean_candidates(records, 4, 0.4).select("image_id", "candidate_id", "counts", "x0", "y0", "x1", "y1")
 
 
-@query("e06_mask_quality")
+@query("e06_mask_quality", f"""WITH {SCORED},
+{cleaned_sql('final', 0.5)}
+SELECT image_id, id AS candidate_id, [12, 14] AS size, c.counts, c.set_pixels AS area, [c.x0, c.y0, c.x1 - c.x0, c.y1 - c.y0] AS bbox,
+       predicted_iou, stability_score, {PLACES}
+FROM final JOIN clean c USING (image_id, id)""")
 def e06(spark, sf_dir):
     options = K.QualityOptions(pred_iou=0.02, stability=0.3, stability_offset=0.05, mask_threshold=0.25, box_nms=0.5,
                                crop_nms=0.4, edge_tolerance=0.5, min_region_area=4)
-    return K.mask_quality(candidates(spark, sf_dir), options)
+    return flat(K.mask_quality(candidates(spark, sf_dir), options))
