@@ -26,8 +26,9 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies: the one with the smallest id."""
-    return simhash.drop_near_copies(docs)
+    """One document of every group of near copies (0.8 or more of the distinct five-word shingles in common): the one with
+    the smallest id. This is the stages' rule; op6 links fingerprints of four-word shingles within 4 bits."""
+    return simhash.drop_similar(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,10 @@ Fingerprints within ``budget`` bits agree on one of ``budget + 1`` blocks of bit
 trie per block. A trie is joined with itself by walking pairs of its nodes together: differing bits add up and a pair is
 left as soon as they exceed the budget. Tries of over ``TRIE_SIZE`` fingerprints are split into parts that are joined part
 by part. A task keeps the links it finds as a forest, so a dense group yields as many links as members, not pairs.
+
+Where a similarity of shingle sets decides (``similar_groups``), the budget is too wide for blocks of the fingerprint's own
+bits. Each set then goes to one trie per band of smallest hashes, the tries' links only name candidates, and all pairs of a
+candidate group are compared by their whole sets.
 """
 
 from __future__ import annotations
@@ -23,6 +27,15 @@ from saccade.session import cut_lineage
 
 BUDGET = 4
 SHINGLE = 4
+#: Words of a shingle and the share of common shingles where sets decide.
+SET_SHINGLE = 5
+SIMILARITY = (4, 5)
+#: Bits by which fingerprints of candidates may differ: at a similarity of 0.8 they differ by 9.7 on average, by more than 20 once in 2,000.
+SET_BUDGET = 20
+#: Bands of smallest hashes and hashes in a band: at a similarity of 0.8 no band is shared once in 2,900.
+BANDS, BAND = 20, 5
+#: Sets of a candidate group that are compared with each other part of the group at once.
+GROUP_SIZE = 256
 #: Fingerprints of one part of a trie.
 TRIE_SIZE = 2048
 #: Node pairs that are walked at once; more are put aside, which bounds memory.
@@ -30,6 +43,7 @@ FRONT = 400_000
 #: Rows of several tries that are walked together.
 TOGETHER = 60_000
 
+_TURNS = np.random.default_rng(7).integers(1, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -169,7 +183,11 @@ def linked(prints: DataFrame, budget: int = BUDGET, trie_size: int = TRIE_SIZE)
     """Links (u, v) that join exactly the distinct fingerprints ``fp`` which chains of at most ``budget`` bits reach."""
     widths = [64 // (budget + 1) + (k < 64 % (budget + 1)) for k in range(budget + 1)]
     keys = F.array(*[_rotate(F.col("fp"), k, widths) + F.lit(k << 32) for k in range(len(widths))])
-    blocks = prints.select("fp", F.explode(keys).alias("trie"))
+    return linked_in(prints.select("fp", F.explode(keys).alias("trie")), budget, trie_size)
+
+
+def linked_in(blocks: DataFrame, budget: int, trie_size: int = TRIE_SIZE) -> DataFrame:
+    """Links (u, v) among fingerprints ``fp`` that are in one ``trie`` and differ by at most ``budget`` bits, as forests."""
     sizes = blocks.groupBy("trie").agg(F.count("*").alias("n"))
     # Of a large trie each part meets each other part once: a part's rows go to every pair of parts that it is in.
     large = sizes.where(F.col("n") > trie_size).select("trie", F.ceil(F.col("n") / trie_size).cast("int").alias("parts"))
@@ -179,7 +197,7 @@ def linked(prints: DataFrame, budget: int = BUDGET, trie_size: int = TRIE_SIZE)
     rows = sized.withColumn("own", own).select(
         "trie", "own", "fp", F.explode(others).alias("other")).select(
         "trie", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
-    n = parallelism(prints.sparkSession)
+    n = parallelism(blocks.sparkSession)
     dealt = rows.repartition(n, "trie", "i", "j").sortWithinPartitions("trie", "i", "j", "own", "fp")
     return dealt.mapInArrow(lambda batches: _join_tries(batches, budget), "u long, v long")
 
@@ -234,11 +252,142 @@ def near_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return prints.join(names, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
+def shingle_set(text: str, size: int = SET_SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def band_hashes(hashes: np.ndarray) -> list[int]:
+    """One number for each band of smallest hashes; two sets share a band with the ``BAND``-th power of their similarity."""
+    if not len(hashes):
+        return []
+    least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 1 << 12):
+        np.minimum(least, (hashes[k:k + (1 << 12), None] * _TURNS).min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, BAND))]
+
+
+def set_prints(docs: DataFrame, size: int = SET_SHINGLE) -> DataFrame:
+    """doc_id, text_key, ``node`` (a hash of the text's shingle set), the set's fingerprint ``fp`` and its ``bands``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("text_key"), pa.array(node), pa.array(fp),
+                pa.array([band_hashes(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_key", "node", "fp", "bands"])
+    rows = id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, node long, fp long, bands array<long>")
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
+    """The forest's roots of all ``sets`` whose common share is at least ``similarity`` (a fraction).
+
+    Sets already linked are not compared, so a dense group costs about one comparison a member."""
+    over, under = similarity
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    of = np.repeat(np.arange(len(sets)), size)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    holders, ends = of[order], np.concatenate([[0], np.cumsum(np.bincount(codes))])
+    starts, forest = np.cumsum(size) - size, Forest(len(sets))
+    for k in range(len(sets)):
+        other = (forest.root != forest.root[k]) & (under * size >= over * size[k]) & (over * size <= under * size[k])
+        if not other.any():
+            continue
+        own = codes[starts[k]:starts[k] + size[k]]
+        count = ends[own + 1] - ends[own]
+        place = np.repeat(ends[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common = np.bincount(holders[place], minlength=len(sets))
+        link = np.flatnonzero(other & (under * common >= over * (size + size[k] - common)))
+        forest.add(np.full(len(link), k), link)
+    return forest.root
+
+
+def similar_links(docs: DataFrame, members: DataFrame, size: int, similarity: tuple[int, int], group_size: int) -> DataFrame:
+    """Links (u, v) that join exactly the ``members`` (root, node, pick of doc_id and text_key) of a candidate group which
+    chains of similar sets reach. Of a large group each part meets each other part once."""
+    groups = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(
+        "root", F.ceil(F.col("n") / group_size).cast("int").alias("parts"))
+    wanted = members.join(groups, "root").select(
+        "root", "node", "parts", F.col("pick.doc_id").alias("w_id"), F.col("pick.text_key").alias("w_key"))
+    rows = id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))).select(
+        "root", "node", "parts", "text")
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            body = pa.array([shingle_set(t, size).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "node", "parts")), body], ["root", "node", "parts", "body"])
+
+    held = texts.mapInArrow(as_sets, "root long, node long, parts int, body binary")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = held.withColumn("own", own).select(
+        "root", "node", "own", "body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "body").repartition(
+        parallelism(docs.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+
+    def solve(nodes: list[int], bodies: list[bytes]) -> pa.RecordBatch:
+        root = similar_pairs([np.frombuffer(b, np.uint64) for b in bodies], similarity)
+        away = np.flatnonzero(root != np.arange(len(root)))
+        known = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(known[away]), pa.array(known[root[away]])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, bodies = None, [], []
+        for batch in batches:
+            for *key, node, body in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "body")), strict=True):
+                if key != at:
+                    if len(nodes) > 1:
+                        yield solve(nodes, bodies)
+                    at, nodes, bodies = key, [], []
+                if not nodes or node != nodes[-1]:  # a repeated row
+                    nodes.append(node)
+                    bodies.append(body)
+        if len(nodes) > 1:
+            yield solve(nodes, bodies)
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, size: int = SET_SHINGLE, similarity: tuple[int, int] = SIMILARITY,
+                   group_size: int = GROUP_SIZE) -> DataFrame:
+    """doc_id, text_key, root (a group's smallest set hash) and component_id: the smallest doc_id reachable over links of
+    texts that share at least ``similarity`` of their distinct shingles of ``size`` words, itself included.
+
+    Links are checked on the whole sets; which pairs are checked is settled by tries and bands that were chosen for 0.8.
+    Nulls, repeats and empty tables are as in ``near_groups``; texts without words are alike."""
+    prints = cut_lineage(set_prints(docs, size))
+    distinct = cut_lineage(prints.groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("pick"),
+        F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    blocks = distinct.select("fp", F.explode("bands").alias("trie"))
+    shared = blocks.groupBy("trie").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("trie")
+    met = components(linked_in(blocks.join(shared, "trie"), SET_BUDGET)).select(F.col("node").alias("fp"), "root")
+    members = distinct.join(met, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "node", "pick")
+    roots = components(similar_links(docs, members, size, similarity, group_size))
+    rooted = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = rooted.join(named, "root").select("node", "root", "component_id")
+    return prints.select("doc_id", "text_key", "node").join(names, "node").select("doc_id", "text_key", "root", "component_id")
+
+
 def drop_near_copies(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each group one row with the smallest doc_id.
+    """The rows of ``docs`` that stay, with all columns: of each group of near fingerprints one row with the smallest doc_id."""
+    return _one_of_each(docs, near_groups(docs, budget))
+
+
+def drop_similar(docs: DataFrame, size: int = SET_SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns: of each group of similar texts one row with the smallest doc_id."""
+    return _one_of_each(docs, similar_groups(docs, size, similarity))
+
+
+def _one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of each group one row with the smallest doc_id.
 
     Of rows that repeat that id, the one with the smallest hash of its text stays, and of equal rows one."""
-    groups = near_groups(docs, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows_of = groups.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
     stay = rows_of.groupBy("root").agg(F.min(F.struct("text_key", "doc_id", "n")).alias("s")).select(
         F.col("s.doc_id").alias("_stay_id"), F.col("s.text_key").alias("_stay_key"), F.col("s.n").alias("_stay_rows"))
