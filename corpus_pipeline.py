@@ -13,6 +13,10 @@ from saccade.llm import exact, packing, simhash, substrings, toxicity
 from saccade.llm.common import read_table
 from saccade.session import scratch_path
 
+#: Length of the strings that the stage cuts; op1's own is 400. Passages of over 50 words have to be found: at 6 to 7 bytes a
+#: word they begin at some 310 bytes, and 200 holds down to 4 bytes a word.
+REPEAT_BYTES = 200
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as not toxic. The model learns from the labelled documents of the same input."""
@@ -32,8 +36,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the strings of 400 bytes that occur again in the corpus."""
-    return substrings.remove_repeats(docs)
+    """Every document without the strings of ``REPEAT_BYTES`` bytes that occur again in the corpus."""
+    return substrings.remove_repeats(docs, REPEAT_BYTES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,16 @@ def test_near_stage_equals_all_pairs(spark, group_size):
     if group_size == 256:
         kept = corpus_pipeline.drop_near(spark, docs, "")
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
+
+
+def test_repeats_stage_cuts_a_passage_of_51_words(spark):
+    rng = random.Random(12)
+    passage = " ".join(words(rng, 51))
+    assert len(passage) < 400
+    rows = [(k, " ".join(words(rng, 80)) + f" {k}\n{passage}\n{k} " + " ".join(words(rng, 40))) for k in range(3)]
+    rows += [(8, " ".join(words(rng, 200))), (9, None), (10, "")]
+    docs = spark.createDataFrame([(k, t, None if t is None else len(t)) for k, t in rows], "doc_id long, text string, n_chars int")
+    cut = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    for k, t in rows:
+        assert cut[k].text == (t.replace("\n" + passage + "\n", "") if t else t)
+        assert cut[k].n_chars == (None if t is None else len(cut[k].text))
