@@ -44,8 +44,9 @@ class WordCoder:
 
     Words stay known until they hold ``limit`` characters in all; then the memory starts afresh, which changes no result."""
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 3_000_000):
-        self.encode_words, self.limit = encode_words, limit
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 3_000_000,
+                 split: Callable[[str], list[str]] = split_words):
+        self.encode_words, self.limit, self.split = encode_words, limit, split
         self._forget()
 
     def _forget(self) -> None:
@@ -59,7 +60,7 @@ class WordCoder:
         words: list[str] = []
         upto = np.zeros(len(texts) + 1, np.int64)
         for k, text in enumerate(texts):
-            words += split_words(text)
+            words += self.split(text)
             upto[k + 1] = len(words)
         known = len(self.codes.order)
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
@@ -82,17 +83,36 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shows} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def split_at(added: list[str]) -> Callable[[str], list[str]]:
+    """Splits like ``split_words`` between the strings of ``added``, which are words of their own (the longest that fits)."""
+    if not added:
+        return split_words
+    found = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def split(text: str) -> list[str]:
+        parts = found.split(text)
+        if len(parts) == 1:
+            return split_words(text)
+        return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else split_words(part))]
+
+    return split
+
+
 @lru_cache(maxsize=2)
 def library_coder(path: str) -> WordCoder:
-    """Encodes with the tokenizer file ``path``; the strings of special tokens count as ordinary text."""
+    """Encodes with the tokenizer file ``path`` as its library does without adding special tokens: the strings of the file's
+    added tokens become their ids wherever they stand in a text."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    known = tokenizer.get_added_tokens_decoder()
+    if tokenizer.normalizer is not None or any(t.single_word or t.lstrip or t.rstrip for t in known.values()):
+        raise ValueError(f"{path}: normalisers and added tokens bound to their surroundings are not supported")
+    added = {t.content: k for k, t in known.items()}
     merge, letters = tokenizer.model.tokenize, _byte_letters()
 
     def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [[t.id for t in merge(w.encode().decode("latin-1").translate(letters))] for w in words]
+        found = [[added[w]] if w in added else [t.id for t in merge(w.encode().decode("latin-1").translate(letters))] for w in words]
         return (np.fromiter((i for ids in found for i in ids), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
 
-    return WordCoder(encode_words)
+    return WordCoder(encode_words, split=split_at(list(added)))

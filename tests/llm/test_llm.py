@@ -9,8 +9,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
-from saccade.llm import exact, merges, packing, simhash, sketches, streams, substrings
+from saccade.llm import exact, merges, packing, simhash, sketches, streams, substrings, words
 from saccade.llm.induced import repeats, suffix_array
 
 
@@ -115,3 +116,13 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     for run in (exact.exact_groups, simhash.near_groups, sketches.document_fingerprints, substrings.repeated_spans):
         assert run(none).count() == 0
+
+
+def test_words_equal_tokenizers_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, coder = Tokenizer.from_file(path), words.library_coder(path)
+    own = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n y ", "<|endoftext> <|endoftext|", "", "  two  blanks \t\n",
+           "a  <|endoftext|>　\xa0 b  ", "Ünï ñ 你好<|endoftext|>text's 12² Привет שלום 🙂", "don't<|endoftext|>'s"]
+    ids, upto = coder.encode(own)
+    for k, text in enumerate(own):
+        assert ids[upto[k]:upto[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, text
