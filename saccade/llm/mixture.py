@@ -23,7 +23,7 @@ CLASSES = 1 << 15
 #: Bytes of a span.
 SPAN = 32
 ROUNDS = 20
-#: Languages of a model at most; the most frequent are taken.
+#: Languages of a model at most; more are an error.
 LANGUAGES = 256
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -68,10 +68,13 @@ def count_trigrams(docs: DataFrame, learn) -> DataFrame:
 def fit(docs: DataFrame, learn) -> tuple[list[str], np.ndarray]:
     """The learned languages and the log-likelihood of every trigram class in each (classes by languages).
 
-    What reaches the driver is at most ``LANGUAGES`` times ``CLASSES`` counts, however large the input."""
+    What reaches the driver is at most ``LANGUAGES`` times ``CLASSES`` counts, however large the input; more languages are an
+    error, as none may be left out."""
     counted = count_trigrams(docs, learn)
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
-    found = counted.join(F.broadcast(totals), "lang").toPandas()
+    known = counted.select("lang").distinct().limit(LANGUAGES + 1)
+    if known.count() > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages to learn; fold variants of lang first")
+    found = counted.toPandas()
     names = sorted(found["lang"].unique().tolist())
     counts = np.zeros((CLASSES, max(1, len(names))))
     counts[found["class"].to_numpy(np.int64), np.searchsorted(names, found["lang"].to_numpy(str)) if names else []] = found["n"]

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from saccade.llm import lines, mixture, toxicity
 
 
@@ -33,3 +36,10 @@ def test_models(spark):
     found = mixture.identify(docs).collect()
     assert sum(r.lang_pred == known[r.doc_id] for r in found if r.doc_id < 900) > 225
     assert {r.lang_pred for r in found if r.doc_id >= 900} == {"und"}
+
+
+def test_more_languages_than_a_model_holds_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "LANGUAGES", 2)
+    docs = spark.createDataFrame([(k, "some words", f"l{k % 3}") for k in range(6)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="over 2 languages"):
+        mixture.fit(docs, F.lit(True))
