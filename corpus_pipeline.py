@@ -48,7 +48,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", reject_toxic), ("exact_dedup", drop_exact), ("near_dedup", drop_near),
           ("suffix_dedup", cut_repeats), ("packing", pack)]
 
-#: SQL can express neither the scores nor the fingerprints nor the ids, so stages are tested against plain versions.
+#: SQL can express neither the scores nor the similar sets nor the ids. tests/llm/test_pipeline.py holds the stages of near copies
+#: and repeats against plain versions; toxicity, exact copies and packing have no such test as stages.
 ORACLE_SQL = None
 
 
