@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccade.llm import exact, lines, merges, mixture, packing, simhash, sketches, streams, substrings, toxicity
+from saccade.llm import divergence, exact, lines, merges, mixture, packing, simhash, sketches, streams, substrings, toxicity
 from saccade.llm.common import read_table
 from saccade.session import scratch_path
 
@@ -95,3 +95,30 @@ def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM t LEFT JOIN o USING (doc_id)""")
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_spans(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op13_source_divergence", r"""
+    WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce("source", '') AS source,
+                      translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    terms AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+    n AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN terms USING (lang, term) GROUP BY ALL),
+    v AS (SELECT lang, count(*) AS kinds, sum(total) AS lang_sum FROM terms GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    s AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN n USING (lang, source) GROUP BY ALL),
+    p AS (SELECT s.lang, s.source, term, coalesce(n, 0) AS n,
+                 (1 + 1000000000::hugeint * (coalesce(n, 0) + 5) // (s.total + 5 * kinds)::hugeint)::bigint AS p,
+                 (1 + 1000000000::hugeint * (terms.total + 5) // (lang_sum + 5 * kinds)::hugeint)::bigint AS q
+          FROM s JOIN v USING (lang) JOIN terms USING (lang) LEFT JOIN n USING (lang, source, term)),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::bigint AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+                         FROM p x JOIN p y USING (lang, term) GROUP BY ALL) z
+              ON z.lang = a.lang AND z.source = a.source AND z.item = b.source),
+    r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value, rank::int AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+    WHERE part = 'pair' OR rank <= 50""")
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read_table(spark, sf_dir, "documents"))
