@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccade.llm import divergence, exact, lines, merges, mixture, packing, simhash, sketches, streams, substrings, toxicity
+from saccade.llm import divergence, exact, lines, merges, mixture, packing, simhash, sketches, streams, substrings, toxicity, tries
 from saccade.llm.common import read_table
 from saccade.session import scratch_path
 
@@ -122,3 +122,32 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE part = 'pair' OR rank <= 50""")
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_trie", """
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce("text", '') AS body, row_number() OVER (
+                   PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce("text", ''))) AS pos
+               FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base_id, conv_id::varchar AS d FROM t),
+    x AS (SELECT conv_id, base_id, list_reduce(list_prepend(4294967295::bigint, range(8 * length(d))::bigint[]), lambda v, s:
+              xor(xor(v, CASE WHEN s % 8 = 0 THEN ord(d[(s // 8 + 1)::int]) ELSE 0 END) >> 1,
+                  CASE WHEN xor(v, CASE WHEN s % 8 = 0 THEN ord(d[(s // 8 + 1)::int]) ELSE 0 END) % 2 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM ids),
+    c AS (SELECT conv_id, base_id, xor(v, 4294967295) % 9 AS h FROM x),
+    r AS (SELECT c.conv_id, 0 AS own, t.pos, role, body FROM c JOIN t ON t.conv_id = c.base_id AND t.pos <= h
+          UNION ALL SELECT c.conv_id, 1, t.pos, role, body FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > h),
+    s AS (SELECT conv_id, row_number() OVER w AS depth, body, list({'role': role, 'body': body}) OVER w AS path FROM r
+          WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)),
+    m AS (SELECT conv_id, depth, strlen(body) AS size, path FROM s
+          UNION ALL SELECT conv_id, 0, 0, []::struct(role varchar, body varchar)[] FROM ids),
+    l AS (SELECT conv_id, max(depth) AS turns FROM m GROUP BY conv_id),
+    n AS (SELECT path, min(conv_id) AS conv_id, depth, count(*) AS n_convs, max(size) AS size, path[:(depth - 1)::int] AS up,
+                 coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (depth = turns), '') AS ends
+          FROM m JOIN l USING (conv_id) GROUP BY path, depth),
+    k AS (SELECT up AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+    f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+    b AS (SELECT a.path, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.size)::bigint AS saved_tokens
+          FROM f a JOIN f x ON x.depth >= a.depth AND x.path[:a.depth::int] = a.path GROUP BY a.path)
+    SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ends) AS ends_sha256
+    FROM f JOIN b USING (path) LEFT JOIN n p ON p.path = f.up AND f.depth > 0""")
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(read_table(spark, sf_dir, "conversations"))
