@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccade.llm import divergence, exact, lines, merges, mixture, packing, simhash, sketches, streams, substrings, toxicity, tries
+from saccade.llm import divergence, exact, lines, merges, mixture, packing, permutations, simhash, sketches, streams, substrings, toxicity, tries
 from saccade.llm.common import read_table
 from saccade.session import scratch_path
 
@@ -151,3 +151,8 @@ def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM f JOIN b USING (path) LEFT JOIN n p ON p.path = f.up AND f.depth > 0""")
 def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
+@query("op12_permutation_index")
+def permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutations.nearest_vectors(read_table(spark, sf_dir, "embeddings"))
