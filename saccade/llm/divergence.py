@@ -26,10 +26,10 @@ LEAST_DOCS = 30
 TOP = 50
 #: Terms of a block (on average), sources of a block and columns of a product.
 TERMS, SOURCES, COLUMNS = 256, 32, 1024
-#: Tasks that share the blocks of terms of one pair of source blocks.
-SLOTS = 32
+#: Blocks of terms (on average) of a pair of source blocks that one key holds; a lang with more terms has more keys.
+SLOT = 2
 #: Different terms of a task's groups that are held before they are sent on.
-HELD = 300_000
+HELD = 500_000
 #: Bytes of a text that are split at once; longer texts are cut between terms.
 SLICE = 4 << 20
 
@@ -59,23 +59,26 @@ def term_counts(docs: DataFrame) -> DataFrame:
     names = ["lang", "source", "term", "n", "df"]
 
     def send(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, df) in held.items():
-            if n:
-                terms = [t.decode("utf-8", "replace") for t in n]
+        for (lang, source), (df, more) in held.items():
+            if df:
+                terms = [t.decode("utf-8", "replace") for t in df]
+                once = np.fromiter(df.values(), np.int64, len(df))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(terms, pa.string()),
-                    pa.array(list(n.values()), pa.int64()), pa.array([df[t] for t in n], pa.int64())], names)
+                    pa.array([lang] * len(df), pa.string()), pa.array([source] * len(df), pa.string()), pa.array(terms, pa.string()),
+                    pa.array(once + np.fromiter((more[t] for t in df), np.int64, len(df))), pa.array(once)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[Counter, Counter]] = {}
+        held: dict[tuple, tuple[Counter, Counter]] = {}  # documents with a term, and its occurrences beyond those
         size = 0
         for batch in bounded(batches):
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                n, df = held.setdefault((lang, source), (Counter(), Counter()))
-                before, found = len(n), text_terms(text)
-                n.update(found)
+                df, more = held.setdefault((lang, source), (Counter(), Counter()))
+                before, found = len(df), text_terms(text)
                 df.update(found.keys())
-                size += len(n) - before
+                for term, n in found.items():
+                    if n > 1:
+                        more[term] += n - 1
+                size += len(df) - before
                 if size >= HELD or len(held) >= HELD:
                     yield from send(held)
                     held, size = {}, 0
@@ -213,15 +216,16 @@ def source_pairs(priced: DataFrame, groups: DataFrame) -> DataFrame:
     blocks = banded.join(parts, ["lang", "band"]).withColumn(
         "block", F.col("band").cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("term"), "parts"))
     by_name = Window.partitionBy("lang")
-    placed = groups.withColumn("own", F.floor((F.row_number().over(by_name.orderBy("source")) - 1) / SOURCES).cast("int")).withColumn(
+    slots = F.greatest(F.ceil(F.col("kinds") / (SLOT * TERMS)), F.lit(1)).cast("int")
+    placed = groups.withColumn("slots", slots).withColumn("own", F.floor((F.row_number().over(by_name.orderBy("source")) - 1) / SOURCES).cast("int")).withColumn(
         "others", F.sequence(F.lit(0), F.max("own").over(by_name)))
     cell = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    heads = placed.select("lang", "own", "source", "none", F.explode("others").alias("other")).select(
-        "lang", *cell, F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"), F.lit(-1).cast("long").alias("block"),
+    heads = placed.select("lang", "own", "source", "none", "slots", F.explode("others").alias("other")).select(
+        "lang", *cell, F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(-1).cast("long").alias("block"),
         "own", "source", F.lit(None).cast("string").alias("term"), F.col("none").alias("p"))
-    body = blocks.join(placed.select("lang", "source", "own", "others"), ["lang", "source"]).select(
-        "lang", "block", "own", "source", "term", "p", F.explode("others").alias("other")).select(
-        "lang", *cell, F.pmod(F.xxhash64("block"), F.lit(SLOTS)).cast("int").alias("slot"), "block", "own", "source", "term", "p")
+    body = blocks.join(placed.select("lang", "source", "own", "others", "slots"), ["lang", "source"]).select(
+        "lang", "block", "own", "source", "term", "p", "slots", F.explode("others").alias("other")).select(
+        "lang", *cell, F.pmod(F.xxhash64("block"), F.col("slots")).cast("int").alias("slot"), "block", "own", "source", "term", "p")
     dealt = heads.unionByName(body).repartition(parallelism(priced.sparkSession), "lang", "i", "j", "slot").sortWithinPartitions(
         "lang", "i", "j", "slot", "block")
     sums = dealt.mapInArrow(_price_cells, "lang string, source string, item string, value long, seen long").groupBy(

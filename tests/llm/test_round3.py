@@ -169,7 +169,7 @@ def plain_divergence(rows, least, top):
 @pytest.mark.parametrize("small", [False, True])
 def test_source_divergence(spark, small, monkeypatch):
     if small:
-        for name, value in {"TERMS": 4, "SOURCES": 3, "COLUMNS": 5, "SLOTS": 2, "HELD": 20, "SLICE": 16}.items():
+        for name, value in {"TERMS": 4, "SOURCES": 3, "COLUMNS": 5, "SLOT": 2, "HELD": 20, "SLICE": 16}.items():
             monkeypatch.setattr(divergence, name, value)
     rng = random.Random(7)
     words = ["The", "the", "Ünï", "ÜNÏ", "a", "b2c", "x_y", "don't", "你好", "é", "zebra", "Q"] + [f"w{chr(97 + k)}" for k in range(20)]
