@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from saccade.operators import candidates as K
-from saccade.operators.suppression import box_overlaps, nms
+from saccade.operators.suppression import box_overlaps, nms, overlap_summary
 from saccade.plans.fixtures import IOU, V4, V5, boxes, mask_logits
 from saccade.plans.registry import query
 
@@ -41,6 +41,20 @@ def j13(spark, sf_dir):
     return box_overlaps(boxes(spark, sf_dir), ["g"], IOU)
 
 
+@query("j13b_overlap_summary", f"""WITH {V5},
+o AS (SELECT a.g, a.x0, a.y0, a.x1, a.y1, a.id, max({iou_sql('a', 'b')}) AS best, count(*) AS n
+      FROM v5 a JOIN v5 b ON a.g = b.g AND a.id <> b.id AND {iou_sql('a', 'b')} > {IOU} GROUP BY ALL)
+SELECT v5.g, v5.x0, v5.y0, v5.x1, v5.y1, count(*) AS copies, any_value(coalesce(n, 0)) AS n_overlaps, any_value(best) AS best_iou
+FROM v5 LEFT JOIN o USING (g, id) GROUP BY v5.g, v5.x0, v5.y0, v5.x1, v5.y1""")
+def j13b(spark, sf_dir):
+    return overlap_summary(boxes(spark, sf_dir), ["g"], IOU)
+
+
+@query("m11b_nms_any_overlap", f"WITH {V5}, {nms_sql('v5', ['g'], 'score DESC', 0, 'kept')} SELECT v5.* FROM v5 SEMI JOIN kept USING (g, id)")
+def m11b(spark, sf_dir):
+    return nms(boxes(spark, sf_dir), ["g"], 0.0)
+
+
 @query("m11_nms", f"WITH {V5}, {nms_sql('v5', ['g'], 'score DESC', IOU, 'kept')} SELECT v5.* FROM v5 SEMI JOIN kept USING (g, id)")
 def m11(spark, sf_dir):
     return nms(boxes(spark, sf_dir), ["g"], IOU)

@@ -50,8 +50,9 @@ def test_threshold_of_one_keeps_all(spark, n):
                                   "g string, id long, x0 int, y0 int, x1 int, y1 int, score double")
     assert nms(boxes, ["g"], 0.9999).count() == 1
     assert nms(boxes, ["g"], 1.0).count() == n
+    assert nms(boxes, ["g"], 0.0).count() == 1
     with pytest.raises(ValueError):
-        nms(boxes, ["g"], 0.0)
+        nms(boxes, ["g"], -0.1)
 
 
 def test_empty_frame_folder(spark):

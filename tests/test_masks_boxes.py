@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from saccade.operators import candidates as K
 from saccade.operators import components as C
 from saccade.operators import masks as M
-from saccade.operators.suppression import box_overlaps, nms
+from saccade.operators.suppression import box_overlaps, nms, overlap_summary
 
 
 def mask_frame(spark, arrays):
@@ -164,6 +164,46 @@ def test_box_overlaps_match_all_pairs(spark):
         assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+@pytest.mark.parametrize("threshold, tile", [(0.0, 60), (0.3, 25)])
+def test_nms_over_many_tiles(spark, threshold, tile):
+    rng = random.Random(9)
+    spread = []
+    for i in range(300):  # mixed sizes, far apart and in clusters
+        x, y, side = rng.randint(0, 900), rng.randint(0, 300), rng.choice([2, 9, 30, 30, 200])
+        spread.append((x, y, x + side + rng.randint(0, 3), y + side, i, round(rng.random(), 2)))
+    dense = [(5 + i % 4, 5 + i % 3, 50 + i % 5, 60, i, float(i % 7)) for i in range(200)]
+    rows = [(g, *b) for g, boxes in (("spread", spread), ("dense", dense)) for b in boxes]
+    df = spark.createDataFrame(rows, "g string, x0 int, y0 int, x1 int, y1 int, id int, score double")
+    got = nms(df, ["g"], threshold, small_group=tile).collect()
+    for g, boxes in (("spread", spread), ("dense", dense)):
+        assert {r.id for r in got if r.g == g} == greedy(boxes, threshold)
+
+
+def test_a_falling_row_settles_in_few_rounds(spark, monkeypatch):
+    from saccade.operators import suppression
+    rounds = []
+    tiled = suppression._tiled
+    monkeypatch.setattr(suppression, "_tiled", lambda *a: rounds.append(1) or tiled(*a))
+    row = [(6 * i, 0, 6 * i + 10, 10, i, float(-i)) for i in range(132)]
+    df = spark.createDataFrame([("g", *b) for b in row], "g string, x0 int, y0 int, x1 int, y1 int, id int, score double")
+    assert {r.id for r in nms(df, ["g"], 0.2).collect()} == greedy(row, 0.2) and len(rounds) == 0  # one tile
+    assert {r.id for r in nms(df, ["g"], 0.2, small_group=100).collect()} == greedy(row, 0.2) and len(rounds) <= 5
+
+
+def test_overlap_summary(spark):
+    rng = random.Random(4)
+    boxes = random_boxes(150, rng, [1, 1, 3])
+    df = spark.createDataFrame([("g", *b) for b in boxes], "g string, x0 int, y0 int, x1 int, y1 int, id int, score double")
+    boxes = [b for b in boxes if b[2] > b[0]]
+    want = {}
+    for b in boxes:
+        near = [iou(b, o) for o in boxes if o[4] != b[4] and iou(b, o) > 0.3]
+        want[b[:4]] = (sum(o[:4] == b[:4] for o in boxes), len(near), max(near, default=None))
+    for tile in (5, 4096):
+        got = {(r.x0, r.y0, r.x1, r.y1): (r.copies, r.n_overlaps, r.best_iou) for r in overlap_summary(df, ["g"], 0.3, tile).collect()}
+        assert got == want
+
+
 def test_clean_candidates_against_plain_code(spark):
     rng = np.random.default_rng(11)
     arrays = [rng.random((8, 8)) < 0.6 for _ in range(6)]
