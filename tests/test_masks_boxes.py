@@ -93,6 +93,38 @@ def test_components_match_flood_fill(spark):
             assert r.area == (labels == labels[at]).sum()
 
 
+def test_components_of_a_large_mask(spark):
+    rng = np.random.default_rng(8)
+    a = rng.random((1000, 1000)) < 0.38
+    a[500] = True  # joins much of it
+    labels, n = flood(a)
+    rows = C.component_areas(C.components(C.logits_to_masks(mask_frame(spark, [a])))).collect()
+    assert sorted(r.area for r in rows) == sorted(np.bincount(labels.ravel())[1:].tolist()) and len(rows) == n
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_scores_painted_in_the_row(spark, seed):
+    rng = np.random.default_rng(seed)
+    arrays = [rng.random((int(rng.integers(1, 12)), int(rng.integers(1, 12)))) < 0.5 for _ in range(30)]
+    frame = mask_frame(spark, arrays)
+    filled = {r.label_ord: np.array(r.logits).reshape(r.h, r.w) for r in C.fill_holes(frame, 3).collect()}
+    fixed = {r.label_ord: np.array(r.logits).reshape(r.h, r.w) for r in C.repair_scores(frame, 3, 2).collect()}
+    for i, a in enumerate(arrays):
+        holes, spots = (flood(x)[0] for x in (~a, a))
+        hole, spot = (np.isin(x, [k for k in range(1, x.max() + 1) if (x == k).sum() <= area]) for x, area in ((holes, 3), (spots, 2)))
+        assert np.allclose(filled[i], np.where(hole, 0.1, np.where(a, 1.0, -1.0)))
+        assert np.allclose(fixed[i], np.where(spot, -10.0, np.where(hole, 10.0, np.where(a, 1.0, -1.0))))
+
+
+def test_regions_of_odd_run_lengths(spark):
+    rows = [("p", 0, 0, 3, 4, [2, 2, 0, 3, 5]), ("p", 0, 1, 3, 4, [12]), ("p", 0, 2, 0, 4, []), ("p", 0, 3, 3, 4, [0, 12])]
+    masks = spark.createDataFrame(rows, "participant_id string, frame int, label_ord int, h int, w int, counts array<int>")
+    areas = {(r.label_ord, r.component, r.area) for r in C.component_areas(C.components(masks)).collect()}
+    assert areas == {(0, 2, 5), (3, 0, 12)}  # touching runs are one
+    kept = {r.label_ord: (r.counts, r.changed) for r in C.remove_small_regions(masks, 6, "islands").collect()}
+    assert kept == {0: ([2, 5, 5], True), 1: ([12], False), 2: ([], False), 3: ([0, 12], False)}
+
+
 def remove_small(mask, area, holes):
     labels, n = flood(mask ^ holes)
     sizes = [(labels == i).sum() for i in range(1, n + 1)]
