@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def check_fps(fps: float) -> float:
+def check_fps(fps: float | Column) -> float | Column:
+    """The rate as a number, or the column of rates as it is."""
+    if isinstance(fps, Column):
+        return fps
     if fps <= 0:
         raise ValueError("fps must be > 0")
     return float(fps)
@@ -16,8 +19,8 @@ def safe_div(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator != 0, numerator / F.nullif(denominator, F.lit(0))).otherwise(F.lit(0.0))
 
 
-def frames_to_ms(frames: Column, fps: float) -> Column:
-    return frames * F.lit(1000.0 / check_fps(fps))
+def frames_to_ms(frames: Column, fps: float | Column) -> Column:
+    return frames * (F.lit(1000.0) / fps if isinstance(fps, Column) else F.lit(1000.0 / check_fps(fps)))
 
 
 def round_half_even(value: Column, digits: int = 2) -> Column:
@@ -35,7 +38,7 @@ def round_half_even(value: Column, digits: int = 2) -> Column:
     return (low + up) / F.lit(float(scale))
 
 
-def frames_to_seconds(frames: Column, fps: float, digits: int = 2) -> Column:
+def frames_to_seconds(frames: Column, fps: float | Column, digits: int = 2) -> Column:
     return round_half_even(frames / F.lit(check_fps(fps)), digits)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from saccade.functions.numeric import check_fps, frames_to_ms, safe_div
 from saccade.operators.ordered import FRAMES_PER_CHUNK, frame_chunk, with_next
+from saccade.operators.runs import with_rate
 from saccade.session import cut_lineage
 
 # One output column per label of the wide form; the long forms have no such limit.
@@ -142,9 +143,8 @@ def session_bounds(events: DataFrame) -> DataFrame:
     return events.agg(F.min("start_frame").alias("min_frame"), F.max("end_frame").alias("max_frame"))
 
 
-def _check_phases(num_phases: int) -> None:
-    if num_phases < 1:
-        raise ValueError("num_phases must be at least 1")
+#: Fixed value: phases where fewer than one are asked for.
+PHASES = 3
 
 
 def _phase_overlaps(num_phases: int, low: Column, high: Column, end: Column) -> list[Column]:
@@ -168,7 +168,7 @@ def phase_frames(events: DataFrame, num_phases: int = 3, bounds: str = "global",
     With ``end_inclusive`` the frame ``end_frame`` belongs to the event, also where the file's end is
     exclusive, as in the reference; switch it off for run files to have phases add up to the share.
     """
-    _check_phases(num_phases)
+    num_phases = num_phases if num_phases >= 1 else PHASES
     if bounds == "global":
         limits = session_bounds(events)
         low, high = limits.select("min_frame").scalar(), limits.select("max_frame").scalar()
@@ -194,6 +194,7 @@ def _phase_shares(num_phases: int) -> list[Column]:
 def temporal_dynamics(events: DataFrame, num_phases: int = 3, bounds: str = "global",
                       end_inclusive: bool = True) -> DataFrame:
     """Share of the participant's time spent on a label in each phase, one row per phase."""
+    num_phases = num_phases if num_phases >= 1 else PHASES
     bounded, phases = phase_frames(events, num_phases, bounds, end_inclusive)
     shares = _share_total(aoi_frames(bounded, *phases)).select(
         "participant_id", "aoi_name",
@@ -201,21 +202,27 @@ def temporal_dynamics(events: DataFrame, num_phases: int = 3, bounds: str = "glo
     return shares.select("participant_id", "aoi_name", (F.col("place") + 1).alias("phase"), "proportion")
 
 
-def summary_scores(events: DataFrame, fps: float, num_phases: int = 3, wide: bool = True,
+def summary_scores(events: DataFrame, fps: float | None, num_phases: int = PHASES, wide: bool = True,
                    bounds: str = "global", end_inclusive: bool = True, seq: str | None = None,
-                   labels: Sequence[str] | None = None, materialize: bool = True) -> DataFrame:
+                   labels: Sequence[str] | None = None, materialize: bool = True, rates: DataFrame | None = None) -> DataFrame:
     """All metrics per participant and label; ``wide`` adds one probability column per target label.
 
     Events are read several times (bounds, sums, transitions), so they are written once to the shared folder
     first, unless ``materialize`` is off, as it may be for events that come straight from files. With
-    ``labels`` given (all that can occur) the pass that looks up the vocabulary is saved.
+    ``labels`` given (all that can occur) the pass that looks up the vocabulary is saved. ``rates`` (participant_id, fps)
+    takes the place of ``fps`` where recordings have rates of their own. Fewer than one phase mean three.
     """
+    num_phases = num_phases if num_phases >= 1 else PHASES
+    if rates is not None:
+        fps = F.col("_fps")
     check_fps(fps)
     if materialize:
         events = cut_lineage(events)
     bounded, phases = phase_frames(events, num_phases, bounds, end_inclusive)
-    scores = _share_total(aoi_frames(bounded, *phases)).select(
-        "participant_id", "aoi_name", *_summary_columns(fps), *_phase_shares(num_phases))
+    sums = _share_total(aoi_frames(bounded, *phases))
+    if rates is not None:
+        sums = with_rate(sums, rates)
+    scores = sums.select("participant_id", "aoi_name", *_summary_columns(fps), *_phase_shares(num_phases))
     if not wide:
         return scores
     names = sorted(labels) if labels is not None else aoi_names(events)

@@ -51,29 +51,48 @@ def label_runs(codes: DataFrame, chunk_frames: int = FRAMES_PER_CHUNK) -> DataFr
     return inner.unionByName(joined)
 
 
-def collapse_runs(codes: DataFrame, fps: float, end_mode: str = "inclusive", include_none: bool = False,
-                  none_label: str = "None", chunk_frames: int = FRAMES_PER_CHUNK) -> DataFrame:
+def with_rate(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """Adds each participant's own rate from ``rates`` (participant_id, fps, one row each) as ``_fps``."""
+    return rows.join(rates.select("participant_id", F.col("fps").cast("double").alias("_fps")), "participant_id", "left")
+
+
+def collapse_runs(codes: DataFrame, fps: float | None, end_mode: str = "inclusive", include_none: bool = False,
+                  none_label: str = "None", chunk_frames: int = FRAMES_PER_CHUNK, rates: DataFrame | None = None) -> DataFrame:
     """Fixation events from one label per frame.
 
     ``inclusive`` ends at the run's last frame and drops ``none_label`` unless ``include_none`` is set.
     ``half_open`` ends one frame later. ``reference`` is ``half_open`` with the last run of each
     participant moved one frame back, as the run files of the reference have it. The two open forms keep
-    every label and carry seconds rounded to two places.
+    every label and carry seconds rounded to two places. ``rates`` (participant_id, fps) takes the place of ``fps`` where
+    recordings have rates of their own.
     """
+    if rates is not None:
+        fps = F.col("_fps")
     check_fps(fps)
     if end_mode not in END_MODES:
         raise ValueError(f"end_mode must be one of {END_MODES}")
     runs = label_runs(codes, chunk_frames)
+    if rates is not None:
+        runs = with_rate(runs, rates)
+    own = ["_fps"] if rates is not None else []
     if end_mode == "inclusive":
         kept = runs if include_none else runs.filter(F.col("code") != none_label)
         return fixation_events(kept.select(
             "participant_id", F.col("code").alias("aoi_name"), F.col("n_frames").cast("int").alias("duration_frames"),
-            "start_frame", "end_frame"), fps)
+            "start_frame", "end_frame", *own), fps)
     shift = F.when(F.col("is_last"), 1).otherwise(0) if end_mode == "reference" else F.lit(0)
     return run_seconds(runs.select(
         "participant_id", F.col("code").alias("name"), F.col("n_frames").cast("int").alias("frame_duration"),
         (F.col("start_frame") - shift).cast("int").alias("start_frame"),
-        (F.col("end_frame") + 1 - shift).cast("int").alias("end_frame")), fps)
+        (F.col("end_frame") + 1 - shift).cast("int").alias("end_frame"), *own), fps).drop("_fps")
+
+
+def file_events(runs: DataFrame, fps: float | None, rates: DataFrame | None = None) -> DataFrame:
+    """Fixation events from runs in file form, as a reader of the file has them: ends stay as the file gives them."""
+    named = runs.select("participant_id", F.col("name").alias("aoi_name"), F.col("frame_duration").alias("duration_frames"), "start_frame", "end_frame")
+    if rates is None:
+        return fixation_events(named, fps)
+    return fixation_events(with_rate(named, rates), F.col("_fps"))
 
 
 def run_seconds(runs: DataFrame, fps: float) -> DataFrame:

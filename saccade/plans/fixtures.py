@@ -153,17 +153,6 @@ def mask_wearer(spark: SparkSession, sf_dir: str, participant: F.Column) -> F.Co
 WEARER = "CAST(CAST(participant_id AS BIGINT) % (SELECT max(vec_id) // 100 + 1 FROM embeddings) AS VARCHAR)"
 
 
-def worn_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The masks of one of the mask participants for every frame of every session."""
-    numbered = sessions(spark, sf_dir).select(
-        F.col("participant_id").alias("who"),
-        F.explode(F.sequence(F.col("start_frame"), F.col("end_frame") - 1)).alias("session_frame"))
-    keyed = numbered.select(
-        "*", mask_wearer(spark, sf_dir, F.col("who")).alias("participant_id"), (F.col("session_frame") % 25).alias("frame"))
-    return keyed.join(mask_rows(spark, sf_dir), ["participant_id", "frame"]).select(
-        F.col("who").alias("participant_id"), F.col("session_frame").alias("frame"), "label_ord", "label", "h", "w", "counts")
-
-
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes grouped by order: g, id, x0, y0, x1, y1, score."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]

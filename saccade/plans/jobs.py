@@ -12,7 +12,7 @@ from saccade.operators import prompts as P
 from saccade.operators import sync as S
 from saccade.operators.candidates import QualityOptions, mask_quality
 from saccade.operators.metrics import summary_scores
-from saccade.operators.runs import collapse_runs
+from saccade.operators.runs import collapse_runs, file_events
 from saccade.session import cut_lineage
 from saccade.sources import readers, writers
 
@@ -42,17 +42,32 @@ def run_fixation_metrics(spark: SparkSession, source: str, target: str, fps: flo
     return scores
 
 
-def map_gaze_runs(sessions: DataFrame, gaze: DataFrame, masks: DataFrame, width: int, height: int, fps: float,
-                  radius: int = 0, align: str = "frame", end_mode: str = "reference") -> DataFrame:
-    """Gaze and masks to runs in file form."""
-    return collapse_runs(G.map_gaze(sessions, gaze, masks, width, height, radius, align), fps, end_mode)
+def _rates(sessions: DataFrame, fps: float | None) -> DataFrame | None:
+    return sessions.select("participant_id", "fps") if fps is None else None
 
 
-def end_to_end(sessions: DataFrame, gaze: DataFrame, masks: DataFrame, width: int, height: int, fps: float,
-               radius: int = 0, num_phases: int = 3, labels: Sequence[str] | None = None) -> DataFrame:
-    """Gaze and masks to metrics of the whole cohort in one plan."""
-    events = collapse_runs(G.map_gaze(sessions, gaze, masks, width, height, radius), fps)
-    return summary_scores(events, fps, num_phases, labels=labels)
+def map_gaze_runs(sessions: DataFrame, gaze: DataFrame, masks: DataFrame | None, width: int | None = None, height: int | None = None,
+                  fps: float | None = None, radius: int = 0, align: str = "frame", end_mode: str = "reference", **sources) -> DataFrame:
+    """Gaze and masks to runs in file form. Sizes and rates not given are columns of ``sessions`` (width, height, fps).
+
+    ``sources``: a kept index of the masks and who looks at which, see :func:`~saccade.operators.mapping.map_gaze`."""
+    # Kept once: runs read the codes several times.
+    codes = cut_lineage(G.map_gaze(sessions, gaze, masks, width, height, radius, align, **sources))
+    return collapse_runs(codes, fps, end_mode, rates=_rates(sessions, fps))
+
+
+def end_to_end(sessions: DataFrame, gaze: DataFrame, masks: DataFrame | None, width: int | None = None, height: int | None = None,
+               fps: float | None = None, radius: int = 0, num_phases: int = 3, labels: Sequence[str] | None = None,
+               align: str = "frame", end_mode: str = "inclusive", **sources) -> DataFrame:
+    """Gaze and masks to metrics of the whole cohort in one plan.
+
+    With ``end_mode`` ``half_open`` or ``reference`` the metrics read the runs as a run file holds them, whose ends lie behind
+    the run; the chain of separate programs goes by position and ``reference``. Otherwise as in :func:`map_gaze_runs`."""
+    codes, rates = cut_lineage(G.map_gaze(sessions, gaze, masks, width, height, radius, align, **sources)), _rates(sessions, fps)
+    events = collapse_runs(codes, fps, end_mode, rates=rates)
+    if end_mode != "inclusive":
+        events = file_events(events, fps, rates)
+    return summary_scores(events, fps, num_phases, labels=labels, rates=rates)
 
 
 def sync_recordings(pairs: DataFrame, brightness: DataFrame, fps: float | Column, start_sec: float = S.SEARCH_FROM_SECONDS,
