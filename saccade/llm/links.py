@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from saccade.session import cut_lineage
+from saccade.llm.common import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,13 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds alternate the two star steps and grow with the logarithm of the longest path. Each is written to the shared
     folder; only a count and a sum of each round reach the driver."""
-    now = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     while True:
-        now = cut_lineage(_small_star(_large_star(now).distinct()).distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == before:
+        seen = Observation()
+        now = written(_small_star(_large_star(now).distinct()).distinct().observe(
+            seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "links")
+        if seen.get == before:
             break
-        before = seen
+        before = seen.get
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -6,8 +6,8 @@ left as soon as they exceed the budget. Tries of over ``TRIE_SIZE`` fingerprints
 by part. A task keeps the links it finds as a forest, so a dense group yields as many links as members, not pairs.
 
 Where a similarity of shingle sets decides (``similar_groups``), the budget is too wide for blocks of the fingerprint's own
-bits. Each set then goes to one trie per band of smallest hashes, the tries' links only name candidates, and all pairs of a
-candidate group are compared by their whole sets.
+bits. Each set then goes to one trie per band of smallest hashes, the tries' links only name candidates, and the members of a
+candidate group are compared by their whole sets until all that are apart have met.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import bounded, id_and_text, parallelism
+from saccade.llm.common import bounded, id_and_text, parallelism, written
 from saccade.llm.links import components
 from saccade.session import cut_lineage
 
@@ -247,11 +247,18 @@ def near_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(linked(distinct.select("fp"), budget)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = rooted.join(named, "root").select("fp", "root", "component_id")
+    names = _named(rooted).select("fp", "root", "component_id")
     return prints.join(names, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
+def _named(rooted: DataFrame) -> DataFrame:
+    """Adds component_id, the smallest ``least`` of all members of a root. Both sides are written first: a join of two plain
+    tables lets adaptive execution split a large group."""
+    rooted = written(rooted, "rooted")
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    return rooted.join(named, "root")
+
+
 def shingle_set(text: str, size: int = SET_SHINGLE) -> np.ndarray:
     """The distinct shingle hashes of a text, ascending."""
     return np.unique(shingle_hashes(text, size))
@@ -281,10 +288,11 @@ def set_prints(docs: DataFrame, size: int = SET_SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, node long, fp long, bands array<long>")
 
 
-def similar_pairs(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
+def similar_pairs(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY, linked: np.ndarray | None = None) -> np.ndarray:
     """The forest's roots of all ``sets`` whose common share is at least ``similarity`` (a fraction).
 
-    Sets already linked are not compared, so a dense group costs about one comparison a member."""
+    Sets already linked (those with equal numbers in ``linked``, and those linked here) are not compared, so a dense group costs
+    about one comparison a member."""
     over, under = similarity
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     of = np.repeat(np.arange(len(sets)), size)
@@ -292,6 +300,8 @@ def similar_pairs(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARI
     order = np.argsort(codes, kind="stable")
     holders, ends = of[order], np.concatenate([[0], np.cumsum(np.bincount(codes))])
     starts, forest = np.cumsum(size) - size, Forest(len(sets))
+    if linked is not None:
+        forest.add(np.arange(len(sets)), np.unique(linked, return_index=True)[1][np.unique(linked, return_inverse=True)[1]])
     for k in range(len(sets)):
         other = (forest.root != forest.root[k]) & (under * size >= over * size[k]) & (over * size <= under * size[k])
         if not other.any():
@@ -305,52 +315,97 @@ def similar_pairs(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARI
     return forest.root
 
 
-def similar_links(docs: DataFrame, members: DataFrame, size: int, similarity: tuple[int, int], group_size: int) -> DataFrame:
-    """Links (u, v) that join exactly the ``members`` (root, node, pick of doc_id and text_key) of a candidate group which
-    chains of similar sets reach. Of a large group each part meets each other part once."""
-    groups = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(
-        "root", F.ceil(F.col("n") / group_size).cast("int").alias("parts"))
+def _member_sets(docs: DataFrame, members: DataFrame, size: int, group_size: int) -> DataFrame:
+    """root, node, n (members of the candidate group) and ``body``, the shingle set, of every member that is not alone."""
+    groups = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     wanted = members.join(groups, "root").select(
-        "root", "node", "parts", F.col("pick.doc_id").alias("w_id"), F.col("pick.text_key").alias("w_key"))
+        "root", "node", "n", F.col("pick.doc_id").alias("w_id"), F.col("pick.text_key").alias("w_key"))
     rows = id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))).select(
-        "root", "node", "parts", "text")
+        "root", "node", "n", "text")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             body = pa.array([shingle_set(t, size).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "node", "parts")), body], ["root", "node", "parts", "body"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "node", "n")), body], ["root", "node", "n", "body"])
+
+    return texts.mapInArrow(as_sets, "root long, node long, n long, body binary")
+
 
-    held = texts.mapInArrow(as_sets, "root long, node long, parts int, body binary")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = held.withColumn("own", own).select(
-        "root", "node", "own", "body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "body").repartition(
-        parallelism(docs.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+def _cell_links(cells: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Links (u, v) among the sets of each cell (root, i, j); sets with equal ``linked`` are so already."""
+    columns = ("root", "i", "j", "node", "linked", "body")
+    dealt = cells.select(*columns).repartition(parallelism(cells.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
 
-    def solve(nodes: list[int], bodies: list[bytes]) -> pa.RecordBatch:
-        root = similar_pairs([np.frombuffer(b, np.uint64) for b in bodies], similarity)
+    def solve(nodes: list[int], linked: list[int], bodies: list[bytes]) -> pa.RecordBatch:
+        root = similar_pairs([np.frombuffer(b, np.uint64) for b in bodies], similarity, np.array(linked, np.int64))
         away = np.flatnonzero(root != np.arange(len(root)))
         known = np.array(nodes, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(known[away]), pa.array(known[root[away]])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, bodies = None, [], []
+        at, held = None, ([], [], [])
         for batch in batches:
-            for *key, node, body in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "body")), strict=True):
+            for *key, node, linked, body in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if key != at:
-                    if len(nodes) > 1:
-                        yield solve(nodes, bodies)
-                    at, nodes, bodies = key, [], []
-                if not nodes or node != nodes[-1]:  # a repeated row
-                    nodes.append(node)
-                    bodies.append(body)
-        if len(nodes) > 1:
-            yield solve(nodes, bodies)
+                    if len(held[0]) > 1:
+                        yield solve(*held)
+                    at, held = key, ([], [], [])
+                if not held[0] or node != held[0][-1]:  # else a repeated row
+                    for values, value in zip(held, (node, linked, body), strict=True):
+                        values.append(value)
+        if len(held[0]) > 1:
+            yield solve(*held)
 
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _parts(rows: DataFrame, key: list[str], group_size: int) -> DataFrame:
+    """Adds ``own``, the number of a part of about ``group_size`` rows of the key, and ``parts``, their number."""
+    parts = rows.groupBy(*key).agg(F.ceil(F.count("*") / group_size).cast("int").alias("parts"))
+    return rows.join(parts, key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+
+def similar_links(docs: DataFrame, members: DataFrame, size: int, similarity: tuple[int, int], group_size: int) -> DataFrame:
+    """Links (u, v) that join exactly the ``members`` (root, node, pick of doc_id and text_key) of a candidate group which
+    chains of similar sets reach.
+
+    The parts of a group are first compared within themselves; the representatives of what that links are then compared
+    with each other, part by part. What is still apart is compared member by member, but no two members that are already
+    linked: sets of a dense group are sent a few times each, whatever its size."""
+    sets = written(_member_sets(docs, members, size, group_size), "sets")
+    inside = written(_cell_links(_parts(sets, ["root"], group_size).select(
+        "root", F.col("own").alias("i"), F.col("own").alias("j"), "node", F.col("node").alias("linked"), "body"), similarity), "links")
+    large = sets.where(F.col("n") > group_size)
+    if large.isEmpty():
+        return inside
+    first = _parts(large.join(inside.select(F.col("u").alias("node")).distinct(), "node", "left_anti"), ["root"], group_size)
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    between = written(_cell_links(first.withColumn("other", others).select(
+        "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", F.col("node").alias("linked"), "body"), similarity), "links")
+    found = inside.unionByName(between)
+    known = components(found)
+    labelled = large.join(known.select("node", F.col("root").alias("linked")), "node", "left").withColumn("linked", F.coalesce("linked", "node"))
+    apart = labelled.groupBy("root").agg(F.min("linked").alias("a"), F.max("linked").alias("b")).where("a < b").select("root")
+    left = written(labelled.join(apart, "root"), "apart")
+    if left.isEmpty():
+        return found
+    # Parts are of one linked cluster, or of several small ones; two parts of one cluster need not meet.
+    clusters = left.groupBy("root", "linked").agg(F.count("*").alias("of_cluster"))
+    tagged = left.join(clusters, ["root", "linked"]).withColumn("cluster", F.when(F.col("of_cluster") >= group_size, F.col("linked")))
+    sized = tagged.groupBy("root", "cluster").agg(F.ceil(F.count("*") / group_size).cast("int").alias("parts"))
+    listed = sized.groupBy("root").agg(F.collect_list(F.struct("cluster", "parts")).alias("all"))
+    placed = tagged.join(sized.withColumnRenamed("root", "s_root").withColumnRenamed("cluster", "s_cluster"),
+                         (F.col("root") == F.col("s_root")) & F.col("cluster").eqNullSafe(F.col("s_cluster"))).join(listed, "root")
+    name = lambda cluster, part: F.struct(cluster.isNull().alias("mixed"), F.coalesce(cluster, F.lit(0)).alias("cluster"), part.alias("part"))
+    own = name(F.col("cluster"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    every = F.flatten(F.transform("all", lambda c: F.transform(F.sequence(F.lit(0), c["parts"] - 1), lambda p: name(c["cluster"], p))))
+    met = placed.withColumn("own", own).withColumn("other", F.explode(every)).where(
+        (F.col("own.mixed") & F.col("other.mixed")) | (F.col("own.mixed") != F.col("other.mixed")) | (F.col("own.cluster") != F.col("other.cluster")))
+    across = _cell_links(met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "linked", "body"), similarity)
+    return found.unionByName(written(across, "links"))
+
+
 def similar_groups(docs: DataFrame, size: int = SET_SHINGLE, similarity: tuple[int, int] = SIMILARITY,
                    group_size: int = GROUP_SIZE) -> DataFrame:
     """doc_id, text_key, root (a group's smallest set hash) and component_id: the smallest doc_id reachable over links of
@@ -368,8 +423,7 @@ def similar_groups(docs: DataFrame, size: int = SET_SHINGLE, similarity: tuple[i
     members = distinct.join(met, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "node", "pick")
     roots = components(similar_links(docs, members, size, similarity, group_size))
     rooted = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = rooted.join(named, "root").select("node", "root", "component_id")
+    names = _named(rooted).select("node", "root", "component_id")
     return prints.select("doc_id", "text_key", "node").join(names, "node").select("doc_id", "text_key", "root", "component_id")
 
 
