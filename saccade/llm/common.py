@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,15 +58,34 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
             row = upto
 
 
-def label_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_label: int,
-                 characters: int) -> list[tuple[str, int]]:
-    """About ``per_label`` rows of each label, and ``characters`` in all, of the rows to learn from, drawn by a hash of the id.
+#: Characters of a text that may be in a sample; longer ones are not drawn (but scored like any other).
+LONGEST_SAMPLED = 1_000_000
 
-    This is the bounded sample a classifier is fitted on: its expected size does not grow with the input. Of several labels
-    of one document the larger holds. Only ids and sizes are joined with the labels; the drawn ids, as few as the sample,
-    are then broadcast to fetch their texts."""
+Sample = list[tuple[str, int]]
+
+
+def fit_on_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_label: int, characters: int,
+                  fit: Callable[[Sample], object]) -> object:
+    """``fit`` of the sample of :func:`label_sample`, run in one task; only the model comes to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True)]
+        rows.sort(key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(text, y) for _, text, y in rows]))], pa.binary())], ["model"])
+
+    drawn = label_sample(docs, labels, label, learn, per_label, characters)
+    found = drawn.repartition(1).mapInArrow(run, "model binary").first()
+    return fit([]) if found is None else pickle.loads(found["model"])
+
+
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_label: int, characters: int) -> DataFrame:
+    """doc_id, text and label of about ``per_label`` rows of each label, and ``characters`` in all, of the rows to learn from, drawn
+    by a hash of the id.
+
+    This is the bounded sample a classifier is fitted on: its expected size does not grow with the input, and no text of it is
+    longer than ``LONGEST_SAMPLED``. Of several labels of one document the larger holds. Only ids and sizes are joined with the
+    labels; the drawn ids, as few as the sample, are then broadcast to fetch their texts."""
     known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    texts = id_and_text(docs).where(learn)
+    texts = id_and_text(docs).where(learn).where(F.length("text") <= LONGEST_SAMPLED)
     rows = texts.select("doc_id", F.length("text").alias("size")).join(known, "doc_id")
     counts = {r["label"]: (r["n"], r["size"]) for r in
               rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
@@ -75,9 +95,7 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
     for value, part in share.items():
         rate = F.when(F.col("label") == value, F.lit(part)).otherwise(rate)
     drawn = rows.where(draw < rate).select("doc_id", "label").distinct()
-    taken = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").toPandas()
-    taken = taken.sort_values(["doc_id", "text"], kind="stable")
-    return list(zip(taken["text"].tolist(), taken["label"].astype(int).tolist(), strict=True))
+    return texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")
 
 
 def joined(sample: list[tuple[str, int]], limit: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import bounded, fold, id_and_text, joined, label_sample, logistic, platt, utf8
+from saccade.llm.common import bounded, fit_on_sample, fold, id_and_text, joined, logistic, platt, utf8
 
 #: Labelled rows of either label, and their characters in all, that the model is fitted on at most (expected figures).
 SAMPLE, SAMPLE_CHARACTERS = 2500, 12_000_000
@@ -209,6 +209,6 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7)
 
 def document_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits on the rows whose fold of four is not 2 and scores all. An empty table gives no rows."""
-    sample = label_sample(docs, labels, "quality", fold(F.col("doc_id"), 4) != 2, SAMPLE, SAMPLE_CHARACTERS)
-    scored = score_quality(docs, fit(sample))
+    model = fit_on_sample(docs, labels, "quality", fold(F.col("doc_id"), 4) != 2, SAMPLE, SAMPLE_CHARACTERS, fit)
+    scored = score_quality(docs, model)
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")

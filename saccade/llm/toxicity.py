@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import bounded, fold, id_and_text, joined, label_sample, logistic, platt, utf8
+from saccade.llm.common import bounded, fit_on_sample, fold, id_and_text, joined, logistic, platt, utf8
 
 #: Labelled rows of either label, and their characters in all, that the model is fitted on at most (expected figures).
 SAMPLE, SAMPLE_CHARACTERS = 2500, 12_000_000
-LANDMARKS = 200
+LANDMARKS = 400
 #: Turns of training, and the best and the random windows of clean sentences that each turn adds.
 TURNS, HARD, RANDOM = 7, 6000, 3000
 #: Start places of subsequences in a window, and the gaps of a subsequence: next letter, and the one after.
@@ -98,7 +98,7 @@ def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Shared subsequences of every window of ``x`` with every one of ``y``, by the weight in both."""
     cx, wx = explicit(x)
     cy, wy = explicit(y)
-    out = np.zeros((len(x), len(y)))
+    out = np.zeros((len(x), len(y)), np.float32)
     for j in range(len(y)):
         table = np.zeros(_SIGNS**3)
         np.add.at(table, cy[j], wy[j])
@@ -160,10 +160,15 @@ def _train(k: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
     ridge = 1e-4 * np.eye(k.shape[1])
     ridge[-1, -1] = 1e-8
     for _ in range(min(rounds, 30)):
-        miss = np.maximum(0, 1 - y * (k @ w))
-        active = miss > 0
-        slope = ridge @ w - (k[active] * (weight * y * miss)[active, None]).sum(axis=0)
-        step = np.linalg.solve(ridge + (k[active] * weight[active, None]).T @ k[active] + 1e-9 * np.eye(len(w)), slope)
+        miss = np.maximum(0, 1 - y * (k @ w.astype(k.dtype)))
+        active = np.flatnonzero(miss > 0)
+        slope, bend = ridge @ w, ridge + 1e-9 * np.eye(len(w))
+        for a in range(0, len(active), 8192):
+            part = active[a:a + 8192]
+            rows = k[part].astype(np.float64)
+            slope -= rows.T @ (weight * y * miss)[part]
+            bend += (rows * weight[part, None]).T @ rows
+        step = np.linalg.solve(bend, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -212,9 +217,12 @@ def fit(sample: list[tuple[str, int]]) -> ToxicModel:
         into = axes[:, use] / np.sqrt(size[use])
         x = np.concatenate([windows, negatives])
         y = np.concatenate([np.ones(len(windows)), -np.ones(len(negatives))])
-        mapped = kernel(x, marks) @ into
-        scale = np.sqrt((mapped**2).sum(axis=1).mean())
-        w = _train(np.concatenate([mapped / scale, np.ones((len(x), 1))], axis=1), y)
+        mapped = np.ones((len(x), into.shape[1] + 1), np.float32)
+        for k in range(0, len(x), 8192):
+            mapped[k:k + 8192, :-1] = kernel(x[k:k + 8192], marks) @ into
+        scale = np.sqrt(np.einsum("ij,ij->", mapped[:, :-1], mapped[:, :-1], dtype=np.float64) / len(x))
+        mapped[:, :-1] /= scale
+        w = _train(mapped, y)
         beta = into @ (w[:-1] / scale)
         table = np.zeros(_SIGNS**3)
         codes, weights = explicit(marks)
@@ -246,7 +254,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Fits on the rows whose fold of five is not 0."""
-    return fit(label_sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, SAMPLE, SAMPLE_CHARACTERS))
+    return fit_on_sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, SAMPLE, SAMPLE_CHARACTERS, fit)
 
 
 def document_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
