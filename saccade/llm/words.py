@@ -7,23 +7,53 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-import regex
+import tiktoken
 
-# The public pattern that splits text before byte-level merges, with white space spelled out as the
-# Unicode White_Space characters, which is what both tokenizer libraries take it for.
-SPACE = r"\t\n\x0b\f\r \x85\xa0  -     　"
-_ALL = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+# Fixed value: the public pattern that splits text before byte-level merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # The same for code points below U+0250, in terms of the faster standard module: fractions and superscripts are numbers.
 _NUMBER = r"\d\xb2\xb3\xb9\xbc-\xbe"
 _BLANK = r"\t-\r \x85\xa0"
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W_{_NUMBER}]+| ?[{_NUMBER}]+| ?(?:[^\w{_BLANK}]|_)+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+_LIMIT = 0x250
 
 
-def split_words(text: str) -> list[str]:
-    """The matches of the splitting pattern; together they are the whole text."""
-    if text.isascii() or max(text) < "\u0250":
+class Kinds(dict):
+    """By code point, a character below U+0250 of the same kind to the pattern: letter, number, blank or other.
+
+    ``together`` tells whether a library splits a text of two characters into one word: libraries have Unicode tables of
+    their own, so what a character is to them is asked of them, once for each character that comes up."""
+
+    def __init__(self, together: Callable[[str], bool]):
+        super().__init__()
+        self.together = together
+
+    def __missing__(self, code: int) -> str:
+        mark = chr(code)
+        if code >= _LIMIT:
+            mark = next((like for known, like in (("a", "\xe9"), ("1", "\xb2"), ("!", "\xa4")) if self.together(known + mark)), "\xa0")
+        self[code] = mark
+        return mark
+
+
+def split_words(text: str, kinds: Kinds) -> list[str]:
+    """The matches of the splitting pattern as a library finds them; together they are the whole text."""
+    if text.isascii() or max(text) < chr(_LIMIT):
         return _LATIN.findall(text)
-    return _ALL.findall(text)
+    words, at = [], 0
+    for word in _LATIN.findall(text.translate(kinds)):
+        words.append(text[at:at + len(word)])
+        at += len(word)
+    return words
+
+
+@lru_cache(maxsize=1)
+def pattern_kinds() -> Kinds:
+    """What characters are to the library that splits by ``PATTERN``: its vocabulary here joins a, 1 or ! with what may follow in
+    one word."""
+    known = [bytes([b]) for b in range(256)] + [mark + bytes([lead]) for mark in (b"a", b"1", b"!") for lead in range(0xC2, 0xF5)]
+    library = tiktoken.Encoding("kinds", pat_str=PATTERN, mergeable_ranks={b: k for k, b in enumerate(known)}, special_tokens={})
+    return Kinds(lambda two: library.encode_ordinary(two)[0] >= 256)
 
 
 class _Codes(dict):
@@ -45,8 +75,9 @@ class WordCoder:
     Words stay known until they hold ``limit`` characters in all; then the memory starts afresh, which changes no result."""
 
     def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 3_000_000,
-                 split: Callable[[str], list[str]] = split_words):
-        self.encode_words, self.limit, self.split = encode_words, limit, split
+                 split: Callable[[str], list[str]] | None = None):
+        self.encode_words, self.limit = encode_words, limit
+        self.split = split or (lambda text: split_words(text, pattern_kinds()))
         self._forget()
 
     def _forget(self) -> None:
@@ -83,17 +114,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shows} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-def split_at(added: list[str]) -> Callable[[str], list[str]]:
+def split_at(added: list[str], kinds: Kinds) -> Callable[[str], list[str]]:
     """Splits like ``split_words`` between the strings of ``added``, which are words of their own (the longest that fits)."""
     if not added:
-        return split_words
+        return lambda text: split_words(text, kinds)
     found = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
 
     def split(text: str) -> list[str]:
         parts = found.split(text)
         if len(parts) == 1:
-            return split_words(text)
-        return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else split_words(part))]
+            return split_words(text, kinds)
+        return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else split_words(part, kinds))]
 
     return split
 
@@ -115,4 +146,5 @@ def library_coder(path: str) -> WordCoder:
         found = [[added[w]] if w in added else [t.id for t in merge(w.encode().decode("latin-1").translate(letters))] for w in words]
         return (np.fromiter((i for ids in found for i in ids), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
 
-    return WordCoder(encode_words, split=split_at(list(added)))
+    kinds = Kinds(lambda two: len(tokenizer.pre_tokenizer.pre_tokenize_str(two)) == 1)
+    return WordCoder(encode_words, split=split_at(list(added), kinds))

@@ -184,3 +184,36 @@ def test_empty_tables_of_the_new_operators(spark):
     assert tries.conversation_trie(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert permutations.nearest_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert divergence.source_divergence(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def test_words_of_every_code_point_equal_both_libraries():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from saccade.llm import merges, words
+    texts = []
+    for first in range(0, 0x110000, 64):
+        marks = [chr(c) for c in range(first, first + 64) if not 0xD800 <= c < 0xE000]
+        if marks:
+            texts.append("".join(f"x{c}'ll {c}1{c}! {c}{c}\n{c} \xe9{c}" for c in marks))
+    rng = random.Random(3)
+    texts += ["".join(chr(rng.choice([rng.randrange(0x20, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0x10000, 0x110000), 32, 10])) for _ in range(40)) for _ in range(2000)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, coder = Tokenizer.from_file(path), words.library_coder(path)
+    for k in range(0, len(texts), 500):
+        ids, upto = coder.encode(texts[k:k + 500])
+        for row, found in enumerate(library.encode_batch(texts[k:k + 500], add_special_tokens=False)):
+            assert ids[upto[row]:upto[row + 1]].tolist() == found.ids
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    assert words.PATTERN == public_tokenizers.PATTERN
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = words.WordCoder(merges.Merges.read(path).replay)
+    for k in range(0, len(texts), 500):
+        ids, upto = coder.encode(texts[k:k + 500])
+        for row, found in enumerate(library.encode_ordinary_batch(texts[k:k + 500])):
+            assert ids[upto[row]:upto[row + 1]].tolist() == found
