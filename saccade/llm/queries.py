@@ -91,7 +91,7 @@ def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     o AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS z,
                  string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS kept FROM e JOIN t USING (doc_id) GROUP BY doc_id)
     SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0) AS n_spans,
-           sha256(unhex(coalesce(kept || substr(h, 2 * z + 1), h))) AS kept_sha256
+           sha256(unhex(coalesce(kept || substr(h, 2 * z + 1), h))) AS kept_sha256, try(decode(unhex(coalesce(kept || substr(h, 2 * z + 1), h)))) AS "text"
     FROM t LEFT JOIN o USING (doc_id)""")
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_spans(read_table(spark, sf_dir, "documents")).drop("spans")

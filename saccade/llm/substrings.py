@@ -220,7 +220,8 @@ def _with_spans(rows: DataFrame, docs: DataFrame, length: int, text: Column) ->
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per document: n_bytes, n_removed, n_spans, kept_sha256 and ``spans``, the maximal byte ranges that repeat.
+    """Per document: n_bytes, n_removed, n_spans, kept_sha256, ``spans``, the maximal byte ranges that repeat, and ``text``, what is
+    left (null where a cut leaves a part of a character).
 
     A null text is empty, and texts shorter than ``length`` have no spans. Repeated rows repeat each other. An empty table
     gives no rows."""
@@ -233,13 +234,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for row, spans in enumerate(batch.column("_spans").to_pylist()):
                 text, cut = raw[ends[row]:ends[row + 1]], merged(spans, length)
                 kept = _without(text, cut)
-                figures.append((len(text), len(text) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in cut]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
+                figures.append((len(text), len(text) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(),
+                                [{"a": a, "b": b} for a, b in cut], _whole(kept)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(zip(*figures, strict=True), kinds, strict=True))],
-                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"])
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "text", "_spans").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>")
+        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>, text string")
+
+
+def _whole(kept: bytes) -> str | None:
+    try:
+        return kept.decode()
+    except UnicodeDecodeError:
+        return None
 
 
 def _without(text: bytes, cut: list[tuple[int, int]]) -> bytes:
