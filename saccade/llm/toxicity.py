@@ -28,6 +28,8 @@ TURNS, HARD, RANDOM = 7, 6000, 3000
 WINDOW = 7
 GAPS = [(1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1)]
 DECAY = 0.8
+#: Bytes of text that are scored at once.
+SLICE = 1 << 19
 #: Bytes that a window reaches.
 REACH = WINDOW + 4
 
@@ -42,13 +44,12 @@ _LETTER[128:] = 28 + np.arange(128) % 32
 _COUNTS = ((np.indices((_SIGNS,) * 3) == 0).sum(axis=0) <= 1).ravel().astype(float)
 
 
-def subsequences(data: np.ndarray) -> list[tuple[np.ndarray, float]]:
+def subsequences(data: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
     """For each kind of gap the code of the subsequence that starts at every byte, and the weight of that kind."""
-    letter = np.concatenate([_LETTER[data], np.zeros(8, np.int64)])
-    n, found = len(data), []
+    letter = np.concatenate([_LETTER[data].astype(np.int32), np.zeros(8, np.int32)])
+    n = len(data)
     for a, b in GAPS:
-        found.append((letter[:n] * _SIGNS * _SIGNS + letter[a:n + a] * _SIGNS + letter[a + b:n + a + b], DECAY ** (a + b - 2)))
-    return found
+        yield letter[:n] * (_SIGNS * _SIGNS) + letter[a:n + a] * _SIGNS + letter[a + b:n + a + b], DECAY ** (a + b - 2)
 
 
 def window_scores(data: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -116,14 +117,37 @@ class ToxicModel:
         self.table, self.slope, self.offset, self.empty = table, slope, offset, empty
 
     def best(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The best window of each document: the best of its best sentences."""
+        """The best window of each document: the best of its best sentences. A long document is scored slice by slice."""
+        if len(ends) == 2 and len(data) > 2 * SLICE:
+            return np.array([max(self._best_from(data[a:c], b - a) for a, b, c in _slices(data))])
         data, ends = spaced(data, ends)
         return np.maximum.reduceat(window_scores(data, ends, self.table), ends[:-1])
 
+    def _best_from(self, data: np.ndarray, before: int) -> float:
+        """The best window that starts before the given byte."""
+        _, part = spaced(data[:before], np.array([0, before]))
+        text, ends = spaced(data, np.array([0, len(data)]))
+        last = len(text) if before == len(data) else part[-1] - REACH
+        return float(window_scores(text, ends, self.table)[:last].max())
+
     def score(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return np.where(np.diff(ends) == 0, self.empty, logistic(self.slope * self.best(data, ends) + self.offset))
 
 
+def _slices(data: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(a, b, c): windows from a up to b, which see the text up to c. Slices begin and end at blanks where there are any."""
+    blank, a = np.flatnonzero(_LETTER[data] == 0), 0
+
+    def cut(at: int) -> int:
+        k = np.searchsorted(blank, at)
+        return int(blank[k]) if k < len(blank) and blank[k] < at + SLICE else min(at, len(data))
+
+    while a < len(data):
+        b = cut(a + SLICE) if a + SLICE < len(data) else len(data)
+        yield a, b, cut(b + 4 * REACH) if b + 4 * REACH < len(data) else len(data)
+        a = b
+
+
 def _windows(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     padded = np.concatenate([data, np.full(REACH, 32, np.uint8)])
     return np.lib.stride_tricks.sliding_window_view(padded, REACH)[at]
@@ -244,7 +268,7 @@ def _argmax(value: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
     """doc_id, score and predicted of every whole text; a null text is empty, which is scored as not toxic."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, limit=2 << 20):
+        for batch in bounded(batches, limit=SLICE):
             score = model.score(*utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                                              ["doc_id", "score", "predicted"])
@@ -268,6 +292,6 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> Da
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
             batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string())], ["text"])
-            yield pd.Series(np.concatenate([np.zeros(0), *(model.score(*utf8(b.column("text"))) for b in bounded([batch], limit=2 << 20))]))
+            yield pd.Series(np.concatenate([np.zeros(0), *(model.score(*utf8(b.column("text"))) for b in bounded([batch], limit=SLICE))]))
     score = F.pandas_udf(run, "double")
     return docs.where(score(F.coalesce(docs["text"].cast("string"), F.lit(""))) < threshold)

@@ -217,3 +217,17 @@ def test_words_of_every_code_point_equal_both_libraries():
         ids, upto = coder.encode(texts[k:k + 500])
         for row, found in enumerate(library.encode_ordinary_batch(texts[k:k + 500])):
             assert ids[upto[row]:upto[row + 1]].tolist() == found
+
+
+def test_long_texts_score_as_in_one_piece(monkeypatch):
+    from saccade.llm import toxicity
+    rng = np.random.default_rng(2)
+    model = toxicity.ToxicModel(rng.normal(size=60**3) * (rng.random(60**3) < 0.05), 1.0, 0.0, 0.25)
+    for seed in range(6):
+        draw = random.Random(seed)
+        text = "".join(draw.choice("abcdefg  \n.1!é") for _ in range(6000)).encode()
+        data, ends = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        monkeypatch.setattr(toxicity, "SLICE", 1 << 19)
+        whole = model.best(data, ends)
+        monkeypatch.setattr(toxicity, "SLICE", 300)
+        assert np.allclose(model.best(data, ends), whole)
