@@ -23,15 +23,14 @@ _BLOCK = 64
 def rle_encode(masks: DataFrame, values: str, is_set: Callable[[Column], Column] = lambda v: v) -> DataFrame:
     """Replaces a row-major array of pixel values by ``counts``; ``is_set`` tells which values are foreground."""
     n = F.col("h") * F.col("w")
-    turned = masks.filter(n > 0).withColumn("_bits", F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda j: is_set(F.get(values, (j % F.col("h")) * F.col("w") + F.floor(j / F.col("h")).cast("int")))))
+    places = F.slice(F.sequence(F.lit(0), n), F.lit(1), n)  # none of an image without pixels
+    turned = masks.withColumn("_bits", F.transform(
+        places, lambda j: is_set(F.get(values, (j % F.col("h")) * F.col("w") + F.floor(j / F.col("h")).cast("int")))))
     marked = turned.withColumn("_edges", F.concat(
-        F.filter(F.sequence(F.lit(0), n - 1),
-                 lambda j: (j == 0) | (F.get("_bits", j) != F.get("_bits", j - 1))), F.array(n)))
+        F.filter(places, lambda j: (j == 0) | (F.get("_bits", j) != F.get("_bits", j - 1))), F.array(n)))
     lengths = F.transform(F.slice("_edges", F.lit(2), F.size("_edges") - 1),
                           lambda edge, i: edge - F.get("_edges", i))
-    lead = F.when(F.get("_bits", F.lit(0)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    lead = F.when(F.coalesce(F.get("_bits", F.lit(0)), F.lit(False)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     return marked.withColumn("counts", F.concat(lead, lengths)).drop("_bits", "_edges", values)
 
 
@@ -215,13 +214,38 @@ def uncrop_masks(masks: DataFrame, crop: Sequence[str], full_h: Column, full_w:
     return rle_from_spans(full, moved, keys)
 
 
+def _both_sides(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces of two masks by column, as two sorted lists; both lists are disjoint inside a column, so they are short."""
+    a = column_segments(left, keys).withColumn("side", F.lit(1))
+    b = column_segments(right, keys).withColumn("side", F.lit(2))
+    return a.unionByName(b).groupBy(*keys, "x").agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("y0", "y1")))).alias(name) for side, name in ((1, "one"), (2, "two"))])
+
+
+def _minus(one: str, two: str) -> Column:
+    """What the pieces ``one`` of a column have beyond the pieces ``two``."""
+    def rest(piece: Column) -> Column:
+        cuts = F.filter(two, lambda q: (q["y1"] >= piece["y0"]) & (q["y0"] <= piece["y1"]))
+        opens = F.concat(F.array(piece["y0"]), F.transform(cuts, lambda q: q["y1"] + 1))
+        closes = F.concat(F.transform(cuts, lambda q: q["y0"] - 1), F.array(piece["y1"]))
+        return F.filter(F.zip_with(opens, closes, lambda y0, y1: F.struct(y0.alias("y0"), y1.alias("y1"))), lambda p: p["y0"] <= p["y1"])
+    return F.flatten(F.transform(one, rest))
+
+
+def mask_error_pieces(truth: DataFrame, predicted: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
+    """Column pieces set in only one of two masks: keys, x, y0, y1, kind (false_positive or false_negative)."""
+    keys = list(keys)
+    column = _both_sides(truth, predicted, keys)
+    def named(pieces: Column, kind: str) -> Column:
+        return F.transform(pieces, lambda p: F.struct(F.lit(kind).alias("kind"), p["y0"].alias("y0"), p["y1"].alias("y1")))
+
+    kinds = F.concat(named(_minus("two", "one"), "false_positive"), named(_minus("one", "two"), "false_negative"))
+    return column.select(*keys, "x", F.explode(kinds).alias("p")).select(*keys, "x", "p.y0", "p.y1", "p.kind")
+
+
 def mask_errors(truth: DataFrame, predicted: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
-    """Pixels set in only one of two masks: kind is false_positive or false_negative."""
-    spot = [*keys, "x", "y"]
-    real, said = rle_decode(truth, keys), rle_decode(predicted, keys)
-    extra = said.join(real, spot, "left_anti").withColumn("kind", F.lit("false_positive"))
-    lost = real.join(said, spot, "left_anti").withColumn("kind", F.lit("false_negative"))
-    return extra.unionByName(lost)
+    """Pixels set in only one of two masks: kind is false_positive or false_negative. Only these become pixel rows."""
+    return mask_error_pieces(truth, predicted, keys).select(*keys, "x", F.explode_outer(F.sequence("y0", "y1")).alias("y"), "kind")
 
 
 def mask_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:

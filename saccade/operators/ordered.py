@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from saccade.session import cut_lineage
+
 FRAMES_PER_CHUNK = 16384
 
 
@@ -42,6 +44,20 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Colu
     )
 
 
+def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Adds the 1-based position of each row of the whole table along ``order``.
+
+    Rows are dealt out by ranges of the order and numbered in their range; only the ranges' sizes, one row each, meet. The
+    ranges are kept as a table first, as another reading could cut them elsewhere."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    held = cut_lineage(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_place", place))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return held.join(F.broadcast(sizes), "_range").withColumn(out, F.col("_before") + F.col("_place") + 1).drop("_range", "_place", "_before")
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
                 value: str, out: str) -> DataFrame:
     """Adds the sum of ``value`` over this row and all earlier rows of the key."""

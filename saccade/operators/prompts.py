@@ -7,14 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from saccade.operators.ordered import frame_chunk, ranked, running_sum
+from saccade.operators.batches import whole_groups
+from saccade.operators.ordered import FRAMES_PER_CHUNK, frame_chunk, numbered, ranked
 from saccade.schemas import PROMPT_DOCUMENT
+from saccade.session import cut_lineage
 
 # Clicks of one document; a participant with more gets several documents (column part).
 CLICKS_PER_DOCUMENT = 10000
 _SEQ_CHUNK = 65536
+# Shares that the frames of a participant are dealt to when objects are filled in.
+FILL_SHARES = 16
 
 
 def prompt_json(prompts: DataFrame, labels: Sequence[str], clicks_per_document: int = CLICKS_PER_DOCUMENT) -> DataFrame:
@@ -132,33 +138,73 @@ def tracked_frames(prompts: DataFrame, sizes: DataFrame, start: Column | None =
     return visits.select("participant_id", F.posexplode(path).alias("step", "frame"))
 
 
-def nearest_prompts(frames: DataFrame, prompts: DataFrame, k: int) -> DataFrame:
+def _carried_marks(marks: DataFrame, spots: DataFrame, k: int) -> DataFrame:
+    """The k prompted frames next before and next after each chunk (participant_id, chunk) of ``spots``, one row each.
+
+    A chunk that has prompts tells its first and last k; only these short lists go along the chunks of a participant."""
+    key = ["participant_id", "chunk"]
+    ends = marks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("frame", "seq"))).alias("all")).select(
+        *key, F.slice("all", 1, k).alias("first"), F.slice("all", F.greatest(F.size("all") - k + 1, F.lit(1)), F.lit(k)).alias("last"))
+    along = Window.partitionBy("participant_id").orderBy("chunk")
+    behind = F.flatten(F.collect_list("last").over(along.rowsBetween(1 - k, 0)))
+    ahead = F.flatten(F.collect_list("first").over(along.rowsBetween(0, k - 1)))
+    known = ends.select(*key, F.slice(behind, F.greatest(F.size(behind) - k + 1, F.lit(1)), F.lit(k)).alias("behind"), F.slice(ahead, 1, k).alias("ahead"))
+    every = spots.join(known, key, "full")
+    none = F.array().cast("array<struct<frame:int,seq:bigint>>")
+    before = F.last("behind", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("ahead", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    lists = every.select(*key, F.concat(F.coalesce(before, none), F.coalesce(after, none)).alias("list"))
+    return lists.select(*key, F.explode("list").alias("m")).select(*key, "m.frame", "m.seq")
+
+
+def _nearest_of(frames: np.ndarray, marks: np.ndarray, seq: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``frames``, prompted frame): up to k for each; ``marks`` are sorted and different."""
+    before = np.searchsorted(marks, frames)
+    near = before[:, None] + np.arange(-k, k)
+    row, slot = np.nonzero((near >= 0) & (near < len(marks)))
+    near = near[row, slot]
+    order = np.lexsort((seq[near], np.abs(marks[near] - frames[row]), ~np.isin(slot, (k - 1, k)), row))
+    row, near = row[order], near[order]
+    first = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
+    place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) if len(row) else row
+    return row[place < k], marks[near[place < k]]
+
+
+def nearest_prompts(frames: DataFrame, prompts: DataFrame, k: int, chunk_frames: int = FRAMES_PER_CHUNK) -> DataFrame:
     """Up to ``k`` prompted frames for each frame: the closest before, the closest at or after, then the nearest others.
 
-    Prompted frames are ranked per participant and each frame counts those before it; only the 2k neighbours
-    in rank are looked up. Equal distances go to the prompt given first.
+    Frames and prompted frames meet in chunks of frames, to which the k prompted frames next before and after are carried; a
+    chunk holds at most ``chunk_frames`` frames, so one participant may have any number of them. Equal distances go to the
+    prompt given first; ``seq`` is a whole number.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
-    marks = prompts.groupBy("participant_id", "frame").agg(F.min("seq").alias("seq"))
-    chunk = frame_chunk(F.col("frame"))
-    ranks = ranked(marks, ["participant_id"], ["frame"], chunk, "rank").select(
-        "participant_id", "rank", F.col("frame").alias("prompt_frame"), "seq")
-    line = (
-        frames.select("participant_id", "frame").distinct().withColumn("mark", F.lit(0))
-        .unionByName(marks.select("participant_id", "frame").withColumn("mark", F.lit(1)))
-    )
-    counted = running_sum(line, ["participant_id"], ["frame", "mark"], chunk, "mark", "before").filter("mark = 0")
-    around = counted.select("participant_id", "frame", "before", F.explode(
-        F.sequence(F.greatest(F.col("before") - (k - 1), F.lit(1)), F.col("before") + k)).alias("rank"))
-    found = around.join(ranks, ["participant_id", "rank"])
-    closest = F.when(F.col("rank").isin(F.col("before"), F.col("before") + 1), 0).otherwise(1)
-    choice = Window.partitionBy("participant_id", "frame").orderBy(
-        "closest", F.abs(F.col("prompt_frame") - F.col("frame")), "seq")
-    return (
-        found.withColumn("closest", closest).withColumn("choice", F.row_number().over(choice))
-        .filter(F.col("choice") <= k).select("participant_id", "frame", "prompt_frame")
-    )
+    chunk = frame_chunk(F.col("frame"), chunk_frames).alias("chunk")
+    key = ["participant_id", "chunk"]
+    marks = cut_lineage(prompts.groupBy("participant_id", F.col("frame").cast("int").alias("frame")).agg(F.min("seq").cast("long").alias("seq")).select(
+        "participant_id", chunk, "frame", "seq"))
+    wanted = cut_lineage(frames.select("participant_id", F.col("frame").cast("int").alias("frame")).distinct().select("participant_id", chunk, "frame"))
+    carried = _carried_marks(marks, wanted.select(*key).distinct(), k)
+    rows = wanted.withColumn("seq", F.lit(None).cast("long")).unionByName(marks).unionByName(carried.select(*key, "frame", "seq"))
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, "frame")
+
+    def work(table: pa.Table, groups: np.ndarray) -> pa.Table:
+        frame, is_mark = table.column("frame").to_numpy(), ~table.column("seq").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        seq = table.column("seq").fill_null(0).to_numpy()
+        of, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ends = np.append(np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])), len(groups))
+        for a, b in zip(ends[:-1], ends[1:]):
+            asked, told = a + np.flatnonzero(~is_mark[a:b]), a + np.flatnonzero(is_mark[a:b])
+            if len(asked) and len(told):
+                row, near = _nearest_of(frame[asked].astype(np.int64), frame[told].astype(np.int64), seq[told], k)
+                of.append(asked[row])
+                found.append(near)
+        of = pa.array(np.concatenate(of))
+        return pa.table({"participant_id": table.column("participant_id").take(of), "frame": table.column("frame").take(of),
+                         "prompt_frame": pa.array(np.concatenate(found).astype(np.int32))})
+
+    kind = rows.schema["participant_id"].dataType.simpleString()
+    return dealt.mapInArrow(whole_groups(key, work), f"participant_id {kind}, frame int, prompt_frame int")
 
 
 def context_frames(frames: DataFrame, slots: int, stride: int = 1, reverse: bool = False) -> DataFrame:
@@ -193,7 +239,11 @@ def fill_missing_objects(frames: DataFrame, objects: DataFrame, layers: Sequence
         stacked = stacked.unionByName(layer.withColumn("layer", F.lit(place)))
     key = ["participant_id", "frame", "object_id"]
     chosen = stacked.groupBy(*key).agg(F.min_by("score", "layer").alias("score"))
-    grid = frames.join(objects, "participant_id")
+    # A participant's few objects go to each share of its frames, so that many frames of one participant are spread.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(FILL_SHARES - 1)))
+    listed = objects.select("participant_id", "object_id", salts.alias("_share"))
+    spread = frames.withColumn("_share", F.pmod(F.xxhash64("frame"), F.lit(FILL_SHARES)).cast("int"))
+    grid = spread.join(listed, ["participant_id", "_share"]).drop("_share")
     return grid.join(chosen, key, "left").select(*key, F.coalesce("score", F.lit(default)).alias("score"))
 
 
@@ -201,5 +251,5 @@ def batch_ids(df: DataFrame, size: int, order: Sequence[str], chunk: Column, key
     """Numbers batches of ``size`` rows along ``order``."""
     if size < 1:
         raise ValueError("size must be at least 1")
-    numbered = ranked(df, list(keys), list(order), chunk, "_rank")
-    return numbered.withColumn("batch", F.floor((F.col("_rank") - 1) / F.lit(size))).drop("_rank")
+    placed = ranked(df, list(keys), list(order), chunk, "_rank") if keys else numbered(df, list(order), "_rank")
+    return placed.withColumn("batch", F.floor((F.col("_rank") - 1) / F.lit(size))).drop("_rank")

@@ -12,10 +12,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from saccade.functions.geometry import box_iou
+from saccade.operators.batches import whole_groups
 from saccade.session import cut_lineage
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -23,9 +23,6 @@ OPEN, CLEAR, DROPPED = 0, 1, 2
 
 #: Boxes of a tile: a group of up to as many is one tile, and of a fuller tile the best ones are settled first.
 TILE = 4096
-#: Rows of several tiles that are worked on together.
-TOGETHER = 50_000
-
 CELL = ("level_w", "level_h", "cell_x", "cell_y")
 WHOLE = -(2 ** 31)
 
@@ -117,40 +114,6 @@ def settle(tiles: np.ndarray, boxes: np.ndarray, border: np.ndarray, threshold:
     return verdict
 
 
-def _whole_tiles(keys: list[str], work: Callable[[pa.Table, np.ndarray], pa.Table | None]) -> Callable:
-    """A function over sorted batches that gives ``work`` some whole tiles at a time, with the number of each row's tile."""
-    def tiles_of(table: pa.Table) -> np.ndarray:
-        new = np.zeros(table.num_rows, bool)
-        for key in keys:
-            column = table.column(key).combine_chunks()
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-            a, b = column.slice(1), column.slice(0, len(column) - 1)
-            differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
-            new[1:] |= differ.to_numpy(zero_copy_only=False)
-        return np.cumsum(new)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < TOGETHER:
-                continue
-            table = pa.Table.from_batches(held)
-            tiles = tiles_of(table)
-            upto = int(np.searchsorted(tiles, tiles[-1]))
-            if upto:
-                done = work(table.slice(0, upto), tiles[:upto])
-                yield from done.to_batches()
-            held, size = table.slice(upto).to_batches(), table.num_rows - upto
-        if size:
-            table = pa.Table.from_batches(held)
-            yield from work(table, tiles_of(table)).to_batches()
-
-    return run
-
-
 def _numbers(table: pa.Table) -> np.ndarray:
     return np.stack([table.column(side).to_numpy() for side in BOX])
 
@@ -183,7 +146,7 @@ def nms(boxes: DataFrame, group: Sequence[str], threshold: float, score: str = "
         ranked = held.withColumn("_rank", rank)
     else:
         ranked = held.join(large, group, "left_anti").withColumn("_rank", rank)
-    kept = ranked.repartition(*group).sortWithinPartitions(*group, "_rank").drop("_rank").mapInArrow(_whole_tiles(group, keep), held.schema)
+    kept = ranked.repartition(*group).sortWithinPartitions(*group, "_rank").drop("_rank").mapInArrow(whole_groups(group, keep), held.schema)
     if large.isEmpty():
         return kept
     crowd = held.join(large, group, "left_semi")
@@ -210,7 +173,7 @@ def _in_rounds(boxes: DataFrame, group: list[str], box_id: str, threshold: float
         best = spread.withColumn("_place", F.row_number().over(Window.partitionBy(*place).orderBy("rank"))).filter(F.col("_place") <= tile)
         kinds = ", ".join(f"`{c}` {spread.schema[c].dataType.simpleString()}" for c in key)
         judged = best.repartition(*place).sortWithinPartitions(*place, "rank").drop("rank").mapInArrow(
-            _whole_tiles(place, judge), f"{kinds}, n_cells int, verdict int")
+            whole_groups(place, judge), f"{kinds}, n_cells int, verdict int")
         settled = cut_lineage(judged.groupBy(*key).agg(
             F.max("verdict").alias("worst"), F.sum(F.when(F.col("verdict") == CLEAR, 1).otherwise(0)).alias("clear"), F.first("n_cells").alias("n_cells")
         ).filter((F.col("worst") == DROPPED) | (F.col("clear") == F.col("n_cells"))))
@@ -274,7 +237,7 @@ def _found(boxes: DataFrame, group: list[str], threshold: float, tile: int, sche
         none = [np.zeros(0, np.int64)]
         return report(table, np.concatenate(none + first), np.concatenate(none + second), np.concatenate([np.zeros(0)] + value))
 
-    return dealt.repartition(*where).sortWithinPartitions(*where, *BOX).mapInArrow(_whole_tiles(where, work), schema)
+    return dealt.repartition(*where).sortWithinPartitions(*where, *BOX).mapInArrow(whole_groups(where, work), schema)
 
 
 def _kinds(df: DataFrame, columns: Sequence[str], prefix: str = "") -> str:

@@ -128,6 +128,12 @@ def a21b(spark, sf_dir):
     return P.tracked_frames(prompts(spark, sf_dir), sizes(spark, sf_dir), start=F.col("num_frames") - 1, limit=9, reverse=True)
 
 
+@query("a21c_tracked_to_the_end", f"""WITH {SIZES}, v AS (SELECT participant_id, unnest(range(first_frame, num_frames)) AS frame, first_frame FROM sizes)
+SELECT participant_id, frame - first_frame AS step, frame FROM v""")
+def a21c(spark, sf_dir):
+    return P.tracked_frames(prompts(spark, sf_dir), sizes(spark, sf_dir))
+
+
 def nearest_sql(k):
     return f"""WITH {V1}, {V8[1:]},
 fr AS (SELECT participant_id, frame FROM v1),

@@ -97,6 +97,59 @@ def s06(spark, sf_dir):
     return binary.archive_masks(binary.mask_archives(mask_rows(spark, sf_dir)))
 
 
+@query("s06b_archive_files", f"""WITH {FG} SELECT {KEY}, 'obj' || label_ord AS label, 8 AS h, 8 AS w, counts FROM rle""")
+def s06b(spark, sf_dir):
+    """Archives written as files and scanned."""
+    folder = scratch_path(spark, "archives")
+    binary.write_mask_archives(mask_rows(spark, sf_dir), folder)
+    return binary.read_mask_archives(spark, folder)
+
+
+@query("s06c_some_archive_files", f"""WITH {FG} SELECT {KEY}, 'obj' || label_ord AS label, 8 AS h, 8 AS w, counts FROM rle
+WHERE participant_id IN ('0', '3') AND frame BETWEEN 5 AND 11""")
+def s06c(spark, sf_dir):
+    folder = scratch_path(spark, "archives")
+    binary.write_mask_archives(mask_rows(spark, sf_dir), folder)
+    return binary.read_mask_archives(spark, folder, ["0", "3"], (5, 11))
+
+
+def image_bytes(spark, sf_dir):
+    """vec_id and 21 pixels of three channels."""
+    def byte(place):
+        value = (F.abs(F.element_at("embedding", place).cast("double")) * 400).cast("int")
+        return F.lpad(F.hex(value), 2, "0")
+    order = F.sequence(F.lit(0), F.lit(62))
+    data = F.unhex(F.array_join(F.transform(order, lambda i: byte(F.floor(i / 3).cast("int") * 3 + 3 - i % 3)), ""))
+    return table(spark, sf_dir, "embeddings").select("vec_id", data.alias("data"))
+
+
+def image_files(spark, sf_dir):
+    """The images as files <participant>/<frame>.bmp: a header for one row of 21 pixels, the pixels, and one byte of fill."""
+    # The two headers of an uncompressed bitmap with 24 bits a pixel.
+    head = "424d760000000000000036000000" "28000000150000000100000001001800000000004000000000000000000000000000000000000000"
+    folder = scratch_path(spark, "images")
+    vec = F.col("vec_id")
+    files = image_bytes(spark, sf_dir).select(
+        F.format_string("p%d/%d.bmp", F.floor(vec / 100), vec % 100).alias("name"), F.concat(F.unhex(F.lit(head)), "data", F.unhex(F.lit("00"))).alias("content"))
+    binary.write_files(files, folder)
+    return folder
+
+
+@query("s07b_frame_folders", """SELECT 'p' || (vec_id // 100) AS participant_id, CAST(vec_id % 100 AS VARCHAR) AS stem, vec_id % 100 AS frame_number,
+  row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id % 100) - 1 AS position FROM embeddings""")
+def s07b(spark, sf_dir):
+    found = readers.list_frame_files(spark, image_files(spark, sf_dir))
+    owned = found.select(F.regexp_extract("path", "([^/]+)/[^/]*$", 1).alias("participant_id"), "path")
+    return readers.frame_catalogue(owned, ["participant_id"]).drop("path")
+
+
+@query("s08b_image_files", f"WITH {GRAYS} SELECT vec_id, brightness FROM gray")
+def s08b(spark, sf_dir):
+    found = binary.read_frame_brightness(spark, image_files(spark, sf_dir))
+    place = [F.regexp_extract("origin", r"p([0-9]+)/([0-9]+)\.bmp$", k).cast("long") for k in (1, 2)]
+    return found.select((place[0] * 100 + place[1]).alias("vec_id"), "brightness")
+
+
 NAMES = """
 named AS (
   SELECT CAST(user_id AS VARCHAR) AS participant_id, CASE WHEN event_id % 10 = 0 THEN 'f' ELSE '' END || event_id AS stem,
@@ -128,13 +181,7 @@ def t03(spark, sf_dir):
 
 @query("s08_image_brightness", f"WITH {GRAYS} SELECT vec_id, brightness FROM gray")
 def s08(spark, sf_dir):
-    def byte(place):
-        value = (F.abs(F.element_at("embedding", place).cast("double")) * 400).cast("int")
-        return F.lpad(F.hex(value), 2, "0")
-    order = F.sequence(F.lit(0), F.lit(62))
-    data = F.unhex(F.array_join(F.transform(order, lambda i: byte(F.floor(i / 3).cast("int") * 3 + 3 - i % 3)), ""))
-    images = table(spark, sf_dir, "embeddings").select("vec_id", data.alias("data"), F.lit(3).alias("channels"))
-    return images.select("vec_id", binary.frame_brightness(F.col("data"), F.col("channels")).alias("brightness"))
+    return image_bytes(spark, sf_dir).select("vec_id", binary.frame_brightness(F.col("data"), F.lit(3)).alias("brightness"))
 
 
 @query("s10_code_sink", f"WITH {V1} SELECT participant_id, frame + 1 AS framenum, code FROM v1")

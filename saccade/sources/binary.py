@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 ARCHIVE_MASKS = "participant_id string, frame int, label_ord int, label string, h int, w int, counts array<int>"
@@ -37,13 +40,52 @@ def archive_masks(archives: DataFrame) -> DataFrame:
     return archives.select("participant_id", "frame", "content").mapInPandas(_decode, ARCHIVE_MASKS)
 
 
-def read_mask_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Archives stored as <participant>/.../<name>_<frame>.npz."""
+def read_mask_archives(spark: SparkSession, path: str, participants: Sequence[str] | None = None,
+                       frames: tuple[int, int] | None = None) -> DataFrame:
+    """Archives stored as <participant>/<name>_<frame>.npz, read in executors in groups of files of about a split's size.
+
+    Folders of other than the given ``participants`` are not listed; archives of frames outside ``frames`` (first, last) are
+    not decoded."""
+    folders = path if participants is None else [f"{path.rstrip('/')}/{p}" for p in participants]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option(
-        "recursiveFileLookup", True).load(path)
+        "recursiveFileLookup", True).load(folders)
     name = F.regexp_extract("path", r"([^/]+)/[^/]*$", 1)
     frame = F.regexp_extract("path", r"_([0-9]+)\.[^/]*$", 1).cast("int")
-    return archive_masks(files.select(name.alias("participant_id"), frame.alias("frame"), "content"))
+    found = files.select(name.alias("participant_id"), frame.alias("frame"), "content")
+    return archive_masks(found if frames is None else found.filter(F.col("frame").between(*frames)))
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes each row's ``content`` under ``folder`` as its ``name`` (which may have folders); returns the names written.
+
+    ``folder`` must be seen by all executors. A file appears under its name when it is whole, so a task that is run again
+    leaves one of each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        made = set()
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                target = f"{base}/{name}"
+                parent = target.rsplit("/", 1)[0]
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                part = f"{parent}/.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, target)
+            yield batch.select(["name"])
+
+    names = files.select("name", "content").mapInArrow(run, "name string")
+    path = f"{folder.rstrip('/')}-names"
+    names.write.parquet(path)
+    return files.sparkSession.read.parquet(path)
+
+
+def write_mask_archives(masks: DataFrame, folder: str) -> DataFrame:
+    """One archive per frame as <participant>/mask_<frame>.npz; returns the names written."""
+    packed = mask_archives(masks)
+    return write_files(packed.select(F.format_string("%s/mask_%d.npz", "participant_id", "frame").alias("name"), "content"), folder)
 
 
 def _pack(key, group: pd.DataFrame) -> pd.DataFrame:

@@ -22,6 +22,15 @@ def file_stem(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"\.[^.]*$", "")
 
 
+def file_order() -> Column:
+    """A value that orders the rows of a scan as they stand: by file, by the piece of the file, and by the place in the piece.
+
+    Pieces of one file may be read in any order and by any task; rows of one piece are numbered in turn by the task that
+    reads it."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("place"))
+
+
 def _by_header(spark: SparkSession, path: str, needed: list[str]) -> DataFrame:
     """All columns of files with a header, as text, under their own names in whatever order they stand.
 
@@ -59,12 +68,12 @@ def read_gaze(spark: SparkSession, path: str, columns: dict[str, str] | None = N
     """Gaze samples from files with a header.
 
     x and y are the fourth and fifth column unless ``columns`` maps norm_x, norm_y or world_index to names.
-    ``sample_seq`` names a column with the sample order; without it rows are numbered in file order, which
-    holds for files read as one piece (set ``spark.sql.files.maxPartitionBytes`` above the file size).
+    ``sample_seq`` names a column with the sample order; without it rows are in file order, also where a file is read in
+    several pieces.
     """
     raw = spark.read.option("header", True).csv(path)
     names = {"world_index": "world_index", "norm_x": raw.columns[3], "norm_y": raw.columns[4], **(columns or {})}
-    seq = F.col(f"`{sample_seq}`").cast("long") if sample_seq else F.monotonically_increasing_id()
+    seq = F.col(f"`{sample_seq}`").cast("long") if sample_seq else file_order()
     who = participant_id if participant_id is not None else file_stem(F.col("_metadata.file_name"))
 
     def number(name: str, kind: str) -> Column:
@@ -91,7 +100,7 @@ def read_frame_ranges(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("frame ranges need a column Participant_ID or ID")
     return raw.select(
         F.col(name).cast("long").alias("id"), F.col("Start_Frame").cast("int").alias("start_frame"),
-        F.col("End_Frame").cast("int").alias("end_frame"), F.monotonically_increasing_id().alias("seq"))
+        F.col("End_Frame").cast("int").alias("end_frame"), file_order().alias("seq"))
 
 
 def read_prompts(spark: SparkSession, path: str, suffix: str = "_coordinates") -> DataFrame:
