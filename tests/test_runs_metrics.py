@@ -110,9 +110,9 @@ def test_phases_match_frame_by_frame(spark, phases):
     assert sum(r.proportion for r in got) == pytest.approx(1.0)
 
 
-def test_phases_need_at_least_one(spark):
-    with pytest.raises(ValueError):
-        M.temporal_dynamics(events(spark, ROWS), 0)
+def test_fewer_than_one_phase_mean_three(spark):
+    found, three = (sorted(M.temporal_dynamics(events(spark, ROWS), n).collect()) for n in (0, 3))
+    assert found == three and {r.phase for r in found} == {1, 2, 3}
 
 
 def test_latency_grid_and_bounds(spark):
