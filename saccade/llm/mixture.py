@@ -20,8 +20,11 @@ from saccade.llm.common import bounded, fold, id_and_text, utf8
 
 #: Trigram classes: trigrams of folded bytes are hashed into so many, which bounds the model.
 CLASSES = 1 << 15
-#: Bytes of a span.
+#: Bytes of a span. A text of more than ``SPANS`` spans is cut into so many longer ones.
 SPAN = 32
+SPANS = 1 << 16
+#: Bytes whose trigrams are looked up at once.
+PIECE = 1 << 20
 ROUNDS = 20
 #: Languages of a model at most; more are an error.
 LANGUAGES = 256
@@ -34,12 +37,40 @@ _FOLD[123:128] = 32
 _LETTER = regex.compile(r"\p{L}")
 
 
-def trigrams(data: np.ndarray) -> np.ndarray:
-    """The class of the trigram that ends at each byte; ASCII letters are folded and other ASCII counts as space."""
+def trigrams(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The class of the trigram that ends at each byte; ASCII letters are folded and other ASCII counts as space, as does what
+    lies before a document."""
     byte = _FOLD[data]
-    padded = np.concatenate([np.full(2, 32, np.uint32), byte])
-    code = (padded[:-2] << np.uint32(16)) | (padded[1:-1] << np.uint32(8)) | padded[2:]
-    return ((code * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
+    starts = ends[:-1][np.diff(ends) > 0]
+    before, code = np.full((2, len(byte)), 32, np.uint32)
+    before[1:] = byte[:-1]
+    before[starts] = 32
+    code[1:] = before[:-1]
+    code[starts] = 32
+    code = (code << np.uint32(16)) | (before << np.uint32(8)) | byte
+    return ((code * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int32)
+
+
+def span_scores(data: np.ndarray, ends: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log-likelihood of every span in every language, and each document's first span; no document may be empty.
+
+    Trigrams are looked up by pieces of about ``PIECE`` bytes, so that memory goes by spans and languages, not by bytes."""
+    size = np.diff(ends)
+    width = np.maximum(SPAN, -(-size // SPANS))
+    spans = -(-size // width)
+    first = np.cumsum(spans) - spans
+    begin = np.repeat(ends[:-1], spans) + (np.arange(spans.sum()) - np.repeat(first, spans)) * np.repeat(width, spans)
+    score = np.empty((len(begin), model.shape[1]))
+    edges = np.unique(np.searchsorted(begin, np.arange(0, len(data) + PIECE, PIECE)))
+    edges = np.unique(np.append(edges, [0, len(begin)]))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        at, upto = begin[a], begin[b] if b < len(begin) else len(data)
+        early = max(0, at - 2)
+        inner = ends[(ends > early) & (ends < upto)]
+        codes = trigrams(data[early:upto], np.concatenate([[0], inner - early, [upto - early]]))[at - early:]
+        for k in range(model.shape[1]):
+            score[a:b, k] = np.add.reduceat(model[codes, k], begin[a:b] - at, dtype=np.float64)
+    return score, first
 
 
 def count_trigrams(docs: DataFrame, learn) -> DataFrame:
@@ -51,7 +82,7 @@ def count_trigrams(docs: DataFrame, learn) -> DataFrame:
         held: dict[str, np.ndarray] = {}
         for batch in bounded(batches):
             data, ends = utf8(batch.column("text"))
-            codes = trigrams(data)
+            codes = trigrams(data, ends)
             names = batch.column("lang").to_pylist()
             of = np.repeat(pd.factorize(np.array(names, object))[0], np.diff(ends))
             kinds = list(dict.fromkeys(names))
@@ -140,7 +171,8 @@ def mixtures(score: np.ndarray, first: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score (the language's share of the text) and n_languages of every whole text.
 
-    A text that is null or has no letter, and every text if nothing was learned, is ``und`` with score 0."""
+    A text that is null or has no letter, and every text if nothing was learned, is ``und`` with score 0. A row's result does not
+    depend on the rows it is dealt with; a very long text is read in pieces and has at most ``SPANS`` spans."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,15 +182,9 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
             label = np.full(batch.num_rows, "und", object)
             score, many = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             if lettered.any():
-                codes = trigrams(data)
-                rows_with = np.flatnonzero(lettered)
-                spans = -(-np.diff(ends)[rows_with] // SPAN)
-                first = np.cumsum(spans) - spans
-                step = np.arange(spans.sum()) - np.repeat(first, spans)
-                begin = np.repeat(ends[rows_with], spans) + step * SPAN
-                sums = np.stack([np.concatenate([[0.0], np.cumsum(model[codes, k], dtype=np.float64)]) for k in range(len(names))], 1)
-                upto = np.minimum(begin + SPAN, np.repeat(ends[rows_with + 1], spans))
-                share = mixtures(sums[upto] - sums[begin], first)
+                rows_with, size = np.flatnonzero(lettered), np.diff(ends)
+                data = data if lettered.all() else data[np.repeat(lettered, size)]
+                share = mixtures(*span_scores(data, np.concatenate([[0], np.cumsum(size[rows_with])]), model))
                 label[rows_with] = np.array(names, object)[share.argmax(axis=1)]
                 score[rows_with], many[rows_with] = share.max(axis=1).clip(0, 1), (share > 0).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(label, pa.string()), pa.array(score), pa.array(many)],
