@@ -27,19 +27,43 @@ _CLASS[[44, 46, 39, 45, 58, 59, 40, 41, 34, 63]] = 4
 _CLASS[[124, 9]] = 5
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MIX = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
+#: An odd number and its inverse modulo 2^64: a byte weighs by its place.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Bytes of a long text whose lines are described at once, or one line.
+PIECE = 1 << 20
 #: Features of a line before its neighbours' are added.
 WIDTH = 16
 
 
-def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)])
-    return total[at[1:]] - total[at[:-1]]
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 def line_features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines, their lengths in bytes, and each document's first line (and the number of lines).
 
-    A line ends after a line feed or with its document; an empty document has one empty line."""
+    A line ends after a line feed or with its document; an empty document has one empty line. The lines of a long text are
+    described piece by piece; no feature but that of repeated lines looks beyond its line."""
+    if len(ends) == 2 and len(data) > 2 * PIECE:
+        breaks = np.flatnonzero(data == 10) + 1
+        cuts = breaks[np.minimum(np.searchsorted(breaks, np.arange(PIECE, len(data), PIECE)), len(breaks) - 1)] if len(breaks) else breaks
+        cuts = np.unique(np.concatenate([[0], cuts, [len(data)]]))
+        parts = [_describe(data[a:b], np.array([0, b - a])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        x, size, doc, mark = (np.concatenate(p) for p in zip(*parts, strict=True))
+    else:
+        x, size, doc, mark = _describe(data, ends)
+    # Lines of a document that occur in it more than once.
+    key = mark ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, where, times = np.unique(key, return_inverse=True, return_counts=True)
+    x[:, 10] = (times[where] > 1) & (size > 1)
+    return x, size, np.append(np.searchsorted(doc, np.arange(len(ends) - 1)), len(x))
+
+
+def _describe(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines (but for that of repeated lines), their lengths, documents and marks."""
     breaks = np.flatnonzero(data == 10) + 1
     starts = np.unique(np.concatenate([breaks, ends[:-1]]))
     starts = starts[starts < len(data)] if len(data) else starts[:0]
@@ -59,27 +83,25 @@ def line_features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
         total = np.concatenate([[0], np.cumsum(kind == c)])
         shares[:, c] = total[stop] - total[begin]
     letters = shares[:, 0] + shares[:, 1]
-    # Words: runs of bytes that are not blank. A word's mark is the sum of its bytes' numbers.
+    # Words: runs of bytes that are not blank. Marks of words and lines are sums of their bytes' numbers, weighed by place.
     blank = _BLANK[data]
     edge = np.zeros(len(data), bool)
     edge[starts] = True
     word_at = np.flatnonzero(~blank & (np.concatenate([[True], blank[:-1]]) | edge)) if len(data) else np.zeros(0, np.int64)
-    inked = np.where(blank, np.uint64(0), _MIX[data])
-    mark = _sums(inked, np.append(word_at, len(data))) if len(word_at) else np.zeros(0, np.uint64)
+    inked = np.where(blank, np.uint64(0), _MIX[data]) * _powers(_BASE, len(data))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(inked, dtype=np.uint64)])
+    back = _powers(_BACK, len(data) + 1)
+    mark = (total[np.append(word_at[1:], len(data))] - total[word_at]) * back[word_at]
+    line_of = np.searchsorted(starts, word_at, side="right")
     count = np.concatenate([[0], np.cumsum(np.bincount(word_at, minlength=len(data)))]) if len(data) else np.zeros(1, np.int64)
     words = (count[stop] - count[begin]).astype(float)
     again = np.zeros(len(data) + 1)
     if len(word_at) > 1:
-        same = np.flatnonzero(mark[1:] == mark[:-1]) + 1
+        same = np.flatnonzero((mark[1:] == mark[:-1]) & (line_of[1:] == line_of[:-1])) + 1
         again[word_at[same]] = 1
     again = np.concatenate([[0], np.cumsum(again)])
     repeats = again[stop] - again[begin]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(inked, dtype=np.uint64)])
-    line_mark = (total[stop] - total[begin]) * np.uint64(2 * n + 1) ** np.uint64(0)
-    # Lines of a document that occur in it more than once.
-    key = line_mark ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, where, times = np.unique(key, return_inverse=True, return_counts=True)
-    repeated = (times[where] > 1) & (size > 1)
+    line_mark = (total[stop] - total[begin]) * back[begin]
     x = np.zeros((n, WIDTH))
     x[:, 0] = 1
     x[:, 1] = np.log1p(size) / 5
@@ -89,13 +111,12 @@ def line_features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
         x[:, column] = shares[:, c] / full
     x[:, 8] = np.minimum((size - shares[:, 3]) / np.maximum(words, 1) / 10, 2)
     x[:, 9] = repeats / np.maximum(words, 1)
-    x[:, 10] = repeated
     x[:, 11] = shares[:, 6] / np.maximum(words, 1)
     x[:, 12] = shares[:, 5] / np.maximum(words, 1)
     x[:, 13] = size <= 1
     x[:, 14] = shares[:, 0] > 0.6 * np.maximum(letters, 1)
     x[:, 15] = np.minimum(words / 10, 3)
-    return x, size, np.append(np.searchsorted(doc, np.arange(len(ends) - 1)), n)
+    return x, size, doc, line_mark
 
 
 def with_neighbours(x: np.ndarray, first: np.ndarray) -> np.ndarray:
