@@ -49,7 +49,7 @@ def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arrow_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = read_table(spark, sf_dir, "documents"), scratch_path(spark, "streams")
     manifest = streams.write_streams(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
-    return streams.read_documents(manifest, folder)
+    return streams.read_documents(manifest, folder, docs.schema["doc_id"].dataType.simpleString())
 
 
 @query("op8_byte_bpe")

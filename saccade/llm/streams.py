@@ -14,7 +14,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -67,8 +66,9 @@ def write_streams(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     """Writes the ids of all texts, ``end_id`` after each, in ascending order of (doc_id, hash of the text), null ids first.
 
     Returns the manifest, written as a table in ``folder``: part, ids_file, index_file, n_docs, n_ids. ``folder`` must be
-    seen by all executors. ``small_ids`` says that every id is below 65,536. An empty table gives an empty manifest."""
-    rows = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("order", F.xxhash64("text"))
+    seen by all executors. ``small_ids`` says that every id is below 65,536. Document ids may be of any type that can be
+    ordered. An empty table gives an empty manifest."""
+    rows = id_and_text(docs).withColumn("order", F.xxhash64("text"))
     n = parallelism(docs.sparkSession)
     dealt = rows.repartitionByRange(n, F.asc_nulls_first("doc_id"), "order").sortWithinPartitions(
         F.asc_nulls_first("doc_id"), "order", "text").select("doc_id", "text")
@@ -79,9 +79,9 @@ def write_streams(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         part = TaskContext.get().partitionId()
         names = [f"{base}/{what}-{part:06d}-{uuid.uuid4().hex}.arrows" for what in ("ids", "docs")]
         coder, files, n_docs, total = library_coder(tokenizer), None, 0, 0
-        index = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         for batch in bounded(batches):
             if files is None:
+                index = pa.schema([("doc_id", batch.column("doc_id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 sinks = [store.open_output_stream(x) for x in names]
                 files = SequenceWriter(sinks[0], width, kind), pa.ipc.new_stream(sinks[1], index)
             ids, upto = coder.encode(batch.column("text").to_pylist())
@@ -119,28 +119,49 @@ def read_sequences(folder: str, ids_file: str, first: int = 0) -> Iterator[tuple
             seen += batch.num_rows
 
 
-def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
+def sequence_at(folder: str, ids_file: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, mask) of sequence ``k`` of a file, without reading those before it: all batches but the last have the same
+    number of rows of one width, and so the same length in the file. An index that the file does not have is an error."""
+    if k < 0:
+        raise IndexError(f"no sequence {k} in {ids_file}")
+    store, _ = _store(folder)
+    with pa.memory_map(ids_file) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(ids_file) as source:
+        schema = pa.ipc.read_schema(source)
+        begin = source.tell()
+        head = pa.ipc.read_message(source)
+        source.seek(min(begin + k // ROWS * (source.tell() - begin), source.size()))
+        try:
+            message = head if k < ROWS else pa.ipc.read_message(source)
+        except EOFError:
+            message = None
+        batch = None if message is None or message.type != "record batch" else pa.ipc.read_record_batch(message, schema)
+        if batch is None or k % ROWS >= batch.num_rows:
+            raise IndexError(f"no sequence {k} in {ids_file}")
+        row = batch.slice(k % ROWS, 1)
+        return row.column(0).flatten().to_numpy(), row.column(1).flatten().to_numpy(zero_copy_only=False)
+
+
+def read_documents(manifest: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
     """Every document as the files have it: doc_id, start (over all parts), n_tokens, ids_crc32 of its unsigned 32-bit ids.
 
-    A task reads the files of some parts, batch by batch; a part's first id is a sum over the manifest alone."""
+    ``id_type`` is the type of the written document ids. A task reads the files of some parts, batch by batch; a part's first id is a sum over the manifest alone."""
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = manifest.select("part", "ids_file", "index_file", before.alias("base"))
     n = parallelism(manifest.sparkSession)
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _store(folder)
-        for pdf in pdfs:
-            for row in pdf.itertuples():
-                ids = _Reader(read_sequences(folder, row.ids_file))
-                with store.open_input_stream(row.index_file) as source, pa.ipc.open_stream(source) as index:
+        for files in batches:
+            for row in files.to_pylist():
+                ids = _Reader(read_sequences(folder, row["ids_file"]))
+                with store.open_input_stream(row["index_file"]) as source, pa.ipc.open_stream(source) as index:
                     for batch in index:
                         size = batch.column("n_tokens").to_pylist()
-                        yield pd.DataFrame({
-                            "doc_id": batch.column("doc_id").to_pandas().astype("Int64"),
-                            "start": batch.column("start").to_numpy() + row.base, "n_tokens": size,
-                            "ids_crc32": [ids.crc32(k) for k in size]})
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column("doc_id"), pa.array(batch.column("start").to_numpy() + row["base"]), pa.array(size, pa.int64()),
+                             pa.array([ids.crc32(k) for k in size], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return parts.repartition(n, "part").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.repartition(n, "part").mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 class _Reader:
