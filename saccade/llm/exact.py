@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from saccade.llm.common import id_and_text
+from saccade.llm.common import id_and_text, unused
 from saccade.session import cut_lineage
 
-#: Counters of a summary: a digest that holds over 1 / COUNTERS of the rows is always found. Bounds the broadcast.
+#: Counters of a summary. Bounds the broadcast. A digest that holds over 1 / COUNTERS of the rows is found but where other digests'
+#: counts of single partitions push it out; it is then shuffled like any other, with the same result.
 COUNTERS = 1000
 
 
@@ -76,9 +77,10 @@ def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     keyed = digests(docs)
     groups = duplicate_groups(cut_lineage(keyed), counters)
     plain = F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    stay = groups.groupBy(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha")).agg(
-        F.max("kept").alias("_stay"), F.count("*").alias("_stay_rows")).where("_stay")
-    rows = docs.withColumn("_row_sha", F.sha2(plain, 256)).join(
-        stay, F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.col("_row_sha") == F.col("_stay_sha")))
-    repeated = rows.where("_stay_rows > 1").dropDuplicates(["_stay_id", "_stay_sha"])
-    return rows.where("_stay_rows = 1").unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    sha, stay_id, stay_sha, stays, n = unused(docs, "_row_sha", "_stay_id", "_stay_sha", "_stay", "_stay_rows")
+    stay = groups.groupBy(F.col("doc_id").alias(stay_id), F.col("text_sha256").alias(stay_sha)).agg(
+        F.max("kept").alias(stays), F.count("*").alias(n)).where(F.col(stays))
+    rows = docs.withColumn(sha, F.sha2(plain, 256)).join(
+        stay, F.col("doc_id").eqNullSafe(F.col(stay_id)) & (F.col(sha) == F.col(stay_sha)))
+    repeated = rows.where(F.col(n) > 1).dropDuplicates([stay_id, stay_sha])
+    return rows.where(F.col(n) == 1).unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

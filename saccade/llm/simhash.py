@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import bounded, id_and_text, parallelism, written
+from saccade.llm.common import bounded, id_and_text, parallelism, unused, written
 from saccade.llm.links import components
 from saccade.session import cut_lineage
 
@@ -443,9 +443,10 @@ def _one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     Of rows that repeat that id, the one with the smallest hash of its text stays, and of equal rows one."""
     groups = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows_of = groups.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    key, stay_id, stay_key, n = unused(docs, "_text_key", "_stay_id", "_stay_key", "_stay_rows")
     stay = rows_of.groupBy("root").agg(F.min(F.struct("text_key", "doc_id", "n")).alias("s")).select(
-        F.col("s.doc_id").alias("_stay_id"), F.col("s.text_key").alias("_stay_key"), F.col("s.n").alias("_stay_rows"))
-    rows = docs.withColumn("_text_key", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))).join(
-        stay, F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.col("_text_key") == F.col("_stay_key")))
-    repeated = rows.where("_stay_rows > 1").dropDuplicates(["_stay_id", "_stay_key"])
-    return rows.where("_stay_rows = 1").unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.col("s.doc_id").alias(stay_id), F.col("s.text_key").alias(stay_key), F.col("s.n").alias(n))
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))).join(
+        stay, F.col("doc_id").eqNullSafe(F.col(stay_id)) & (F.col(key) == F.col(stay_key)))
+    repeated = rows.where(F.col(n) > 1).dropDuplicates([stay_id, stay_key])
+    return rows.where(F.col(n) == 1).unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

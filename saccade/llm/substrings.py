@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import bounded, id_and_text, parallelism, utf8, written
+from saccade.llm.common import bounded, id_and_text, parallelism, unused, utf8, written
 from saccade.llm.induced import repeats
 
 LENGTH = 400
@@ -210,13 +210,14 @@ def merged(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_spans(rows: DataFrame, docs: DataFrame, length: int, text: Column) -> DataFrame:
-    """``rows`` (with the given text) and the list of their repeated strings, null where there are none."""
-    spans = repeated_strings(docs, length).groupBy(F.col("doc_id").alias("_span_id"), F.col("text_key").alias("_span_key")).agg(
-        F.collect_set(F.struct("a", "b")).alias("_spans"))
-    marked = rows.withColumn("_text_key", F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
-    return marked.join(spans, F.col("doc_id").eqNullSafe(F.col("_span_id")) & (F.col("_text_key") == F.col("_span_key")), "left").drop(
-        "_span_id", "_span_key", "_text_key")
+def _with_spans(rows: DataFrame, docs: DataFrame, length: int, text: Column, name: str) -> DataFrame:
+    """``rows`` (with the given text) and as ``name`` the list of their repeated strings, null where there are none."""
+    key, span_id, span_key = unused(rows, "_text_key", "_span_id", "_span_key")
+    spans = repeated_strings(docs, length).groupBy(F.col("doc_id").alias(span_id), F.col("text_key").alias(span_key)).agg(
+        F.collect_set(F.struct("a", "b")).alias(name))
+    marked = rows.withColumn(key, F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
+    return marked.join(spans, F.col("doc_id").eqNullSafe(F.col(span_id)) & (F.col(key) == F.col(span_key)), "left").drop(
+        span_id, span_key, key)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -225,7 +226,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A null text is empty, and texts shorter than ``length`` have no spans. Repeated rows repeat each other. An empty table
     gives no rows."""
-    rows = _with_spans(id_and_text(docs), docs, length, F.col("text"))
+    rows = _with_spans(id_and_text(docs), docs, length, F.col("text"), "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
@@ -263,17 +264,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text`` (and ``n_chars`` counted anew where it is there and they were).
 
     All rows and columns stay. A character of which a cut leaves a part goes wholly; a null text stays null."""
-    rows = _with_spans(docs, docs, length, docs["text"])
+    found, left = unused(docs, "_spans", "_kept")
+    rows = _with_spans(docs, docs, length, docs["text"], found)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None else _without(t.encode(), merged(s, length)).decode("utf-8", "ignore")
                           for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    changed = F.col("_spans").isNotNull()
-    fresh = rows.withColumn("_kept", F.when(changed, cut(F.col("text").cast("string"), F.col("_spans"))).otherwise(F.col("text")))
-    named = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.col("_kept").alias("text")}
+    changed = F.col(found).isNotNull()
+    fresh = rows.withColumn(left, F.when(changed, cut(F.col("text").cast("string"), F.col(found))).otherwise(F.col("text")))
+    named = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.col(left).alias("text")}
     if "n_chars" in named:
         kind = dict(docs.dtypes)["n_chars"]
-        named["n_chars"] = F.when(changed, F.length("_kept").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
+        named["n_chars"] = F.when(changed, F.length(left).cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
     return fresh.select(*[named[c] for c in docs.columns])
