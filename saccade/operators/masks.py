@@ -18,6 +18,8 @@ SUPPRESSED_SCORE = -10.0
 MISSING_SCORE = -1024.0
 
 _BLOCK = 64
+#: Pixels of a score array that meet those of the frame's other objects at once.
+SCORE_BLOCK = 4096
 
 
 def rle_encode(masks: DataFrame, values: str, is_set: Callable[[Column], Column] = lambda v: v) -> DataFrame:
@@ -203,6 +205,34 @@ def non_overlap(pixels: DataFrame, frame_keys: Sequence[str] = ("participant_id"
     )
 
 
+def non_overlap_scores(logits: DataFrame, frame_keys: Sequence[str] = ("participant_id", "frame"), obj: str = "label_ord",
+                       column: str = "logits", block: int = SCORE_BLOCK) -> DataFrame:
+    """:func:`non_overlap` on whole row-major score arrays; the objects of a frame share one image size.
+
+    Arrays are cut into blocks of pixels. A block meets the same block of the frame's other objects, where one pass in the
+    order of objects finds the winners, so no pixel becomes a row. A missing score never wins and stays missing."""
+    keys = [*frame_keys, obj]
+    size = F.size(column)
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(size - 1, F.lit(0)) / block).cast("int")),
+                        lambda b: F.slice(column, b * block + 1, block))
+    cut = logits.select(*keys, F.posexplode(parts).alias("_block", "_part"))
+    met = cut.groupBy(*frame_keys, "_block").agg(F.sort_array(F.collect_list(F.struct(F.col(obj).alias("obj"), F.col("_part").alias("part")))).alias("_all"))
+    none = F.struct(F.lit(None).cast("float").alias("best"), F.lit(None).cast(logits.schema[obj].dataType).alias("obj"))
+
+    def better(held: Column, x: Column) -> Column:
+        return F.zip_with(held, x["part"], lambda a, v: F.when(
+            v.isNotNull() & (a["best"].isNull() | (v > a["best"])), F.struct(v.cast("float").alias("best"), x["obj"].alias("obj"))).otherwise(a))
+
+    won = met.withColumn("_won", F.transform(F.aggregate(
+        "_all", F.transform(F.get("_all", F.lit(0))["part"], lambda _: none), better), lambda a: a["obj"]))
+    each = won.select(*frame_keys, "_block", "_won", F.explode("_all").alias("_one"))
+    left = F.zip_with("_one.part", "_won", lambda v, who: F.when(
+        (who == F.col("_one.obj")) | v.isNull(), v).otherwise(F.least(v, F.lit(SUPPRESSED_SCORE).cast("float"))))
+    settled = each.select(*frame_keys, F.col("_one.obj").alias(obj), "_block", left.alias("_part")).groupBy(*keys).agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_block", "_part"))), lambda p: p["_part"])).alias(column))
+    return logits.drop(column).join(settled, keys).select(*logits.columns)
+
+
 def uncrop_masks(masks: DataFrame, crop: Sequence[str], full_h: Column, full_w: Column,
                  keys: Sequence[str] = MASK_KEYS) -> DataFrame:
     """Moves masks of a crop (columns x0, y0 named by ``crop``) into the full image."""

@@ -137,6 +137,14 @@ def w09(spark, sf_dir):
     return pixels.select(*M.MASK_KEYS, "x", "y", F.col("logit").cast("double").alias("logit"))
 
 
+@query("w09b_non_overlap_scores", f"""WITH {V4},
+r AS (SELECT *, row_number() OVER (PARTITION BY participant_id, frame, x, y ORDER BY logit DESC, label_ord) AS rn FROM px)
+SELECT {KEY}, x, y, CAST(CASE WHEN rn = 1 THEN logit ELSE least(logit, -10.0::FLOAT) END AS DOUBLE) AS logit FROM r""")
+def w09b(spark, sf_dir):
+    left = M.non_overlap_scores(mask_logits(spark, sf_dir), block=24)
+    return M.logit_pixels(left).select(*M.MASK_KEYS, "x", "y", F.col("logit").cast("double").alias("logit"))
+
+
 def shifted(spark, sf_dir):
     """Masks of the next object of the frame, as a second opinion."""
     return mask_rows(spark, sf_dir).withColumn("label_ord", (F.col("label_ord") + 1) % 4)

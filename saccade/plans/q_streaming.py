@@ -48,6 +48,26 @@ def x01(spark, sf_dir):
     return live.stitch_runs(drain(live.live_runs(codes), "live-runs"))
 
 
+@query("x01b_closed_runs", f"""WITH {V1},
+m AS (SELECT *, row_number() OVER w - 1 AS f, CASE WHEN lag(code) OVER w = code THEN 0 ELSE 1 END AS s FROM v1 WINDOW w AS (PARTITION BY participant_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(s) OVER (PARTITION BY participant_id ORDER BY f) AS run, sum(s) OVER (PARTITION BY participant_id) AS last_run FROM m)
+SELECT participant_id, min(code) AS code, min(f) AS start_frame, max(f) AS end_frame, count(*) AS n_frames FROM n
+WHERE run < last_run GROUP BY participant_id, run""")
+def x01b(spark, sf_dir):
+    codes = event_stream(spark, sf_dir).select("participant_id", "ts", "seq", "code")
+    return drain(live.closed_runs(codes), "closed-runs")
+
+
+@query("x02b_light_alerts", f"""WITH {V1},
+d AS (SELECT participant_id, min(ts) AS t FROM v1 WHERE value < 8.0 GROUP BY 1)
+SELECT participant_id AS recording_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS lights_on
+FROM v1 JOIN d USING (participant_id) WHERE value >= 8.0 AND ts > d.t GROUP BY 1""")
+def x02b(spark, sf_dir):
+    levels = event_stream(spark, sf_dir).select(F.col("participant_id").alias("recording_id"), "ts", F.col("value").alias("brightness"))
+    found = drain(live.light_alerts(levels, 8.0), "light-alerts")
+    return found.select("recording_id", F.date_format("lights_on", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("lights_on"))
+
+
 @query("x02_live_lights", f"""WITH {V1},
 d AS (SELECT participant_id, min(ts) AS t FROM v1 WHERE value < 8.0 GROUP BY 1)
 SELECT participant_id AS recording_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS lights_on

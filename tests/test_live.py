@@ -58,6 +58,30 @@ def test_lights_in_any_order(spark, tmp_path):
     assert sorted(tuple(r) for r in found) == [("r", "00:15"), ("s", "00:30"), ("t", "01:10")]
 
 
+def test_runs_are_sent_when_the_next_label_is_settled(spark, tmp_path):
+    schema = "participant_id string, ts timestamp, seq long, code string"
+    batches = [[("p", at(10), 1, "a"), ("p", at(20), 3, "b"), ("r", at(3), 1, "a")],
+               [("p", at(15), 2, "a"), ("p", at(70), 5, "b"), ("q", at(5), 9, None), ("q", at(6), 10, None), ("q", at(7), 11, "c"), ("p", None, 3, "z")],
+               [("p", at(61), 4, "b"), ("p", at(75), 6, "c"), ("p", at(5000), 7, "d")],
+               [("end", at(5000), 0, "-")],
+               [("p", at(12), 8, "z")],
+               [("p", at(5001), 9, "e")]]
+    runs, query = drained(spark, tmp_path, batches, schema, lambda s: live.closed_runs(s, "10 minutes"), "closed_runs_test")
+    assert sorted(tuple(r) for r in runs.collect() if r.code) == [("p", "a", 0, 1, 2), ("p", "b", 2, 4, 3)]
+    assert [tuple(r) for r in runs.collect() if not r.code] == [("q", None, 0, 1, 2)]
+    assert live.late_rows(query) == 1
+
+
+def test_light_alerts_in_any_order(spark, tmp_path):
+    schema = "recording_id string, ts timestamp, brightness double"
+    batches = [[("r", at(10), 5.0), ("r", at(20), 90.0)], [("r", at(15), 90.0), ("s", at(30), 90.0), ("t", at(1), 90.0)],
+               [("s", at(25), 5.0), ("s", at(25), 90.0), ("t", at(50), 5.0), ("t", at(70), 90.0), ("u", at(1), None)],
+               [("end", at(90000), 0.0)], [("r", at(90001), 0.0), ("end", at(90001), 90.0)], [("r", at(99999), 90.0)]]
+    alerts, _ = drained(spark, tmp_path, batches, schema, lambda s: live.light_alerts(s, 50.0, "10 minutes"), "light_alerts_test")
+    found = alerts.select("recording_id", F.date_format("lights_on", "mm:ss").alias("t")).collect()
+    assert sorted(tuple(r) for r in found if r.recording_id != "end") == [("r", "00:15"), ("s", "00:30"), ("t", "01:10")]
+
+
 @pytest.mark.parametrize("second_crop, kept", [(8, [1, 2]), (4, [2])])
 def test_crop_copies_go_only_where_an_image_has_several_crops(spark, second_crop, kept):
     columns = ["image_id", "candidate_id", "x0", "y0", "x1", "y1", "crop_x0", "crop_y0", "crop_x1", "crop_y1"]

@@ -104,3 +104,15 @@ def test_own_rates_and_phase_default(spark):
     scores = metrics.summary_scores(events, None, 0, wide=False, rates=rates)
     assert "temporal_dynamics_phase3" in scores.columns and "temporal_dynamics_phase4" not in scores.columns
     assert {(r.participant_id, r.aoi_name): r.dwell_time for r in scores.collect()} == {("p", "a"): 600.0, ("p", "b"): 300.0, ("q", "a"): 300.0, ("q", "b"): 150.0}
+
+
+def test_score_arrays_go_to_their_best_object_like_pixels(spark):
+    from saccade.operators import masks as M
+    rng = np.random.default_rng(4)
+    rows = [(p, f, o, 6, 7, [float(v) for v in rng.integers(-12, 4, 42)]) for p in "ab" for f in range(3) for o in range(1 + f)]
+    logits = spark.createDataFrame(rows, "participant_id string, frame int, label_ord int, h int, w int, logits array<float>")
+    plain = sorted(M.non_overlap(M.logit_pixels(logits)).select(*M.MASK_KEYS, "x", "y", "logit").collect())
+    for block in (5, 42, 4096):
+        left = M.non_overlap_scores(logits, block=block)
+        assert left.columns == logits.columns
+        assert sorted(M.logit_pixels(left).select(*M.MASK_KEYS, "x", "y", "logit").collect()) == plain
