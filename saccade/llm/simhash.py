@@ -1,7 +1,8 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
-Fingerprints within ``budget`` bits agree on one of ``budget + 1`` blocks of bits, so each distinct fingerprint goes to one
-trie per block. A trie is joined with itself by walking pairs of its nodes together: differing bits add up and a pair is
+Fingerprints within ``budget`` bits agree on one of ``budget + 1`` blocks of bits, on two of ``budget + 2``, and so on. Each
+distinct fingerprint goes to one trie per choice of blocks; their number follows from the number of fingerprints, so that
+tries stay small. A trie is joined with itself by walking pairs of its nodes together: differing bits add up and a pair is
 left as soon as they exceed the budget. Tries of over ``TRIE_SIZE`` fingerprints are split into parts that are joined part
 by part. A task keeps the links it finds as a forest, so a dense group yields as many links as members, not pairs.
 
@@ -12,6 +13,8 @@ candidate group are compared by their whole sets until all that are apart have m
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -173,17 +176,40 @@ def _leaves(codes, pairs, budget, forest):
         forest.add(x[link], y[link])
 
 
-def _rotate(fp, block: int, widths: list[int]):
-    """The bits of a block, and the fingerprint without them."""
-    shift = sum(widths[:block])
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << widths[block]) - 1))
+def _blocks(budget: int, agree: int) -> list[tuple[int, int]]:
+    """(shift, width) of ``budget + agree`` blocks of bits: fingerprints within ``budget`` bits are equal in ``agree`` of them."""
+    count = budget + agree
+    widths = [64 // count + (k < 64 % count) for k in range(count)]
+    return list(zip(np.cumsum([0, *widths[:-1]]).tolist(), widths, strict=True))
 
 
-def linked(prints: DataFrame, budget: int = BUDGET, trie_size: int = TRIE_SIZE) -> DataFrame:
-    """Links (u, v) that join exactly the distinct fingerprints ``fp`` which chains of at most ``budget`` bits reach."""
-    widths = [64 // (budget + 1) + (k < 64 % (budget + 1)) for k in range(budget + 1)]
-    keys = F.array(*[_rotate(F.col("fp"), k, widths) + F.lit(k << 32) for k in range(len(widths))])
-    return linked_in(prints.select("fp", F.explode(keys).alias("trie")), budget, trie_size)
+def blocks_to_agree(n: int, budget: int = BUDGET, trie_size: int = TRIE_SIZE) -> int:
+    """In how many blocks fingerprints of one trie agree, so that the fewest copies of ``n`` distinct ones are sent.
+
+    A fingerprint goes to one trie for each choice of blocks, and there once to every part of the trie. One block of five
+    serves up to about 50 million fingerprints of a budget of 4; longer keys keep the parts few beyond that."""
+    def copies(agree: int) -> int:
+        bits = agree * (64 // (budget + agree))
+        return math.comb(budget + agree, agree) * max(1, math.ceil(n / (trie_size << bits)))
+    return min(range(1, 5), key=lambda agree: (copies(agree), agree))
+
+
+def linked(prints: DataFrame, budget: int = BUDGET, trie_size: int = TRIE_SIZE, agree: int | None = None) -> DataFrame:
+    """Links (u, v) that join exactly the distinct fingerprints ``fp`` which chains of at most ``budget`` bits reach.
+
+    ``agree`` is the number of equal blocks that a trie stands for; if not given, it follows from the number of fingerprints.
+    Any number gives the same components."""
+    if agree is None:
+        agree = blocks_to_agree(prints.count(), budget, trie_size)
+    keys = []
+    for number, chosen in enumerate(itertools.combinations(_blocks(budget, agree), agree)):
+        key = F.lit(number).cast("long")
+        for shift, width in chosen:
+            key = F.shiftleft(key, width) + F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+        keys.append(F.struct(F.lit(sum(w for _, w in chosen)).alias("bits"), key.alias("key")))
+    # Keys of unlike widths may be equal as numbers; such tries would only be joined needlessly, so the width tells them apart.
+    tries = F.transform(F.array(*keys), lambda k: k["key"] * 64 + k["bits"])
+    return linked_in(prints.select("fp", F.explode(tries).alias("trie")), budget, trie_size)
 
 
 def linked_in(blocks: DataFrame, budget: int, trie_size: int = TRIE_SIZE) -> DataFrame:
@@ -237,7 +263,7 @@ def _join_together(rows: np.ndarray, budget: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(fps[away]), pa.array(fps[forest.root[away]])], ["u", "v"])
 
 
-def near_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+def near_groups(docs: DataFrame, budget: int = BUDGET, agree: int | None = None) -> DataFrame:
     """doc_id, text_key (a hash of the text), fp, root (a group's smallest fingerprint) and component_id: the smallest
     doc_id reachable over links of at most ``budget`` bits, itself included.
 
@@ -245,7 +271,7 @@ def near_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     of nulls. Repeated rows stay repeated. An empty table gives no rows."""
     prints = cut_lineage(fingerprints(docs))
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(linked(distinct.select("fp"), budget)).select(F.col("node").alias("fp"), "root")
+    roots = components(linked(distinct.select("fp"), budget, agree=agree)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = _named(rooted).select("fp", "root", "component_id")
     return prints.join(names, "fp").select("doc_id", "text_key", "fp", "root", "component_id")

@@ -77,6 +77,39 @@ def test_trie_join_equals_all_pairs():
     assert (walked.root == paired.root).all()
 
 
+def planted_codes(seed, bases, copies):
+    rng = np.random.default_rng(seed)
+    codes = [0, 1, 2**64 - 1]
+    for base in rng.integers(0, 2**63, bases, dtype=np.uint64):
+        for _ in range(copies):
+            flips = rng.choice(64, rng.integers(0, 6), replace=False)
+            codes.append(int(base) ^ sum(1 << int(k) for k in flips))
+    return np.unique(np.array(codes, np.uint64))
+
+
+@pytest.mark.parametrize("agree", [None, 1, 2, 3, 4])
+def test_tries_of_longer_keys_give_the_same_components(spark, agree):
+    codes = planted_codes(5, 60, 6)
+    paired = simhash.Forest(len(codes))
+    paired.add(*np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None]) <= 4))
+    place = {int(c): k for k, c in enumerate(codes.view(np.int64))}
+    found = simhash.Forest(len(codes))
+    links = simhash.linked(spark.createDataFrame([(k,) for k in place], "fp long"), trie_size=4 if agree == 1 else 2048, agree=agree).collect()
+    found.add(np.array([place[r.u] for r in links]), np.array([place[r.v] for r in links]))
+    assert (found.root == paired.root).all()
+
+
+def test_keys_grow_with_the_number_of_fingerprints():
+    sizes = [0, 1000, 10**7, 10**9, 10**11, 10**13]
+    agree = [simhash.blocks_to_agree(n) for n in sizes]
+    assert agree == sorted(agree) and agree[0] == agree[2] == 1 and agree[3] == 2 and agree[4] == 3
+    for budget in (2, 4, 6):
+        for blocks in range(1, 5):
+            cut = simhash._blocks(budget, blocks)
+            assert len(cut) == budget + blocks and sum(w for _, w in cut) == 64
+            assert [s for s, _ in cut] == [sum(w for _, w in cut[:k]) for k in range(len(cut))]
+
+
 def test_near_groups(docs):
     groups = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
     assert groups[9] == 5 and groups[3] == 3 and groups[4] == 3
