@@ -161,14 +161,8 @@ def _phase_overlaps(num_phases: int, low: Column, high: Column, end: Column) ->
     return overlaps
 
 
-def phase_frames(events: DataFrame, num_phases: int = 3, bounds: str = "global",
-                 end_inclusive: bool = True) -> tuple[DataFrame, list[Column]]:
-    """Events with session bounds, and per phase the aggregate that counts their frames.
-
-    With ``end_inclusive`` the frame ``end_frame`` belongs to the event, also where the file's end is
-    exclusive, as in the reference; switch it off for run files to have phases add up to the share.
-    """
-    num_phases = num_phases if num_phases >= 1 else PHASES
+def _with_phases(events: DataFrame, num_phases: int, bounds: str, end_inclusive: bool) -> tuple[DataFrame, list[Column]]:
+    """Events with session bounds, and per phase the number of an event's frames in it."""
     if bounds == "global":
         limits = session_bounds(events)
         low, high = limits.select("min_frame").scalar(), limits.select("max_frame").scalar()
@@ -180,8 +174,18 @@ def phase_frames(events: DataFrame, num_phases: int = 3, bounds: str = "global",
     else:
         raise ValueError("bounds must be 'global' or 'participant'")
     shift = 0 if end_inclusive else 1
-    overlaps = _phase_overlaps(num_phases, F.col("min_frame").cast("long"), F.col("max_frame").cast("long") - shift,
-                               F.col("end_frame") - shift)
+    return bounded, _phase_overlaps(num_phases, F.col("min_frame").cast("long"), F.col("max_frame").cast("long") - shift,
+                                    F.col("end_frame") - shift)
+
+
+def phase_frames(events: DataFrame, num_phases: int = 3, bounds: str = "global",
+                 end_inclusive: bool = True) -> tuple[DataFrame, list[Column]]:
+    """Events with session bounds, and per phase the aggregate that counts their frames.
+
+    With ``end_inclusive`` the frame ``end_frame`` belongs to the event, also where the file's end is
+    exclusive, as in the reference; switch it off for run files to have phases add up to the share.
+    """
+    bounded, overlaps = _with_phases(events, num_phases if num_phases >= 1 else PHASES, bounds, end_inclusive)
     return bounded, [F.sum(o).alias(f"phase{i}_frames") for i, o in enumerate(overlaps, 1)]
 
 
@@ -202,6 +206,35 @@ def temporal_dynamics(events: DataFrame, num_phases: int = 3, bounds: str = "glo
     return shares.select("participant_id", "aoi_name", (F.col("place") + 1).alias("phase"), "proportion")
 
 
+def _exact_sum(time: Column) -> Column:
+    """The sum of milliseconds, added in whole nanoseconds, so that it does not depend on their order."""
+    return F.sum(time.cast("decimal(24,6)")).cast("double")
+
+
+def event_scores(events: DataFrame, num_phases: int = PHASES, bounds: str = "global", end_inclusive: bool = True) -> DataFrame:
+    """The columns of the long ``summary_scores`` from the events' own ``duration_ms`` and ``timestamp_ms``.
+
+    For events whose times were measured and are not frames by a rate. An event's time is spread evenly over its
+    ``duration_frames``; phases are cut by frames. A null duration counts as an event without time. A participant's total is
+    the sum of its labels' times."""
+    num_phases = num_phases if num_phases >= 1 else PHASES
+    bounded, overlaps = _with_phases(events, num_phases, bounds, end_inclusive)
+    duration = F.coalesce(F.col("duration_ms").cast("double"), F.lit(0.0))
+    per_frame = [safe_div(o * duration, F.col("duration_frames").cast("double")) for o in overlaps]
+    sums = bounded.groupBy("participant_id", "aoi_name").agg(
+        _exact_sum(duration).alias("dwell_time"), F.count(F.lit(1)).alias("fixation_count"),
+        F.min(duration).alias("fixation_duration_min"), F.max(duration).alias("fixation_duration_max"),
+        F.coalesce(F.min("timestamp_ms"), F.lit(NEVER_FIXATED)).alias("latency_to_first_fixation"),
+        *[_exact_sum(time).alias(f"phase{i}_ms") for i, time in enumerate(per_frame, 1)])
+    total = F.sum(F.col("dwell_time").cast("decimal(24,6)")).over(Window.partitionBy("participant_id")).cast("double")
+    return sums.withColumn("total_ms", total).select(
+        "participant_id", "aoi_name", "dwell_time",
+        safe_div(F.col("dwell_time"), F.col("total_ms")).alias("proportion_of_dwell_time"), "fixation_count",
+        "fixation_duration_min", "fixation_duration_max",
+        (F.col("dwell_time") / F.col("fixation_count")).alias("mean_fixation_duration_per_aoi"), "latency_to_first_fixation",
+        *[safe_div(F.col(f"phase{i}_ms"), F.col("total_ms")).alias(f"temporal_dynamics_phase{i}") for i in range(1, num_phases + 1)])
+
+
 def summary_scores(events: DataFrame, fps: float | None, num_phases: int = PHASES, wide: bool = True,
                    bounds: str = "global", end_inclusive: bool = True, seq: str | None = None,
                    labels: Sequence[str] | None = None, materialize: bool = True, rates: DataFrame | None = None) -> DataFrame:

@@ -225,6 +225,31 @@ def a13(spark, sf_dir):
     return M.summary_scores(events(spark, sf_dir), FPS, wide=False)
 
 
+@query("a13b_event_scores", f"""WITH {RUNS},
+own AS (SELECT *, duration_frames * {MS} + (start_frame % 7) * 0.3::DOUBLE AS ms, start_frame * {MS} + 5.0::DOUBLE AS began FROM runs),
+limits AS (SELECT min(start_frame) AS low, max(end_frame) AS high FROM runs),
+frames AS (SELECT participant_id, aoi_name, start_frame, ms, duration_frames, unnest(range(start_frame, end_frame + 1)) AS frame FROM own),
+shares AS (
+  SELECT participant_id, aoi_name, phase, sum((n * ms / duration_frames)::DECIMAL(24, 6)) AS phase_ms
+  FROM (SELECT participant_id, aoi_name, start_frame, ms, duration_frames, least(3, 1 + (frame - low) * 3 // (high - low + 1)) AS phase, count(*) AS n
+        FROM frames, limits GROUP BY ALL) GROUP BY ALL),
+phase_columns AS (
+  SELECT participant_id, aoi_name, {", ".join(f"coalesce(max(phase_ms) FILTER (phase = {p}), 0)::DOUBLE AS phase{p}" for p in (1, 2, 3))}
+  FROM shares GROUP BY ALL),
+sums AS (
+  SELECT participant_id, aoi_name, sum(ms::DECIMAL(24, 6)) AS dwell, count(*) AS fixation_count, min(ms) AS shortest, max(ms) AS longest, min(began) AS first
+  FROM own GROUP BY ALL),
+totals AS (SELECT *, sum(dwell) OVER (PARTITION BY participant_id)::DOUBLE AS total FROM sums)
+SELECT participant_id, aoi_name, dwell::DOUBLE AS dwell_time, dwell::DOUBLE / total AS proportion_of_dwell_time, fixation_count,
+  shortest AS fixation_duration_min, longest AS fixation_duration_max, dwell::DOUBLE / fixation_count AS mean_fixation_duration_per_aoi,
+  first AS latency_to_first_fixation, {", ".join(f"phase{p} / total AS temporal_dynamics_phase{p}" for p in (1, 2, 3))}
+FROM totals JOIN phase_columns USING (participant_id, aoi_name)""")
+def a13b(spark, sf_dir):
+    """Events whose own times differ from frames by the rate."""
+    own = events(spark, sf_dir).withColumn("duration_ms", F.col("duration_ms") + F.col("start_frame") % 7 * 0.3)
+    return M.event_scores(own.withColumn("timestamp_ms", F.col("timestamp_ms") + 5.0))
+
+
 SCORES_HEAD = f"WITH {WIDE}{MATRIX[len(RUNS):]}"
 
 

@@ -146,3 +146,37 @@ def test_ordered_operators(spark):
     assert nxt["a", 3] == 4 and nxt["a", 49] is None and nxt["b", 7] == 14
     total = {(r.k, r.o): r.s for r in running_sum(df, ["k"], ["o"], frame_chunk(F.col("o"), 4), "o", "s").collect()}
     assert total["a", 10] == 55 and total["b", 14] == 21
+
+
+def test_scores_of_measured_times(spark):
+    rows = [("a", "x", 10.5, 2, 3.0, 0, 1), ("a", "y", 1.0, 4, 9.0, 2, 5), ("a", "x", 2.25, 3, 1.5, 6, 8), ("b", "x", 0.0, 1, 7.0, 3, 3),
+            ("c", "x", None, 2, None, 0, 1)]
+    table = spark.createDataFrame(rows, "participant_id string, aoi_name string, duration_ms double, duration_frames int, "
+                                        "timestamp_ms double, start_frame int, end_frame int")
+    got = {(r.participant_id, r.aoi_name): r for r in M.event_scores(table).collect()}
+    assert len(got) == 4
+    for who, label in got:
+        mine = [(r[2] or 0.0, *r[3:]) for r in rows if r[:2] == (who, label)]
+        total = sum(r[2] or 0.0 for r in rows if r[0] == who)
+        phases = [0.0] * 3
+        for ms, frames, _, first, last in mine:
+            for frame in range(first, last + 1):
+                phases[frame // 3] += ms / frames
+        r = got[who, label]
+        times = [m[0] for m in mine]
+        assert (r.dwell_time, r.fixation_count, r.fixation_duration_min, r.fixation_duration_max) == (sum(times), len(times), min(times), max(times))
+        assert r.mean_fixation_duration_per_aoi == sum(times) / len(times)
+        assert r.latency_to_first_fixation == min([m[2] for m in mine if m[2] is not None], default=-1.0)
+        assert r.proportion_of_dwell_time == pytest.approx(sum(times) / total if total else 0.0)
+        found = [r.temporal_dynamics_phase1, r.temporal_dynamics_phase2, r.temporal_dynamics_phase3]
+        assert found == pytest.approx([p / total if total else 0.0 for p in phases], abs=1e-6)
+    assert M.event_scores(table.limit(0)).count() == 0
+
+
+def test_frames_by_a_rate_give_the_same_scores(spark):
+    events = collapse_runs(codes(spark, {"a": "xxyyyxz", "b": "zzzzx"}), 30.0)
+    for bounds in ("global", "participant"):
+        plain = {r[:2]: r[2:] for r in M.summary_scores(events, 30.0, wide=False, bounds=bounds).collect()}
+        own = {r[:2]: r[2:] for r in M.event_scores(events, bounds=bounds).collect()}
+        assert plain.keys() == own.keys()
+        assert all(own[k] == pytest.approx(plain[k], abs=1e-5) for k in plain)
