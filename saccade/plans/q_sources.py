@@ -81,7 +81,7 @@ def s05(spark, sf_dir):
 
 
 def _written_prompts(spark, path):
-    return spark.read.schema("value string, participant_id string, part long").text(path).withColumnRenamed("value", "json")
+    return spark.read.schema("participant_id string, part long, json string").option("mode", "FAILFAST").json(path).drop(writers.GROUP)
 
 
 @query("e05b_prompt_parts", PROMPT_OBJECTS)
