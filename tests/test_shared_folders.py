@@ -1,12 +1,20 @@
 """Sinks of a cohort write a bounded number of folders, however many participants there are."""
 
 import os
+import sys
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from saccade.operators.prompts import parse_prompt_json, prompt_json
-from saccade.plans import q_sources
-from saccade.sources import writers
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from check import compare  # noqa: E402
+
+from saccade.operators.prompts import parse_prompt_json, prompt_json  # noqa: E402
+from saccade.plans import ORACLES, QUERIES, q_sources  # noqa: E402
+from saccade.session import shared_folder  # noqa: E402
+from saccade.sources import writers  # noqa: E402
 
 MANY = 150
 
@@ -32,3 +40,26 @@ def test_prompt_documents_in_own_folders(spark, tmp_path):
     writers.write_prompt_documents(documents, str(tmp_path / "docs"), own_folders=True)
     assert sorted(os.path.relpath(f, tmp_path / "docs") for f in folders(tmp_path / "docs")) == [
         "participant_id=p/part=0", "participant_id=p/part=1", "participant_id=q/part=0"]
+
+
+def events_table(spark, folder):
+    """Some events of each of many users, with repeats of one label."""
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 7_000_000)
+    kind = F.element_at(F.array(*map(F.lit, ["click", "view", "error", "signup", "purchase"])), (F.floor(F.col("id") / MANY / 2) % 5 + 1).cast("int"))
+    spark.range(MANY * 8).select(
+        F.col("id").alias("event_id"), at.cast("timestamp_ntz").alias("ts"), (F.col("id") % MANY).alias("user_id"), kind.alias("event_type"),
+        (F.col("id") % 17).cast("double").alias("value"), F.format_string('{"k": %d}', F.col("id") % 50).alias("props")
+    ).coalesce(1).write.parquet(str(folder / "events.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name, written", [("s05_prompt_scan", "prompts")])
+def test_queries_write_few_folders(spark, tmp_path, name, written):
+    sf_dir, kept = events_table(spark, tmp_path), shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(kept))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet/*.parquet'")
+    good, text, _ = compare(spark, con, sf_dir, name, QUERIES[name], ORACLES[name])
+    assert good, text
+    new = [n for n in os.listdir(kept) if n not in before and n.startswith(f"{written}-")]
+    assert len(new) == 1 and len(folders(os.path.join(kept, new[0]))) <= writers.SHARED_FOLDERS
