@@ -47,8 +47,8 @@ def s09(spark, sf_dir):
 
 
 def _partitioned_csv(spark, path, schema):
-    """Files with a header, kept in participant_id=... folders; the folder column goes last."""
-    return spark.read.schema(f"{schema}, participant_id string").option("header", True).option("mode", "FAILFAST").csv(path)
+    """Files with a header, kept in folders that participants share; participant_id goes last."""
+    return spark.read.schema(f"{schema}, participant_id string").option("header", True).option("mode", "FAILFAST").csv(path).drop(writers.GROUP)
 
 
 @query("s02_gaze_scan", f"WITH {V2} SELECT * FROM v2")
