@@ -78,6 +78,8 @@ def crop_dedupe(records: DataFrame, threshold: float, crops: DataFrame | None =
     Images with one crop stay as they are. ``crops`` (image_id and the crop's bounds, by default the records themselves)
     tells which crops an image was cut into, also those of which no record is left.
     """
+    # Kept once: three plans read the records, and what made them would run for each.
+    records = cut_lineage(records)
     crop = F.struct(*CROP)
     several = (records if crops is None else crops).groupBy("image_id").agg(
         F.min(crop).alias("_least"), F.max(crop).alias("_most")).filter("_least <> _most").select("image_id")
@@ -140,7 +142,7 @@ def candidate_masks(candidates: DataFrame, options: QualityOptions) -> DataFrame
 
 def mask_quality(candidates: DataFrame, options: QualityOptions = QualityOptions()) -> DataFrame:
     """The whole candidate flow, from scores to nested records."""
-    records = crop_dedupe(cut_lineage(candidate_masks(candidates, options)), options.crop_nms, candidates)
+    records = crop_dedupe(candidate_masks(candidates, options), options.crop_nms, candidates)
     if options.min_region_area > 0:
         records = clean_candidates(records, options.min_region_area, max(options.box_nms, options.crop_nms))
     return candidate_records(records)

@@ -87,3 +87,20 @@ def test_crop_copies_go_only_where_an_image_has_several_crops(spark, second_crop
     columns = ["image_id", "candidate_id", "x0", "y0", "x1", "y1", "crop_x0", "crop_y0", "crop_x1", "crop_y1"]
     records = spark.createDataFrame([("i", 1, 0, 0, 4, 4, 0, 0, 8, 8), ("i", 2, 0, 0, 4, 4, 0, 0, second_crop, 8)], columns)
     assert sorted(r.candidate_id for r in crop_dedupe(records, 0.5).collect()) == kept
+
+
+def test_crop_copies_read_their_records_once(spark, tmp_path):
+    """What makes the records runs once, not again for each part of the answer."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(image, place, 0, 0, 4, 4, 0, 0, 8 - 4 * (place * image % 2), 8) for image in range(6) for place in range(2)]
+    records = spark.createDataFrame(rows, "image_id int, candidate_id int, x0 int, y0 int, x1 int, y1 int, crop_x0 int, crop_y0 int, crop_x1 int, crop_y1 int")
+    kept = crop_dedupe(records.mapInArrow(counted, records.schema), 0.5)
+    assert sorted((r.image_id, r.candidate_id) for r in kept.collect()) == [
+        (0, 0), (0, 1), (1, 1), (2, 0), (2, 1), (3, 1), (4, 0), (4, 1), (5, 1)]
+    assert read.value == len(rows)
