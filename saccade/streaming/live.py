@@ -5,15 +5,18 @@ come, until the watermark has passed its end; then the slice is sent and its sta
 over many states. Rows without a time belong to no slice. Rows later than the delay are left out and counted by
 :func:`late_rows`. The slices are put together by the ordinary batch functions at the end of this module.
 
-:func:`closed_runs` and :func:`light_alerts` answer sooner: they keep one state per key, which holds the rows that the watermark
-has not passed yet and a short summary of all before. A timer of the key wakes it when the watermark passes its next row, so a
-run is sent as soon as a row of another label is settled. State is bounded by the delay; a key is one task, so very busy
-keys are better served by slices.
+:func:`closed_runs` and :func:`light_alerts` answer sooner: they keep the rows that the watermark has not passed yet and a short
+summary per key of all before. Keys are dealt to a fixed number of states by a hash, as a call of Python for each key takes far
+longer than the work on its rows. A timer of the state wakes it when the watermark passes its next row, so a run is sent as soon
+as a row of another label is settled. Waiting rows are bounded by the delay; a key is one task, so very busy keys are better
+served by slices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,6 +24,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SLICE_SECONDS = 300
+#: States that the keys are dealt to where each key has a summary of its own.
+SHARES = 1024
 
 
 def _slices(key: str, seconds: int) -> list[Column]:
@@ -66,33 +71,44 @@ def live_lights(brightness: DataFrame, threshold: float = 50.0, delay: str = "10
     return kept.select("recording_id", _slice_number(seconds), "first_dark", "first_bright", after.alias("first_after_dark"))
 
 
-_WAITING = "ts array<long>, seq array<long>, value array<string>"
+_WAITING = "ts array<long>, seq array<long>, key array<string>, value array<string>"
 
 
-def _settled(pdfs: Iterator[pd.DataFrame], state: GroupState, value: str) -> tuple[pd.DataFrame, pd.DataFrame, tuple]:
-    """Rows (ts in microseconds, seq, value) that the watermark has passed, in order; those still waiting; the summary so far."""
-    held = state.get if state.exists else ([], [], [], *(None,) * 4)
-    frames = [pd.DataFrame({"ts": pd.Series(held[0], dtype="int64"), "seq": pd.Series(held[1], dtype="int64"), "value": pd.Series(held[2], dtype=object)})]
+def _plain(value: object) -> str | None:
+    return None if value is None or value != value else str(value)
+
+
+def _settled(pdfs: Iterator[pd.DataFrame], state: GroupState) -> tuple[list[tuple], list[tuple], dict[str | None, tuple]]:
+    """Rows (ts in microseconds, seq, key, value) that the watermark has passed, in order; those still waiting; summaries by key."""
+    held = state.get if state.exists else ([],) * 5
+    rows, summaries = list(zip(*held[:4], strict=True)), dict(zip(held[4], zip(*held[5:]), strict=True))
     if not state.hasTimedOut:
-        frames += [pd.DataFrame({"ts": p["ts"], "seq": p["seq"], "value": p[value].astype(object)}) for p in pdfs if len(p)]
-    rows = pd.concat([f for f in frames if len(f)] or frames[:1], ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-    passed = rows["ts"] <= state.getCurrentWatermarkMs() * 1000
-    return rows[passed], rows[~passed], tuple(held[3:])
+        for p in pdfs:
+            rows += zip(p["ts"].tolist(), p["seq"].tolist(), map(_plain, p["key"].tolist()), map(_plain, p["value"].tolist()), strict=True)
+    rows.sort(key=itemgetter(0, 1))
+    passed = bisect_right(rows, state.getCurrentWatermarkMs() * 1000, key=itemgetter(0))
+    return rows[:passed], rows[passed:], summaries
+
 
+def _keep(state: GroupState, waiting: list[tuple], summaries: dict[str | None, tuple], fields: int) -> None:
+    """Keeps the waiting rows and the summaries, with a timer at the first of the rows."""
+    def columns(rows: Iterable[tuple], n: int) -> list[list]:
+        return [list(column) for column in zip(*rows)] or [[] for _ in range(n)]
 
-def _keep(state: GroupState, waiting: pd.DataFrame, summary: tuple) -> None:
-    """Keeps the waiting rows and the summary, with a timer at the first of them."""
-    texts = [None if pd.isna(v) else str(v) for v in waiting["value"]]
-    state.update((waiting["ts"].tolist(), waiting["seq"].tolist(), texts, *summary))
-    if len(waiting):
-        state.setTimeoutTimestamp(max(int(waiting["ts"].iloc[0]) // 1000, state.getCurrentWatermarkMs() + 1))
+    state.update((*columns(waiting, 4), list(summaries), *columns(summaries.values(), fields)))
+    if waiting:
+        state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs() + 1))
 
 
-def _per_key(rows: DataFrame, key: str, delay: str, step: Callable, out: str, summary: str) -> DataFrame:
-    timed = rows.where(F.col("ts").isNotNull()).withWatermark("ts", delay)
-    micros = [F.unix_micros("ts").alias("ts") if c == "ts" else F.col(c) for c in rows.columns]
-    return timed.select(F.col("ts").alias("event_time"), *micros).groupBy(key).applyInPandasWithState(
-        step, out, f"{_WAITING}, {summary}", "append", GroupStateTimeout.EventTimeTimeout)
+def _per_share(rows: DataFrame, key: str, value: str, delay: str, step: Callable, out: str, summary: str) -> DataFrame:
+    """Rows (key, ts, seq, value) of the keys of a share go to ``step`` together; keys are text there and get their type back."""
+    kind = rows.schema[key].dataType
+    timed = rows.where(F.col("ts").isNotNull()).withWatermark("ts", delay).select(
+        F.col("ts").alias("event_time"), F.pmod(F.xxhash64(key), F.lit(SHARES)).cast("int").alias("share"),
+        F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("ts"), "seq", F.col(value).alias("value"))
+    found = timed.groupBy("share").applyInPandasWithState(
+        step, f"{key} string, {out}", f"{_WAITING}, known array<string>, {summary}", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn(key, F.col(key).cast(kind))
 
 
 def closed_runs(codes: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -100,49 +116,47 @@ def closed_runs(codes: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
     Out: participant_id, code, start_frame, end_frame, n_frames. Frames are numbered in the order of ts and seq, whatever the
     order in which rows come inside the delay. The last run of a participant stays open. Rows without a time are left out."""
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, waiting, (code, start, frames, begun) = _settled(pdfs, state, "code")
-        start, frames, sent = start or 0, frames or 0, []
-        values = [None if pd.isna(v) else v for v in rows["value"]]
-        for value in values:
-            if begun and value != code:
-                sent.append((key[0], code, start, frames - 1, frames - start))
-            if not begun or value != code:
-                code, start, begun = value, frames, True
-            frames += 1
-        _keep(state, waiting, (code, start, frames, bool(begun)))
+    def step(share: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows, waiting, runs = _settled(pdfs, state)
+        sent = []
+        for _, _, key, value in rows:
+            code, start, frames = runs.get(key, (value, 0, 0))
+            if value != code:
+                sent.append((key, code, start, frames - 1, frames - start))
+                code, start = value, frames
+            runs[key] = (code, start, frames + 1)
+        _keep(state, waiting, runs, 3)
         if sent:
             yield pd.DataFrame(sent, columns=["participant_id", "code", "start_frame", "end_frame", "n_frames"])
 
-    kind = codes.schema["participant_id"].dataType.simpleString()
-    return _per_key(codes.select("participant_id", "ts", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), F.col("code").cast("string").alias("code")),
-                    "participant_id", delay, step, f"participant_id {kind}, code string, start_frame long, end_frame long, n_frames long",
-                    "code string, start long, frames long, begun boolean")
+    return _per_share(codes.select("participant_id", "ts", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), F.col("code").cast("string").alias("code")),
+                      "participant_id", "code", delay, step, "code string, start_frame long, end_frame long, n_frames long",
+                      "code array<string>, start array<long>, frames array<long>")
 
 
 def light_alerts(brightness: DataFrame, threshold: float = 50.0, delay: str = "10 minutes") -> DataFrame:
     """The first bright moment after the first dark one of each recording, sent once, as soon as it is settled.
 
     In: recording_id, ts, brightness; out: recording_id, lights_on. Rows without a brightness are neither dark nor bright."""
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, waiting, (_, dark_at, on_at, _) = _settled(pdfs, state, "light")
+    def step(share: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows, waiting, seen = _settled(pdfs, state)
         found = []
-        for ts, light in zip(rows["ts"].tolist(), rows["value"].tolist(), strict=True):
+        for ts, _, key, light in rows:
+            dark_at, on_at = seen.get(key, (None, None))
             if on_at is None and light == "dark" and dark_at is None:
-                dark_at = ts
+                seen[key] = (ts, None)
             elif on_at is None and light == "bright" and dark_at is not None and ts > dark_at:
-                on_at = ts
-                found.append((key[0], pd.Timestamp(ts, unit="us", tz="UTC")))
-        _keep(state, waiting[:0] if on_at is not None else waiting, (None, dark_at, on_at, None))
+                seen[key] = (dark_at, ts)
+                found.append((key, pd.Timestamp(ts, unit="us", tz="UTC")))
+        done = {key for key, (_, on_at) in seen.items() if on_at is not None}
+        _keep(state, [row for row in waiting if row[2] not in done], seen, 2)
         if found:
             yield pd.DataFrame(found, columns=["recording_id", "lights_on"])
 
-    kind = brightness.schema["recording_id"].dataType.simpleString()
     # Of rows of one time the dark one goes first: it decides whether later ones are after it.
     light = F.when(F.col("brightness") < threshold, "dark").when(F.col("brightness") >= threshold, "bright")
     rows = brightness.select("recording_id", "ts", F.when(light == "dark", 0).otherwise(1).cast("long").alias("seq"), light.alias("light"))
-    return _per_key(rows, "recording_id", delay, step, f"recording_id {kind}, lights_on timestamp",
-                    "code string, start long, frames long, begun boolean")
+    return _per_share(rows, "recording_id", "light", delay, step, "lights_on timestamp", "dark_at array<long>, on_at array<long>")
 
 
 def late_rows(query: StreamingQuery) -> int:

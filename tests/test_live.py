@@ -89,6 +89,18 @@ def test_crop_copies_go_only_where_an_image_has_several_crops(spark, second_crop
     assert sorted(r.candidate_id for r in crop_dedupe(records, 0.5).collect()) == kept
 
 
+def test_keys_share_states(spark, tmp_path):
+    """Many keys are few states, and every key still has its own runs and its own type."""
+    schema = "participant_id long, ts timestamp, seq long, code string"
+    users = range(3 * live.SHARES)
+    batches = [[(u, at(10 + k), k, "ab"[k // 2]) for u in users for k in (3, 0)], [(u, at(10 + k), k, "ab"[k // 2]) for u in users for k in (1, 2)],
+               [(-1, at(90000), 0, "-")], [(-1, at(90001), 0, "-")]]
+    runs, query = drained(spark, tmp_path, batches, schema, lambda s: live.closed_runs(s, "10 minutes"), "shared_states_test")
+    assert runs.schema["participant_id"].dataType.simpleString() == "bigint"
+    assert sorted(map(tuple, runs.collect()), key=str) == sorted(((u, "a", 0, 1, 2) for u in users), key=str)
+    assert max(s["numRowsTotal"] for r in query.recentProgress for s in r["stateOperators"]) <= live.SHARES
+
+
 def test_crop_copies_read_their_records_once(spark, tmp_path):
     """What makes the records runs once, not again for each part of the answer."""
     read = spark.sparkContext.accumulator(0)
