@@ -89,16 +89,29 @@ def test_crop_copies_go_only_where_an_image_has_several_crops(spark, second_crop
     assert sorted(r.candidate_id for r in crop_dedupe(records, 0.5).collect()) == kept
 
 
-def test_keys_share_states(spark, tmp_path):
+def test_keys_share_states(spark, tmp_path, monkeypatch):
     """Many keys are few states, and every key still has its own runs and its own type."""
+    monkeypatch.setattr(live, "SHARES", 3)
     schema = "participant_id long, ts timestamp, seq long, code string"
-    users = range(3 * live.SHARES)
+    users = range(30)
     batches = [[(u, at(10 + k), k, "ab"[k // 2]) for u in users for k in (3, 0)], [(u, at(10 + k), k, "ab"[k // 2]) for u in users for k in (1, 2)],
                [(-1, at(90000), 0, "-")], [(-1, at(90001), 0, "-")]]
     runs, query = drained(spark, tmp_path, batches, schema, lambda s: live.closed_runs(s, "10 minutes"), "shared_states_test")
     assert runs.schema["participant_id"].dataType.simpleString() == "bigint"
-    assert sorted(map(tuple, runs.collect()), key=str) == sorted(((u, "a", 0, 1, 2) for u in users), key=str)
-    assert max(s["numRowsTotal"] for r in query.recentProgress for s in r["stateOperators"]) <= live.SHARES
+    assert sorted(map(tuple, runs.collect())) == [(u, "a", 0, 1, 2) for u in users]
+    assert max(s["numRowsTotal"] for r in query.recentProgress for s in r["stateOperators"]) <= 3
+
+
+def test_light_alerts_share_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "SHARES", 3)
+    schema = "recording_id long, ts timestamp, brightness double"
+    batches = [[(u, at(10 + u + k), 90.0 * (k % 2)) for u in range(30) for k in (1, 0)], [(u, at(12 + u + u % 2), 90.0) for u in range(30)],
+               [(-1, at(90000), None)], [(-1, at(90001), None)]]
+    alerts, query = drained(spark, tmp_path, batches, schema, lambda s: live.light_alerts(s, 50.0, "10 minutes"), "shared_alerts_test")
+    found = alerts.select("recording_id", F.unix_timestamp("lights_on")).collect()
+    start = int((DAY - datetime(1970, 1, 1)).total_seconds())
+    assert sorted(map(tuple, found)) == [(u, start + 11 + u) for u in range(30)]
+    assert max(s["numRowsTotal"] for r in query.recentProgress for s in r["stateOperators"]) <= 3
 
 
 def test_crop_copies_read_their_records_once(spark, tmp_path):
