@@ -8,8 +8,8 @@ over many states. Rows without a time belong to no slice. Rows later than the de
 :func:`closed_runs` and :func:`light_alerts` answer sooner: they keep the rows that the watermark has not passed yet and a short
 summary per key of all before. Keys are dealt to a fixed number of states by a hash, as a call of Python for each key takes far
 longer than the work on its rows. A timer of the state wakes it when the watermark passes its next row, so a run is sent as soon
-as a row of another label is settled. Waiting rows are bounded by the delay; a key is one task, so very busy keys are better
-served by slices.
+as a row of another label is settled. Waiting rows are bounded by the delay, and of those for alerts only the ones that may still
+decide are kept; a key is one task, so very busy keys are better served by slices.
 """
 
 from __future__ import annotations
@@ -134,6 +134,25 @@ def closed_runs(codes: DataFrame, delay: str = "10 minutes") -> DataFrame:
                       "code array<string>, start array<long>, frames array<long>")
 
 
+def _deciding(waiting: list[tuple], seen: dict[str | None, tuple]) -> list[tuple]:
+    """Of the waiting rows, in order, those that an alert may still hang on, whatever rows come inside the delay.
+
+    Of a recording these are its first dark row, if no settled one is known, and the bright ones up to the first after it."""
+    dark = {key: dark_at for key, (dark_at, _) in seen.items()}
+    done = {key for key, (_, on_at) in seen.items() if on_at is not None}
+    kept = []
+    for row in waiting:
+        ts, _, key, light = row
+        if light is None or key in done or light == "dark" and key in dark:
+            continue
+        if light == "dark":
+            dark[key] = ts
+        elif key in dark and ts > dark[key]:
+            done.add(key)
+        kept.append(row)
+    return kept
+
+
 def light_alerts(brightness: DataFrame, threshold: float = 50.0, delay: str = "10 minutes") -> DataFrame:
     """The first bright moment after the first dark one of each recording, sent once, as soon as it is settled.
 
@@ -148,8 +167,7 @@ def light_alerts(brightness: DataFrame, threshold: float = 50.0, delay: str = "1
             elif on_at is None and light == "bright" and dark_at is not None and ts > dark_at:
                 seen[key] = (dark_at, ts)
                 found.append((key, pd.Timestamp(ts, unit="us", tz="UTC")))
-        done = {key for key, (_, on_at) in seen.items() if on_at is not None}
-        _keep(state, [row for row in waiting if row[2] not in done], seen, 2)
+        _keep(state, _deciding(waiting, seen), seen, 2)
         if found:
             yield pd.DataFrame(found, columns=["recording_id", "lights_on"])
 

@@ -1,6 +1,7 @@
 """Live operators over several batches whose rows come out of order, against the same rows in order."""
 
 import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -114,6 +115,43 @@ def test_light_alerts_share_states(spark, tmp_path, monkeypatch):
     assert max(s["numRowsTotal"] for r in query.recentProgress for s in r["stateOperators"]) <= 3
 
 
+def test_light_alerts_keep_only_rows_that_may_decide(spark, tmp_path):
+    """A recording's state is its first dark row and the bright ones up to the first after it, not all rows inside the delay."""
+    schema = "recording_id string, ts timestamp, brightness double"
+    batches = [[(f"r{u}", at(100 + k), (None, 90.0, 5.0)[k % 3]) for u in range(5) for k in range(60)],
+               [("r1", at(50), 5.0), ("r2", at(101.5), 5.0), ("r3", at(103.5), 90.0), ("r4", at(101), 5.0)],
+               [("end", at(90000), None)], [("end", at(90001), None)]]
+    alerts, _ = drained(spark, tmp_path, batches, schema, lambda s: live.light_alerts(s, 50.0, "10 minutes"), "few_rows_test")
+    found = alerts.select("recording_id", F.date_format("lights_on", "mm:ss.S").alias("t")).collect()
+    assert sorted(map(tuple, found)) == [("r0", "01:44.0"), ("r1", "01:41.0"), ("r2", "01:44.0"), ("r3", "01:43.5"), ("r4", "01:44.0")]
+    held = spark.read.format("statestore").option("batchId", 0).load(str(tmp_path / "few_rows_test-state"))
+    [(rows,)] = held.agg(F.sum(F.size("value.groupState.ts"))).collect()
+    assert rows == 5 * 3
+
+
+def test_rows_left_out_never_decide_an_alert():
+    """Alerts from the kept rows and any that come later are those from all rows."""
+    def alert(rows, dark_at):
+        for ts, _, _, light in sorted(rows, key=lambda r: r[:2]):
+            if light == "dark" and dark_at is None:
+                dark_at = ts
+            elif light == "bright" and dark_at is not None and ts > dark_at:
+                return ts
+        return None
+
+    draw = random.Random(7)
+    for _ in range(3000):
+        def drawn(n):
+            lights = draw.choices([("dark", 0), ("bright", 1), (None, 1)], k=n)
+            return sorted(((draw.randint(1, 9), seq, "p", light) for light, seq in lights), key=lambda r: r[:2])
+
+        waiting, dark_at = drawn(draw.randint(0, 8)), draw.choice([None, None, 0])
+        kept, later = live._deciding(waiting, {"p": (dark_at, None)} if dark_at is not None else {}), drawn(draw.randint(0, 3))
+        assert alert(kept + later, dark_at) == alert(waiting + later, dark_at)
+        assert sum(row[3] == "dark" for row in kept) <= (dark_at is None)
+    assert live._deciding([(5, 1, "p", "bright")], {"p": (1, 3)}) == []
+
+
 def test_crop_copies_read_their_records_once(spark, tmp_path):
     """What makes the records runs once, not again for each part of the answer."""
     read = spark.sparkContext.accumulator(0)
